@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import distinctive, frequency
+from . import distinctive, frequency, leakage
 
-MODULES = (distinctive, frequency)
+MODULES = (distinctive, frequency, leakage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
