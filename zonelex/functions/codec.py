@@ -22,8 +22,11 @@ def encode_freq(tf: dict[str, Column]) -> Column:
 
 def decode_freq(freq: Column, letter: str, clamp_title: bool = True) -> Column:
     """Count of one zone; 0 for a null, empty or unreadable string. Title counts are clamped to 1."""
-    pattern = r"^(\d+)" if letter == "b" else letter + r"(\d+)"
-    n = F.coalesce(F.regexp_extract(freq, pattern, 1).try_cast("int"), F.lit(0))
+    if letter == "b":
+        there, pattern = F.substring(freq, 1, 1).between("0", "9"), r"^(\d+)"
+    else:
+        there, pattern = F.instr(freq, letter) > 0, letter + r"(\d+)"
+    n = F.when(there, F.coalesce(F.regexp_extract(freq, pattern, 1).try_cast("int"), F.lit(0))).otherwise(F.lit(0))
     return F.least(n, F.lit(1)) if letter == "t" and clamp_title else n
 
 
