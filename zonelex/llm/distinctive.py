@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.codec import total_freq
 from ..operators.joins import join_back
 from ..operators.postings import latest_postings
-from ..session import table
+from ..session import materialized, table
 
 #: A term used this often or less in a record is not characteristic of it.
 TOO_FEW_USES = 2
@@ -30,8 +30,8 @@ def term_scores(postings: DataFrame) -> DataFrame:
     lengths of records are partially aggregated and joined back; neither a hot term nor a hot record
     meets in one task.
     """
-    rows = latest_postings(postings).select("term", "doc_id", total_freq(F.col("freq")).alias("tf"))
-    terms = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"))
+    rows = materialized(latest_postings(postings).select("term", "doc_id", total_freq(F.col("freq")).alias("tf")))
+    terms = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     records = rows.groupBy("doc_id").agg(F.count("term").alias("n_terms"), F.sum("tf").alias("doc_uses"))
     whole = records.agg(F.count(F.lit(1)).alias("n_docs"))
     both = join_back(join_back(rows, terms, "term", "df", ["doc_id"]), records, "doc_id", "n_terms", ["term"])
