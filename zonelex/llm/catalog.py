@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import distinctive, frequency, leakage
+from . import distinctive, frequency, leakage, packing
 
-MODULES = (distinctive, frequency, leakage)
+MODULES = (distinctive, frequency, leakage, packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
