@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import distinctive, frequency, leakage, packing, reading
+from . import distinctive, frequency, leakage, packing, reading, residue
 
-MODULES = (distinctive, frequency, leakage, packing, reading)
+MODULES = (residue, distinctive, frequency, leakage, packing, reading)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
