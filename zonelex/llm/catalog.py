@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import distinctive, frequency, leakage, packing, reading, residue, subjects
+from . import distinctive, frequency, leakage, markup, packing, reading, residue, subjects
 
-MODULES = (residue, subjects, distinctive, frequency, leakage, packing, reading)
+MODULES = (residue, subjects, distinctive, frequency, markup, packing, leakage, reading)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
