@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import skewed
+from . import paging, searching, skewed
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "search_batch"
+MODULES = (paging, searching, skewed)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(skewed.QUERIES)
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(skewed.ORACLE)
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
