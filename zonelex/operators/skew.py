@@ -15,15 +15,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialized
+
 CHUNK_ROWS = 20_000
 
 
-def number_rows(df: DataFrame, key: str) -> DataFrame:
-    """Add ``_chunk_no``, the 0-based number of the row within its key in input order, exact and dense.
+def number_rows(df: DataFrame, key: str, stable: bool = False) -> DataFrame:
+    """Add ``_number``, the 0-based number of the row within its key in input order, exact and dense.
 
-    ``df`` must read the same rows in the same partitions each time (a file scan, or a checkpoint). Null keys
-    are numbered like any other key. Columns of ``df`` may have any names but the ones added here.
+    The input is read twice and must give the same rows in the same partitions. A projection of a file scan does, and
+    its caller says so by ``stable``; anything else (an exchange may be coalesced differently each time) is written to the
+    shared folder first. Null keys are numbered like any other key. Columns may have any names but the ones added here.
     """
+    if not stable:
+        df = materialized(df)
     tagged = df.withColumns({"_pid": F.spark_partition_id(), "_seq": F.monotonically_increasing_id()})
     counts = tagged.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(key).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
@@ -36,10 +41,10 @@ def number_rows(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def chunk_states(df: DataFrame, key: str, value: str, item: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def chunk_states(df: DataFrame, key: str, value: str, item: str, chunk_rows: int = CHUNK_ROWS, stable: bool = False) -> DataFrame:
     """One boundary state per (key, chunk): rows, sum of ``value``, smallest and largest ``item``, and for the
     merge in order the first and last item of the chunk with the number of direct repeats inside it."""
-    numbered = number_rows(df.select(key, value, item), key).withColumn("_chunk", F.floor(F.col("_number") / chunk_rows).cast("bigint"))
+    numbered = number_rows(df.select(key, value, item), key, stable).withColumn("_chunk", F.floor(F.col("_number") / chunk_rows).cast("bigint"))
     w = W.partitionBy(key, "_chunk").orderBy("_number")
     steps = numbered.withColumn("_again", F.col(item).eqNullSafe(F.lag(item).over(w)) & F.lag(F.lit(1)).over(w).isNotNull())
     return steps.groupBy(key, "_chunk").agg(
@@ -71,13 +76,13 @@ def merge_states(states: DataFrame, key: str) -> DataFrame:
     )
 
 
-def per_key_totals(df: DataFrame, key: str, value: str, item: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def per_key_totals(df: DataFrame, key: str, value: str, item: str, chunk_rows: int = CHUNK_ROWS, stable: bool = False) -> DataFrame:
     """Totals per key by offset chunking: n_rows, total, low, high, repeats, n_chunks, largest_chunk.
 
     Null keys form one group of their own, null values add nothing, an empty table gives no rows. Tied and
     repeated rows each count.
     """
-    return merge_states(chunk_states(df, key, value, item, chunk_rows), key)
+    return merge_states(chunk_states(df, key, value, item, chunk_rows, stable), key)
 
 
 def heavy_keys(totals: DataFrame, key: str, share: float) -> DataFrame:
@@ -86,10 +91,10 @@ def heavy_keys(totals: DataFrame, key: str, share: float) -> DataFrame:
     return totals.crossJoin(F.broadcast(whole)).where((F.col("n_rows") >= F.col("_all") * F.lit(share)) & F.col(key).isNotNull()).drop("_all")
 
 
-def running_totals(df: DataFrame, key: str, value: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def running_totals(df: DataFrame, key: str, value: str, chunk_rows: int = CHUNK_ROWS, stable: bool = False) -> DataFrame:
     """Per row, the sum of ``value`` over its key up to and with the row, in input order, without one task per
     key: sums of chunks, a prefix sum over chunks, then a window inside each chunk."""
-    numbered = number_rows(df, key).withColumn("_chunk", F.floor(F.col("_number") / chunk_rows).cast("bigint"))
+    numbered = materialized(number_rows(df, key, stable)).withColumn("_chunk", F.floor(F.col("_number") / chunk_rows).cast("bigint"))
     sums = numbered.groupBy(key, "_chunk").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
     before = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(F.col(key).alias("_key"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))

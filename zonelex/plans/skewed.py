@@ -26,18 +26,18 @@ def _by_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_totals(spark: SparkSession, d: str) -> DataFrame:
-    t = per_key_totals(_rows(spark, d), "term", "uses", "doc_id")
+    t = per_key_totals(_rows(spark, d), "term", "uses", "doc_id", stable=True)
     return t.where("term is not null").select("term", "n_rows", F.col("total").alias("uses"), F.col("low").alias("first_doc"), F.col("high").alias("last_doc"))
 
 
 def split_totals(spark: SparkSession, d: str) -> DataFrame:
-    t = per_key_totals(_by_split(spark, d), "first_term", "uses", "doc_id")
+    t = per_key_totals(_by_split(spark, d), "first_term", "uses", "doc_id", stable=True)
     return t.where("first_term is not null").select("first_term", "n_rows", F.col("total").alias("uses"), F.col("low").alias("first_doc"), F.col("high").alias("last_doc"))
 
 
 def chunk_balance(spark: SparkSession, d: str) -> DataFrame:
     """How evenly the work of the splits was spread: chunks and the largest of them."""
-    t = per_key_totals(_by_split(spark, d), "first_term", "uses", "doc_id")
+    t = per_key_totals(_by_split(spark, d), "first_term", "uses", "doc_id", stable=True)
     return t.where("first_term is not null").select("first_term", "n_rows", "n_chunks", "largest_chunk")
 
 
@@ -45,7 +45,7 @@ def found(spark: SparkSession, d: str) -> DataFrame:
     """Heavy terms and heavy splits from one pass: a term lies in exactly one split, so the merged totals of the
     terms are themselves the boundary states of the splits."""
     starts = split_starts(table(spark, d, "milestone"))
-    terms = per_key_totals(_rows(spark, d), "term", "uses", "doc_id").select("term", "n_rows")
+    terms = per_key_totals(_rows(spark, d), "term", "uses", "doc_id", stable=True).select("term", "n_rows")
     both = terms.select(
         F.explode(
             F.array(
