@@ -297,7 +297,7 @@ def pack(counts: DataFrame, windows: DataFrame, route_ratio: int = ROUTE_RATIO)
     w = _windows(windows)
     capacities = dict(w)
     items = materialized(pieces(counts, max(capacities.values(), default=1)))
-    numbered = number_rows(items, "n_tokens").withColumnRenamed("_number", "rank")
+    numbered = number_rows(items, "n_tokens", stable=True).withColumnRenamed("_number", "rank")
     return apply_plan(numbered, plan_windows(_histogram(items), w, route_ratio), capacities)
 
 
@@ -306,7 +306,7 @@ def pack_each(counts: DataFrame, windows: DataFrame) -> DataFrame:
     counts, out = materialized(counts), None
     for number, capacity in _windows(windows):
         items = pieces(counts, capacity)
-        numbered = number_rows(items, "n_tokens").withColumnRenamed("_number", "rank")
+        numbered = number_rows(items, "n_tokens", stable=True).withColumnRenamed("_number", "rank")
         one = apply_plan(numbered, plan_one(_histogram(items), number, capacity), {number: capacity})
         out = one if out is None else out.unionByName(one)
     return out
