@@ -9,8 +9,8 @@ ASCII-lowered), so case, spacing and punctuation don't matter. Then, in one pass
    its cursor and moves on or not by a random bit of (step, character), which turns edits into few differing places.
 3. ``REPEATS`` keys, each of ``SAMPLED`` places of the embedding, are looked up in the keys of the items (bit-sampling
    LSH). All walks of a batch advance together as arrays.
-4. Pairs whose hit windows cover at least ``LEAST_HIT`` of the item are verified exactly: common substrings are chained
-   in order, gaps between them are aligned by longest common subsequence, and the matched share of the item's
+4. Pairs whose hit windows cover at least ``LEAST_HIT`` of the item are verified exactly: common substrings that stand
+   near each other are chained in order, gaps between them are aligned by longest common subsequence, and the matched share of the item's
    characters must reach ``SHARE``.
 
 The items are a fixed, small set; their keys go to the tasks in blocks of at most ``BLOCK`` items. Cases: null, empty
@@ -37,7 +37,10 @@ REPEATS = 4
 SAMPLED = 9
 LEAST_HIT = 0.2
 SHARE = 0.55
-SEED_CHARS = 9
+SEED_CHARS = 10
+#: The pieces of a leak stand within this many times the item's length, and SLACK characters.
+SPAN = 2
+SLACK = 400
 BLOCK = 2_000
 #: Windows embedded at once: keeps the arrays of the walk inside the CPU's cache.
 AT_ONCE = 1 << 16
@@ -179,12 +182,16 @@ class Items:
                         n += 1
                     reach[p - d] = p + n
                     blocks.append((p, d, n))
-        best = 0
-        score = []
+        best, span = 0, SPAN * len(item) + SLACK
+        score, begin = [], []
         for i, (p, d, n) in enumerate(blocks):
-            top = n
+            top, start = n, d
             for j in range(i - 1, -1, -1):
                 q, e, m = blocks[j]
+                if d - e > span:
+                    break
+                if d + n - begin[j] > span:
+                    continue
                 lost = max(0, q + m - p, e + m - d)  # blocks may overlap a little
                 if q < p and e < d and lost < n and lost < m:
                     gain = score[j] + n - lost
@@ -195,8 +202,9 @@ class Items:
                         same = _common(item[q + m : p], text[e + m : d])
                         gain += same if 2 * same >= max(gap, wide) else 0
                     if gain > top:
-                        top = gain
+                        top, start = gain, begin[j]
             score.append(top)
+            begin.append(start)
             best = max(best, top)
         return best / len(item)
 

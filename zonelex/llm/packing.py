@@ -16,7 +16,7 @@ text and without collecting rows.
    the steps of a window carry nearly the same number of tokens.
 
 Cases: null and empty texts have no tokens and are not placed; equal texts and repeated rows are placed each; equal
-lengths are told apart by input order; an empty table gives no rows; extra columns are ignored.
+lengths are told apart by input order; an empty table gives no rows, and no window takes none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -296,7 +296,9 @@ def pack(counts: DataFrame, windows: DataFrame, route_ratio: int = ROUTE_RATIO)
     """Every text once, in one of the windows."""
     w = _windows(windows)
     capacities = dict(w)
-    items = materialized(pieces(counts, max(capacities.values(), default=1)))
+    if not w:
+        return counts.sparkSession.createDataFrame([], OUT)
+    items = materialized(pieces(counts, max(capacities.values())))
     numbered = number_rows(items, "n_tokens", stable=True).withColumnRenamed("_number", "rank")
     return apply_plan(numbered, plan_windows(_histogram(items), w, route_ratio), capacities)
 
@@ -309,7 +311,7 @@ def pack_each(counts: DataFrame, windows: DataFrame) -> DataFrame:
         numbered = number_rows(items, "n_tokens", stable=True).withColumnRenamed("_number", "rank")
         one = apply_plan(numbered, plan_one(_histogram(items), number, capacity), {number: capacity})
         out = one if out is None else out.unionByName(one)
-    return out
+    return out if out is not None else counts.sparkSession.createDataFrame([], OUT)
 
 
 def packed(spark: SparkSession, d: str) -> DataFrame:

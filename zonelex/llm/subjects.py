@@ -35,7 +35,7 @@ from .residue import whole_bodies
 
 MAX_WORDS = 8_000
 MIN_PAGES = 3
-MAX_SHARE = 0.2
+MAX_SHARE = 0.6
 BACKGROUND = 4
 SWEEPS = 4
 INNER = 12
