@@ -92,7 +92,7 @@ def search_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_prefixed(spark: SparkSession, d: str) -> DataFrame:
-    return _search(spark, d).join(F.broadcast(_queries(spark, d).where("query_text rlike '[ticbrl]:'").select("query_id")), "query_id", "left_semi")
+    return _search(spark, d).join(_queries(spark, d).where("query_text rlike '[ticbrl]:'").select("query_id"), "query_id", "left_semi")
 
 
 def search_padding(spark: SparkSession, d: str) -> DataFrame:
