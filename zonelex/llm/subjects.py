@@ -28,8 +28,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_back
 from ..session import materialized, table
 from .residue import whole_bodies
 
@@ -47,7 +49,6 @@ AT_ONCE = 512
 
 _MARKUP = re.compile(r"<[^<>]{1,200}>|\{\{[^{}]*\}\}|\[https?://[^\s\]]+|https?://\S+|\]\([^)]*\)|\\[a-z]+|&\w+;")
 _WORD = re.compile(r"(?<![A-Za-z])[a-z]{3,}(?![A-Z])")
-_MASKED = re.compile(r"\b[A-ZÀ-ÞÆ][\w'’.]*|\d+")
 
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -249,14 +250,18 @@ def train(words: DataFrame, pages: DataFrame, labels: DataFrame, areas: DataFram
     return model
 
 
-def _category_subjects(pages: DataFrame, chosen: DataFrame) -> dict[str, str]:
-    """Subject of each category phrase that clearly has one; phrases are masked, so they are few."""
-    mask = F.trim(F.regexp_replace(F.regexp_replace("phrase", r"(?<=.)\b[A-ZÀ-ÞÆ][\w'’.]*", "*"), r"\d+", "#"))
-    phrases = pages.where("category is not null").select(F.col("page_row"), F.explode(F.array_distinct(F.split("category", r"\|"))).alias("phrase"))
-    votes = phrases.select("page_row", mask.alias("phrase")).join(chosen, "page_row").groupBy("phrase", "subject").agg(F.count(F.lit(1)).alias("n"))
+def _phrases(pages: DataFrame) -> DataFrame:
+    """(page_row, phrase): the categories of each row with names and numbers masked."""
+    each = pages.where("category is not null").select("page_row", F.explode(F.array_distinct(F.split("category", r"\|"))).alias("phrase"))
+    masked = F.trim(F.regexp_replace(F.regexp_replace("phrase", r"(?<=.)\b[A-ZÀ-ÞÆ][\w'’.]*", "*"), r"\d+", "#"))
+    return each.select("page_row", masked.alias("phrase")).where("phrase <> ''").distinct()
+
+
+def _phrase_subjects(pages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(phrase, subject, n) of the phrases that pages with bodies clearly assign to one subject."""
+    votes = _phrases(pages).join(chosen, "page_row").groupBy("phrase", "subject").agg(F.count(F.lit(1)).alias("n"))
     whole = votes.groupBy("phrase").agg(F.sum("n").alias("all"), F.max(F.struct("n", "subject")).alias("top"))
-    clear = whole.where("top.n >= 3 and top.n >= 0.5 * all").orderBy(F.desc("all"), "phrase").limit(20_000)
-    return {r["phrase"]: r["top"]["subject"] for r in clear.collect()}
+    return whole.where("top.n >= 3 and top.n >= 0.5 * all").select("phrase", F.col("top.subject").alias("subject"), F.col("all").alias("n"))
 
 
 def subjects(pages: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
@@ -280,25 +285,12 @@ def subjects(pages: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame
 
     residue = whole_bodies(pages)
     chosen = materialized(words.select("page_row", "sentences").mapInArrow(assign, schema).join(residue, "page_row", "left_anti"))
-    phrase_subject = pages.sparkSession.sparkContext.broadcast(_category_subjects(pages, chosen))
-
-    def by_category(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = phrase_subject.value
-        for batch in batches:
-            ids, out = [], []
-            for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                votes: dict[str, int] = {}
-                for phrase in set(text.split("|")):
-                    masked = re.sub(r"\d+", "#", re.sub(r"(?<=.)\b[A-ZÀ-ÞÆ][\w'’.]*", "*", phrase)).strip()
-                    if masked in known:
-                        votes[known[masked]] = votes.get(known[masked], 0) + 1
-                for s in sorted(votes, key=lambda s: (-votes[s], s.encode()))[:2]:
-                    ids.append(p)
-                    out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["page_row", "subject"])
-
-    rest = pages.where("body is null and category is not null").select("page_row", "category")
-    return chosen.unionByName(rest.mapInArrow(by_category, schema))
+    without = pages.where("body is null").select("page_row", "category")
+    said = join_back(_phrases(without), _phrase_subjects(pages, chosen), "phrase", "n", ["page_row"])
+    votes = said.groupBy("page_row", "subject").agg(F.count(F.lit(1)).alias("v"))
+    best = W.partitionBy("page_row").orderBy(F.desc("v"), "subject")
+    by_category = votes.withColumn("r", F.row_number().over(best)).where("r <= 2").select("page_row", "subject")
+    return chosen.unionByName(by_category)
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
@@ -308,8 +300,6 @@ def found(spark: SparkSession, d: str) -> DataFrame:
 def composition(spark: SparkSession, d: str) -> DataFrame:
     """Pages and share by subject (a page with two subjects counts half for each)."""
     got = found(spark, d)
-    from pyspark.sql import Window as W
-
     weight = got.withColumn("w", 1.0 / F.count(F.lit(1)).over(W.partitionBy("page_row")))
     whole = got.agg(F.countDistinct("page_row").alias("all"))
     return weight.groupBy("subject").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("w").alias("w")).crossJoin(F.broadcast(whole)).select("subject", "n_rows", F.round(F.col("w") / F.col("all"), 6).alias("share"))
