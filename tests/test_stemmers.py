@@ -12,6 +12,10 @@ PAIRS = {
     "norwegian": "havnedistrikt havnedistrikt havnedistriktene havnedistrikt havneeffektiv havneeffektiv opning opning opningen opning",
     "danish": "indtage indtag indtagelse indtag indtager indtag underste underst undersøgelse undersøg",
     "german": "aufeinander aufeinand aufeinanderfolge aufeinanderfolg kategorie kategori kategorien kategori kater kat katers kat katze katz katzen katz kätzchen katzch häuser haus",
+    "spanish": "cheposo chepos chequea cheque chica chic chicharra chicharr torcer torc tórax torax chicago chicag rápidamente rapid naciones nacion cantábamos cant",
+    "italian": "abbandonata abbandon abbandonate abbandon abbandonati abbandon pronto pront propaga propag nazionale nazional rapidamente rapid",
+    "portuguese": "boa boa bola bol bombas bomb químicas químic quis quis nações naçõ rapidamente rapid",
+    "dutch": "lichaamsziek lichaamsziek lichamelijk licham lichamelijke licham opgingen opging opglimlachen opglimlach mogelijkheden mogelijk",
     "russian": "в в вавиловка вавиловк вагнера вагнер важная важн важнее важн важнейшие важн важного важн важность важност вазы ваз",
 }
 

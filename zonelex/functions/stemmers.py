@@ -280,8 +280,237 @@ def russian(word: str) -> str:
     return w
 
 
+# --- the Romance languages -------------------------------------------------------------------------------------------
+
+
+def _rv(word: str, vowels: str) -> int:
+    """Start of RV: by the first two letters, behind the next vowel, the next consonant, or the third letter."""
+    if len(word) < 3:
+        return len(word)
+    if word[1] not in vowels:
+        after = [i for i in range(2, len(word)) if word[i] in vowels]
+    elif word[0] in vowels:
+        after = [i for i in range(2, len(word)) if word[i] not in vowels]
+    else:
+        return 3
+    return after[0] + 1 if after else len(word)
+
+
+def _longest(word: str, suffixes, region: int = 0) -> str:
+    return max((s for s in suffixes if word.endswith(s) and len(word) - len(s) >= region), key=len, default="")
+
+
+class _Word:
+    """A word with its regions, from whose end suffixes are taken."""
+
+    def __init__(self, text: str, vowels: str):
+        self.text, self.rv = text, _rv(text, vowels)
+        self.r1, self.r2 = _regions(text, vowels)
+
+    def drop(self, suffixes, region: int) -> str:
+        """Drop the longest of the suffixes that the word has, if it lies in the region."""
+        s = _longest(self.text, suffixes)
+        if s and len(self.text) - len(s) >= region:
+            self.text = self.text[: -len(s)]
+            return s
+        return ""
+
+
+#: Fixed values by language: suffix, region, replacement, and suffixes then dropped in R2 where they come before it.
+_Standard = list[tuple[str, str, str, tuple[tuple[str, ...], ...]]]
+
+
+def _standard(w: _Word, rules: _Standard) -> bool:
+    """The rule with the longest suffix of the word, if its region allows."""
+    best = max(((s, r) for r in rules for s in r[0].split() if w.text.endswith(s)), key=lambda x: len(x[0]), default=None)
+    if best is None:
+        return False
+    suffix, (_, region, replacement, before) = best
+    if len(w.text) - len(suffix) < getattr(w, region):
+        return False
+    w.text = w.text[: -len(suffix)] + replacement
+    for group in before:
+        if not w.drop(group, w.r2):
+            break
+        if group and group[0] != "iv":  # only -iv may be followed by another
+            break
+    return True
+
+
+_ES_V = "aeiouáéíóúü"
+_ES_PRONOUN = "me se sela selo selas selos la le lo las les los nos".split()
+_ES_STANDARD: _Standard = [
+    ("anza anzas ico ica icos icas ismo ismos able ables ible ibles ista istas oso osa osos osas amiento amientos imiento imientos", "r2", "", ()),
+    ("adora ador ación adoras adores aciones ante antes ancia ancias", "r2", "", (("ic",),)),
+    ("logía logías", "r2", "log", ()), ("ución uciones", "r2", "u", ()), ("encia encias", "r2", "ente", ()),
+    ("amente", "r1", "", (("iv", "os", "ic", "ad"), ("at",))), ("mente", "r2", "", (("ante", "able", "ible"),)),
+    ("idad idades", "r2", "", (("abil", "ic", "iv"),)), ("iva ivo ivas ivos", "r2", "", (("at",),)),
+]
+_ES_Y = "ya ye yan yen yeron yendo yo yó yas yes yais yamos".split()
+_ES_VERB = """arían arías arán arás aríais aría aréis aríamos aremos ará aré erían erías erán erás eríais ería eréis eríamos eremos erá eré irían irías irán
+irás iríais iría iréis iríamos iremos irá iré aba ada ida ía ara iera ad ed id ase iese aste iste an aban ían aran ieran asen iesen aron ieron ado ido ando iendo ió
+ar er ir as abas adas idas ías aras ieras ases ieses ís áis abais íais arais ierais aseis ieseis asteis isteis ados idos amos ábamos íamos imos áramos iéramos
+iésemos ásemos""".split()
+_ACUTE = str.maketrans("áéíóú", "aeiou")
+
+
+def spanish(word: str) -> str:
+    w = _Word(word, _ES_V)
+    s = _longest(w.text, _ES_PRONOUN, w.rv)
+    if s:
+        rest = w.text[: -len(s)]
+        e = _longest(rest, ("iéndo", "ándo", "ár", "ér", "ír", "iendo", "ando", "ar", "er", "ir", "yendo"), w.rv)
+        if e and (e != "yendo" or rest.endswith("uyendo")):
+            w.text = rest[: -len(e)] + e.translate(_ACUTE)
+    if not _es_standard(w):
+        s = _longest(w.text, _ES_Y, w.rv)
+        if s and w.text[: -len(s)].endswith("u"):
+            w.text = w.text[: -len(s)]
+        else:
+            s = _longest(w.text, ["en", "es", "éis", "emos", *_ES_VERB], w.rv)
+            if s:
+                w.text = w.text[: -len(s)]
+                if s in ("en", "es", "éis", "emos") and w.text.endswith("gu"):
+                    w.text = w.text[:-1]
+    s = _longest(w.text, ("os", "a", "o", "á", "í", "ó", "e", "é"), w.rv)
+    if s:
+        w.text = w.text[: -len(s)]
+        if s in ("e", "é") and w.text.endswith("gu") and len(w.text) - 1 >= w.rv:
+            w.text = w.text[:-1]
+    return w.text.translate(_ACUTE)
+
+
+def _es_standard(w: _Word) -> bool:
+    return _standard(w, _ES_STANDARD)
+
+
+_IT_V = "aeiouàèìòù"
+_IT_PRONOUN = """ci gli la le li lo mi ne si ti vi sene gliela gliele glieli glielo gliene mela mele meli melo mene tela tele teli telo tene cela cele celi celo cene
+vela vele veli velo vene""".split()
+_IT_STANDARD: _Standard = [
+    ("anza anze ico ici ica ice iche ichi ismo ismi abile abili ibile ibili ista iste isti istà istè istì oso osi osa ose mente atrice atrici ante anti", "r2", "", ()),
+    ("azione azioni atore atori", "r2", "", (("ic",),)), ("logia logie", "r2", "log", ()), ("uzione uzioni usione usioni", "r2", "u", ()), ("enza enze", "r2", "ente", ()),
+    ("amento amenti imento imenti", "rv", "", ()), ("amente", "r1", "", (("iv", "os", "ic", "abil"), ("at",))), ("ità", "r2", "", (("abil", "ic", "iv"),)),
+    ("ivo ivi iva ive", "r2", "", (("at",),)),
+]
+_IT_VERB = """ammo ando ano are arono asse assero assi assimo ata ate ati ato ava avamo avano avate avi avo emmo enda ende endi endo erà erai eranno ere erebbe erebbero
+erei eremmo eremo ereste eresti erete erò erono essero ete eva evamo evano evate evi evo Yamo iamo immo irà irai iranno ire irebbe irebbero irei iremmo iremo ireste
+iresti irete irò irono isca iscano isce isci isco iscono issero ita ite iti ito iva ivamo ivano ivate ivi ivo ono uta ute uti uto ar ir""".split()
+
+
+def italian(word: str) -> str:
+    text = word.translate(str.maketrans("áéíóú", "àèìòù")).replace("qu", "qU")
+    text = re.sub(f"(?<=[{_IT_V}])([ui])(?=[{_IT_V}])", lambda m: m.group(1).upper(), text)
+    w = _Word(text, _IT_V)
+    s = _longest(w.text, _IT_PRONOUN)
+    if s:
+        rest = w.text[: -len(s)]
+        e = _longest(rest, ("ando", "endo", "ar", "er", "ir"), w.rv)
+        if e:
+            w.text = rest if len(e) > 2 else rest + "e"
+    if not _standard(w, _IT_STANDARD):
+        w.drop([_longest(w.text, _IT_VERB, w.rv) or "\0"], w.rv)
+    if w.drop("a e i o à è ì ò".split(), w.rv):
+        w.drop(("i",), w.rv)
+    if w.text.endswith(("ch", "gh")) and len(w.text) - 1 >= w.rv:
+        w.text = w.text[:-1]
+    return w.text.replace("U", "u").replace("I", "i")
+
+
+_PT_V = "aeiouáéíóúâêô"
+_PT_STANDARD: _Standard = [
+    ("eza ezas ico ica icos icas ismo ismos ável ível ista istas oso osa osos osas amento amentos imento imentos adora ador aça~o adoras adores aço~es ante antes ância", "r2", "", ()),
+    ("logia logias", "r2", "log", ()), ("uça~o uço~es", "r2", "u", ()), ("ência ências", "r2", "ente", ()),
+    ("amente", "r1", "", (("iv", "os", "ic", "ad"), ("at",))), ("mente", "r2", "", (("ante", "avel", "ível"),)), ("idade idades", "r2", "", (("abil", "ic", "iv"),)),
+    ("iva ivo ivas ivos", "r2", "", (("at",),)),
+]
+_PT_VERB = """ada ida ia aria eria iria ará ara erá irá ava asse esse isse aste este iste ei arei erei irei am iam ariam eriam iriam aram eram iram avam em arem erem
+irem assem essem issem ado ido ando endo indo ara~o era~o ira~o ar er ir as adas idas ias arias erias irias arás aras erás irás avas es ardes erdes irdes ares eres ires
+asses esses isses astes estes istes is ais eis íeis aríeis eríeis iríeis áreis areis éreis ereis íreis ireis ásseis ésseis ísseis áveis ados idos ámos amos íamos aríamos
+eríamos iríamos áramos éramos íramos ávamos emos aremos eremos iremos ássemos êssemos íssemos imos armos ermos irmos eu iu ou ira iras""".split()
+
+
+def portuguese(word: str) -> str:
+    w = _Word(word.replace("ã", "a~").replace("õ", "o~"), _PT_V)
+    changed = _standard(w, _PT_STANDARD)
+    if not changed and w.text.endswith(("eira", "eiras")) and len(w.text) - (3 if w.text.endswith("a") else 4) >= w.rv:
+        w.text, changed = w.text[: w.text.rindex("ira")] + "ir", True
+    if not changed:
+        s = _longest(w.text, _PT_VERB, w.rv)
+        if s:
+            w.text, changed = w.text[: -len(s)], True
+    if changed:
+        if w.text.endswith("ci") and len(w.text) - 1 >= w.rv:
+            w.text = w.text[:-1]
+    else:
+        w.drop("os a i o á í ó".split(), w.rv)
+    s = _longest(w.text, ("e", "é", "ê"), w.rv)
+    if s:
+        w.text = w.text[:-1]
+        if w.text.endswith(("gu", "ci")) and len(w.text) - 1 >= w.rv:
+            w.text = w.text[:-1]
+    elif w.text.endswith("ç"):
+        w.text = w.text[:-1] + "c"
+    return w.text.replace("a~", "ã").replace("o~", "õ")
+
+
+# --- Dutch -----------------------------------------------------------------------------------------------------------
+
+
+def dutch(word: str) -> str:
+    v = "aeiouyè"
+    w = word.translate(str.maketrans("äëïöüáéíóú", "aeiouaeiou"))
+    w = re.sub(f"(?<=[{v}])y", "Y", "Y" + w[1:] if w[:1] == "y" else w)
+    w = re.sub(f"(?<=[{v}])i(?=[{v}])", "I", w)
+    r1, r2 = _regions(w, v)
+    r1 = max(r1, min(3, len(w)))
+
+    def undouble(x: str) -> str:
+        return x[:-1] if x.endswith(("kk", "dd", "tt")) else x
+
+    def without_en(x: str, s: str) -> str:
+        rest = x[: -len(s)]
+        fits = len(rest) >= r1 and rest[-1:] not in tuple(v) and not rest.endswith("gem")
+        return undouble(rest) if fits and rest else x
+
+    def without_e(x: str) -> tuple[str, bool]:
+        rest = x[:-1]
+        if x.endswith("e") and len(rest) >= r1 and rest[-1:] not in tuple(v):
+            return undouble(rest), True
+        return x, False
+
+    s = _longest(w, ("heden", "en", "ene", "s", "se"))
+    if s == "heden" and len(w) - 5 >= r1:
+        w = w[:-5] + "heid"
+    elif s in ("en", "ene"):
+        w = without_en(w, s)
+    elif s in ("s", "se"):
+        rest = w[: -len(s)]
+        if len(rest) >= r1 and rest[-1:] not in tuple(v + "j"):
+            w = rest
+    w, dropped = without_e(w)
+    if w.endswith("heid") and len(w) - 4 >= r2 and not w.endswith("cheid"):
+        w = w[:-4]
+        if w.endswith("en"):
+            w = without_en(w, "en")
+    s = _longest(w, ("end", "ing", "ig", "lijk", "baar", "bar"))
+    if s and len(w) - len(s) >= r2:
+        rest = w[: -len(s)]
+        if s in ("end", "ing"):
+            w = rest[:-2] if rest.endswith("ig") and len(rest) - 2 >= r2 and not rest.endswith("eig") else undouble(rest)
+        elif s == "ig":
+            w = w if rest.endswith("e") else rest
+        elif s == "lijk":
+            w = without_e(rest)[0]
+        elif s == "baar" or dropped:
+            w = rest
+    w = re.sub(f"([^{v}I])(aa|ee|oo|uu)([^{v}I])$", lambda m: m.group(1) + m.group(2)[0] + m.group(3), w)
+    return w.replace("I", "i").replace("Y", "y")
+
+
 BUILT: dict[str, Callable[[str], str]] = {
     "porter": porter, "english": english, "swedish": swedish, "norwegian": norwegian, "danish": danish, "german": german, "russian": russian,
+    "spanish": spanish, "italian": italian, "portuguese": portuguese, "dutch": dutch,
 }
 
 
