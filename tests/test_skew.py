@@ -52,6 +52,14 @@ def test_numbers_are_dense_and_running_totals_exact(spark, tmp_path):
     assert all(all(x) for x in seen.values())
 
 
+def test_shared_tables_are_read_once_written_and_released(spark):
+    from zonelex.session import _WRITTEN, materialized, release
+
+    df = materialized(spark.range(10))
+    assert df.count() == 10 and len(_WRITTEN) >= 1
+    assert release(spark) >= 1 and not _WRITTEN
+
+
 def test_empty_table(spark):
     assert per_key_totals(spark.createDataFrame([], SCHEMA), "k", "v", "item").count() == 0
 

@@ -15,6 +15,8 @@ PAIRS = {
     "spanish": "cheposo chepos chequea cheque chica chic chicharra chicharr torcer torc tórax torax chicago chicag rápidamente rapid naciones nacion cantábamos cant",
     "italian": "abbandonata abbandon abbandonate abbandon abbandonati abbandon pronto pront propaga propag nazionale nazional rapidamente rapid",
     "portuguese": "boa boa bola bol bombas bomb químicas químic quis quis nações naçõ rapidamente rapid",
+    "french": "continu continu continua continu continuait continu continuant continu continuation continu contradiction contradict contradictoirement contradictoir "
+    "majestueusement majestu majestueux majestu majorité major malades malad maladie malad maladies malad nationalité national évidemment évident",
     "dutch": "lichaamsziek lichaamsziek lichamelijk licham lichamelijke licham opgingen opging opglimlachen opglimlach mogelijkheden mogelijk",
     "russian": "в в вавиловка вавиловк вагнера вагнер важная важн важнее важн важнейшие важн важного важн важность важност вазы ваз",
 }

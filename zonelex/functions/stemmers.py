@@ -454,6 +454,142 @@ def portuguese(word: str) -> str:
     return w.text.replace("a~", "ã").replace("o~", "õ")
 
 
+_FR_V = "aeiouyâàëéêèïîôûù"
+_FR_VERB_I = """îmes ît îtes i ie ies ir ira irai iraIent irais irait iras irent irez iriez irions irons iront is issaIent issais issait issant issante issantes
+issants isse issent isses issez issiez issions issons it""".split()
+_FR_VERB_E = "é ée ées és èrent er era erai eraIent erais erait eras erez eriez erions erons eront ez iez".split()
+_FR_VERB_A = "âmes ât âtes a ai aIent ais ait ant ante antes ants as asse assent asses assiez assions".split()
+
+
+def french(word: str) -> str:
+    v = _FR_V
+    t = word.replace("qu", "qU")
+    t = re.sub(f"(?<=[{v}])([ui])(?=[{v}])", lambda m: m.group(1).upper(), t)
+    t = re.sub(f"(?<=[{v}])y|y(?=[{v}])", "Y", t)
+    w = _Word(t, v)
+    if t[:3] in ("par", "col", "tap") or len(t) > 1 and t[0] in v and t[1] in v:
+        w.rv = min(3, len(t))
+    else:
+        w.rv = next((i + 1 for i in range(1, len(t)) if t[i] in v), len(t))
+    changed, again = _fr_standard(w)
+    if not changed or again:
+        s = _longest(w.text, _FR_VERB_I, w.rv)
+        if s and len(w.text) - len(s) - 1 >= w.rv and w.text[-len(s) - 1] not in v:
+            w.text, changed = w.text[: -len(s)], True
+        else:
+            e = _longest(w.text, [*_FR_VERB_E, *_FR_VERB_A, "ions"], w.rv)
+            if e == "ions":
+                if len(w.text) - 4 >= w.r2:
+                    w.text, changed, again = w.text[:-4], True, False
+            elif e:
+                w.text, changed, again = w.text[: -len(e)], True, False
+                if e in _FR_VERB_A and w.text.endswith("e") and len(w.text) - 1 >= w.rv:
+                    w.text = w.text[:-1]
+    if changed:
+        if w.text.endswith("Y"):
+            w.text = w.text[:-1] + "i"
+        elif w.text.endswith("ç"):
+            w.text = w.text[:-1] + "c"
+    else:
+        if w.text.endswith("s") and w.text[-2:-1] not in tuple("aiouès"):
+            w.text = w.text[:-1]
+        s = _longest(w.text, ("ion", "ier", "ière", "Ier", "Ière", "e"), w.rv)
+        if s == "ion":
+            if len(w.text) - 3 >= w.r2 and w.text[-4:-3] in ("s", "t") and len(w.text) - 4 >= w.rv:
+                w.text = w.text[:-3]
+        elif s == "e":
+            w.text = w.text[:-1]
+        elif s:
+            w.text = w.text[: -len(s)] + "i"
+    if w.text.endswith(("enn", "onn", "ett", "ell", "eill")):
+        w.text = w.text[:-1]
+    m = re.search(f"[éè]([^{v}]+)$", w.text)
+    if m:
+        w.text = w.text[: m.start()] + "e" + m.group(1)
+    return w.text.replace("I", "i").replace("U", "u").replace("Y", "y")
+
+
+def _fr_standard(w: _Word) -> tuple[bool, bool]:
+    """Standard endings: whether the word changed, and whether verb endings are to be tried all the same."""
+    v, x = _FR_V, w.text
+    rules = {
+        "ance iqUe isme able iste eux ances iqUes ismes ables istes": "a", "atrice ateur ation atrices ateurs ations": "b", "logie logies": "c", "usion ution usions utions": "d",
+        "ence ences": "e", "ement ements": "f", "ité ités": "g", "if ive ifs ives": "h", "eaux": "i", "aux": "j", "euse euses": "k", "issement issements": "l",
+        "amment": "m", "emment": "n", "ment ments": "o",
+    }
+    found = max(((s, k) for ss, k in rules.items() for s in ss.split() if x.endswith(s)), key=lambda f: len(f[0]), default=None)
+    if found is None:
+        return False, False
+    s, kind = found
+    at = len(x) - len(s)
+    in_r1, in_r2, in_rv = at >= w.r1, at >= w.r2, at >= w.rv
+    rest = x[:at]
+
+    def in_region(n: int, region: int) -> bool:
+        return len(w.text) - n >= region
+
+    if kind in "abcdegh" and not in_r2 or kind in "fmn" and not in_rv or kind in "jl" and not in_r1:
+        return False, False
+    if kind == "a":
+        w.text = rest
+    elif kind == "b":
+        w.text = rest
+        if rest.endswith("ic"):
+            w.text = rest[:-2] if in_region(2, w.r2) else rest[:-2] + "iqU"
+    elif kind in "cde":
+        w.text = rest + {"c": "log", "d": "u", "e": "ent"}[kind]
+    elif kind == "f":
+        w.text = rest
+        if rest.endswith("iv") and in_region(2, w.r2):
+            w.text = rest[:-2]
+            if w.text.endswith("at") and in_region(2, w.r2):
+                w.text = w.text[:-2]
+        elif rest.endswith("eus"):
+            w.text = rest[:-3] if in_region(3, w.r2) else rest[:-1] + "x" if in_region(3, w.r1) else rest
+        elif rest.endswith(("abl", "iqU")) and in_region(3, w.r2):
+            w.text = rest[:-3]
+        elif rest.endswith(("ièr", "Ièr")) and in_region(3, w.rv):
+            w.text = rest[:-3] + "i"
+    elif kind == "g":
+        w.text = rest
+        if rest.endswith("abil"):
+            w.text = rest[:-4] if in_region(4, w.r2) else rest[:-2] + "l"
+        elif rest.endswith("ic"):
+            w.text = rest[:-2] if in_region(2, w.r2) else rest[:-2] + "iqU"
+        elif rest.endswith("iv") and in_region(2, w.r2):
+            w.text = rest[:-2]
+    elif kind == "h":
+        w.text = rest
+        if rest.endswith("at") and in_region(2, w.r2):
+            w.text = rest[:-2]
+            if w.text.endswith("ic"):
+                w.text = w.text[:-2] if in_region(2, w.r2) else w.text[:-2] + "iqU"
+    elif kind == "i":
+        w.text = rest + "eau"
+    elif kind == "j":
+        w.text = rest + "al"
+    elif kind == "k":
+        if not in_r2 and not in_r1:
+            return False, False
+        w.text = rest if in_r2 else rest + "eux"
+    elif kind == "l":
+        if not rest or rest[-1] in v:
+            return False, False
+        w.text = rest
+    elif kind == "m":
+        w.text = rest + "ant"
+        return True, True
+    elif kind == "n":
+        w.text = rest + "ent"
+        return True, True
+    else:
+        if not rest or rest[-1] not in v or at - 1 < w.rv:
+            return False, False
+        w.text = rest
+        return True, True
+    return True, False
+
+
 # --- Dutch -----------------------------------------------------------------------------------------------------------
 
 
@@ -510,7 +646,7 @@ def dutch(word: str) -> str:
 
 BUILT: dict[str, Callable[[str], str]] = {
     "porter": porter, "english": english, "swedish": swedish, "norwegian": norwegian, "danish": danish, "german": german, "russian": russian,
-    "spanish": spanish, "italian": italian, "portuguese": portuguese, "dutch": dutch,
+    "spanish": spanish, "italian": italian, "portuguese": portuguese, "dutch": dutch, "french": french,
 }
 
 
