@@ -22,7 +22,6 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +31,8 @@ from ..session import materialized, table
 
 #: Signatures of one leaf join a template if at least this share of their tokens agree.
 SIMILAR = 0.6
+#: Signatures of a leaf before it is parted further.
+MAX_LEAF = 1_000
 #: A message is filler if at least this share of its words is filler vocabulary.
 FILLER_SHARE = 0.6
 #: Bound of the filler vocabulary, by frequency.
@@ -193,11 +194,12 @@ def cut(pages: DataFrame) -> DataFrame:
 # --- templates ---------------------------------------------------------------------------------------------------
 
 
-def _mine(leaf: pd.DataFrame) -> pd.DataFrame:
-    """Templates of one leaf: each signature joins the most similar template, which then keeps what they share."""
+def _mine(signatures: list[str]) -> list[str]:
+    """The template of each signature of one leaf, in order: a signature joins the most similar template, which then
+    keeps what they share."""
     templates: list[list[str]] = []
     member = []
-    for s in leaf.sort_values("signature")["signature"]:
+    for s in signatures:
         tokens = s.split(" ")
         best, at = 0.0, -1
         for i, t in enumerate(templates):
@@ -209,18 +211,45 @@ def _mine(leaf: pd.DataFrame) -> pd.DataFrame:
         else:
             at = len(templates)
             templates.append(tokens)
-        member.append((s, at))
-    return pd.DataFrame({"signature": [s for s, _ in member], "template": [" ".join(templates[i]) for _, i in member]})
+        member.append(at)
+    return [" ".join(templates[i]) for i in member]
 
 
 def mine_templates(units: DataFrame) -> DataFrame:
-    """(signature, n, template) of every distinct signature."""
+    """(signature, n, template) of every distinct signature. A leaf with more than ``MAX_LEAF`` signatures is parted
+    further by its next tokens, so that no leaf is large; leaves are mined one after the other as they come sorted."""
     signs = units.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
     t = F.split("signature", " ")
     size = F.size(t)
     leaf = F.concat_ws(" ", size.cast("string"), F.array_join(F.slice(t, 1, 3), " "), F.element_at(t, -1))
-    mined = signs.select("signature", leaf.alias("leaf")).groupBy("leaf").applyInPandas(_mine, "signature string, template string")
-    return signs.join(mined, "signature")
+    placed = signs.withColumn("leaf", leaf)
+    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"))
+    part = F.pmod(F.xxhash64(F.array_join(F.slice(t, 4, 4), " ")), F.ceil(F.col("m") / MAX_LEAF))
+    deeper = join_back(placed, sizes, "leaf", "m", ["signature"]).select("signature", "n", F.concat_ws("#", "leaf", part.cast("string")).alias("leaf"))
+
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+
+        def done(rows: list[tuple[str, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array([s for s, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64()), pa.array(_mine([s for s, _ in rows]), pa.string())], ["signature", "n", "template"]
+            )
+
+        for batch in batches:
+            out = []
+            for s, n, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if at != here and held:
+                    out.append(done(held))
+                    held = []
+                here = at
+                held.append((s, n))
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+        if held:
+            yield done(held)
+
+    ordered = deeper.repartition("leaf").sortWithinPartitions("leaf", "signature")
+    return ordered.mapInArrow(mine, "signature string, n bigint, template string")
 
 
 # --- classification ----------------------------------------------------------------------------------------------

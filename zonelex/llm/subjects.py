@@ -44,7 +44,7 @@ INNER = 12
 ALPHA = 0.1
 ETA = 0.02
 TOP_TERMS = 30
-MAX_LABELLED = 4_000
+MAX_LABELLED = 2_000
 AT_ONCE = 512
 
 _MARKUP = re.compile(r"<[^<>]{1,200}>|\{\{[^{}]*\}\}|\[https?://[^\s\]]+|https?://\S+|\]\([^)]*\)|\\[a-z]+|&\w+;")
