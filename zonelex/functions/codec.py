@@ -1,9 +1,8 @@
-"""Frequency-string and gap codecs of postings."""
+"""Codec of frequency strings."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Zone letters in the order in which a frequency string lists them; body comes first, without a letter.
@@ -36,14 +35,3 @@ def total_freq(freq: Column) -> Column:
     for letter in FREQ_ORDER:
         total = total + decode_freq(freq, letter).cast("bigint")
     return total
-
-
-def gap_encode(postings: DataFrame, out: str = "gap") -> DataFrame:
-    """First id of a term as it is, every later one as its distance from the one before."""
-    w = W.partitionBy("term").orderBy("doc_id")
-    return postings.withColumn(out, F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.lit(0)))
-
-
-def gap_decode(gaps: DataFrame, order: str, out: str = "doc_id") -> DataFrame:
-    w = W.partitionBy("term").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return gaps.withColumn(out, F.sum("gap").over(w))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..operators import gaps
 from ..operators import search as sr
 from ..operators.postings import latest_postings, split_of, split_starts
 from ..session import materialized, table
@@ -34,12 +35,12 @@ def freq_encode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gap_encode(spark: SparkSession, d: str) -> DataFrame:
-    return codec.gap_encode(_posting(spark, d).select("term", "doc_id")).select("term", "doc_id", "gap")
+    return gaps.gap_encode(_posting(spark, d).select("term", "doc_id")).select("term", "doc_id", "gap")
 
 
 def gap_decode(spark: SparkSession, d: str) -> DataFrame:
-    gaps = codec.gap_encode(_posting(spark, d).select("term", "doc_id")).select("term", F.col("doc_id").alias("place"), "gap")
-    return codec.gap_decode(gaps, "place").select("term", "doc_id", "gap")
+    coded = gaps.gap_encode(_posting(spark, d).select("term", "doc_id")).select("term", F.col("doc_id").alias("place"), "gap")
+    return gaps.gap_decode(coded, "place").select("term", "doc_id", "gap")
 
 
 def milestone_lookup(spark: SparkSession, d: str) -> DataFrame:
