@@ -229,24 +229,34 @@ def mine_templates(units: DataFrame) -> DataFrame:
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held = None, []
-
-        def done(rows: list[tuple[str, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64()), pa.array(_mine([s for s, _ in rows]), pa.string())], ["signature", "n", "template"]
-            )
+        signs: list[str] = []
+        counts: list[int] = []
+        templates: list[str] = []
+
+        def close() -> None:
+            signs.extend(s for s, _ in held)
+            counts.extend(n for _, n in held)
+            templates.extend(_mine([s for s, _ in held]))
+            held.clear()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(signs, pa.string()), pa.array(counts, pa.int64()), pa.array(templates, pa.string())], ["signature", "n", "template"])
+            for x in (signs, counts, templates):
+                x.clear()
+            return out
 
         for batch in batches:
-            out = []
-            for s, n, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if at != here and held:
-                    out.append(done(held))
-                    held = []
-                here = at
-                held.append((s, n))
-            if out:
-                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+            for a in range(0, batch.num_rows, 2048):
+                part = batch.slice(a, 2048)
+                for s, n, at in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    if at != here and held:
+                        close()
+                    here = at
+                    held.append((s, n))
+                yield flush()
         if held:
-            yield done(held)
+            close()
+            yield flush()
 
     ordered = deeper.repartition("leaf").sortWithinPartitions("leaf", "signature")
     return ordered.mapInArrow(mine, "signature string, n bigint, template string")
