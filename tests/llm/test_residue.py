@@ -57,7 +57,7 @@ def test_templates_merge_what_differs():
 def test_large_leaves_are_parted_and_nothing_is_lost(spark, monkeypatch):
     monkeypatch.setattr(R, "MAX_LEAF", 10)
     signs = [f"no route matches p{i % 7} q{i} ." for i in range(200)] + ["x", "<value> lorem ipsum"]
-    df = spark.createDataFrame([(s,) for s in signs for _ in range(1 + len(s) % 3)], "signature string")
+    df = spark.createDataFrame([(R.sign(s), s) for s in signs for _ in range(1 + len(s) % 3)], "sign binary, signature string")
     got = {r.signature: (r.n, r.template) for r in R.mine_templates(df).collect()}
     assert {s: 1 + len(s) % 3 for s in signs} == {s: n for s, (n, _) in got.items()}
     assert all(t.startswith("no route matches") for s, (_, t) in got.items() if s.startswith("no")) and len({t for _, t in got.values()}) < 120

@@ -18,6 +18,7 @@ first in signature order; very long fields are read whole; an empty table gives
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -159,19 +160,23 @@ def signature(key: str | None, message: str) -> tuple[str, int]:
 
 
 def hash_text(text: str) -> str:
-    import hashlib
-
     return hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
 
 
+def sign(signature_: str) -> bytes:
+    """Sixteen bytes that stand for a signature where messages are exchanged."""
+    return hashlib.blake2b(signature_.encode(), digest_size=16).digest()
+
+
 def cut(pages: DataFrame) -> DataFrame:
-    """(page_row, field, signature, n_words, slot) of every message."""
+    """(page_row, field, sign, signature, n_words, slot) of every message."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512).to_pydict()
                 ids, fields, signs, sizes, slots = [], [], [], [], []
+                known: dict[str, bytes] = {}
                 for field in ("infobox", "body"):
                     for page, text in zip(part["page_row"], part[field]):
                         for key, message in messages(field, text) if text else ():
@@ -181,13 +186,14 @@ def cut(pages: DataFrame) -> DataFrame:
                             signs.append(s)
                             sizes.append(n)
                             slots.append("<slot>" in s or "<key>" in s)
+                short = [known.get(x) or known.setdefault(x, sign(x)) for x in signs]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(signs, pa.string()), pa.array(sizes, pa.int32()), pa.array(slots, pa.bool_())],
-                    ["page_row", "field", "signature", "n_words", "slot"],
+                    [pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(short, pa.binary()), pa.array(signs, pa.string()), pa.array(sizes, pa.int32()), pa.array(slots, pa.bool_())],
+                    ["page_row", "field", "sign", "signature", "n_words", "slot"],
                 )
 
     return pages.select(F.col("page_row").cast("bigint").alias("page_row"), "infobox", "body").mapInArrow(
-        rows, "page_row bigint, field string, signature string, n_words int, slot boolean"
+        rows, "page_row bigint, field string, sign binary, signature string, n_words int, slot boolean"
     )
 
 
@@ -216,50 +222,45 @@ def _mine(signatures: list[str]) -> list[str]:
 
 
 def mine_templates(units: DataFrame) -> DataFrame:
-    """(signature, n, template) of every distinct signature. A leaf with more than ``MAX_LEAF`` signatures is parted
+    """(sign, signature, n, template) of every distinct signature. A leaf with more than ``MAX_LEAF`` signatures is parted
     further by its next tokens, so that no leaf is large; leaves are mined one after the other as they come sorted."""
-    signs = units.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+    signs = units.groupBy("sign", "signature").agg(F.count(F.lit(1)).alias("n"))
     t = F.split("signature", " ")
     size = F.size(t)
     leaf = F.concat_ws(" ", size.cast("string"), F.array_join(F.slice(t, 1, 3), " "), F.element_at(t, -1))
     placed = signs.withColumn("leaf", leaf)
     sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"))
     part = F.pmod(F.xxhash64(F.array_join(F.slice(t, 4, 4), " ")), F.ceil(F.col("m") / MAX_LEAF))
-    deeper = join_back(placed, sizes, "leaf", "m", ["signature"]).select("signature", "n", F.concat_ws("#", "leaf", part.cast("string")).alias("leaf"))
+    deeper = join_back(placed, sizes, "leaf", "m", ["sign"]).select("signature", "n", F.concat_ws("#", "leaf", part.cast("string")).alias("leaf"), "sign")
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held = None, []
-        signs: list[str] = []
-        counts: list[int] = []
-        templates: list[str] = []
+        out: list[tuple[bytes, str, int, str]] = []
 
         def close() -> None:
-            signs.extend(s for s, _ in held)
-            counts.extend(n for _, n in held)
-            templates.extend(_mine([s for s, _ in held]))
+            out.extend((b, s, n, t) for (b, s, n), t in zip(held, _mine([s for _, s, _ in held])))
             held.clear()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(signs, pa.string()), pa.array(counts, pa.int64()), pa.array(templates, pa.string())], ["signature", "n", "template"])
-            for x in (signs, counts, templates):
-                x.clear()
-            return out
+            columns = list(zip(*out)) or [()] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.string(), pa.int64(), pa.string()))], ["sign", "signature", "n", "template"])
 
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                for s, n, at in zip(*(part.column(i).to_pylist() for i in range(3))):
+                for s, n, at, b in zip(*(part.column(i).to_pylist() for i in range(4))):
                     if at != here and held:
                         close()
                     here = at
-                    held.append((s, n))
+                    held.append((b, s, n))
                 yield flush()
         if held:
             close()
             yield flush()
 
     ordered = deeper.repartition("leaf").sortWithinPartitions("leaf", "signature")
-    return ordered.mapInArrow(mine, "signature string, n bigint, template string")
+    return ordered.mapInArrow(mine, "sign binary, signature string, n bigint, template string")
 
 
 # --- classification ----------------------------------------------------------------------------------------------
@@ -368,7 +369,7 @@ def filler_vocabulary(verdicts: DataFrame) -> list[str]:
 
 
 def verdicts(units: DataFrame) -> DataFrame:
-    """(signature, n, template, verdict) of every distinct signature; one classification a template."""
+    """(sign, signature, n, template, verdict) of every distinct signature; one classification a template."""
     templates = mine_templates(units)
     kinds = templates.select("template").distinct().withColumn("verdict", classify(F.col("template")))
     first = materialized(templates.join(kinds, "template"))
@@ -384,10 +385,10 @@ def verdicts(units: DataFrame) -> DataFrame:
 def residue(pages: DataFrame) -> DataFrame:
     """(page_row, field, n_words, verdict) of every message; verdict null for content."""
     units = materialized(cut(pages))
-    bad = verdicts(units).where("verdict is not null").select("signature", "n", "verdict")
+    bad = verdicts(units).where("verdict is not null").select("sign", "n", "verdict")
     slots = units.where("slot").select("page_row", "field", "n_words", F.lit("slot").alias("verdict"))
-    rest = units.where("not slot").select("page_row", "field", "n_words", "signature")
-    said = join_back(rest, bad, "signature", "n", ["page_row"]).select("page_row", "field", "n_words", "verdict")
+    rest = units.where("not slot").select("page_row", "field", "n_words", "sign")
+    said = join_back(rest, bad, "sign", "n", ["page_row"]).select("page_row", "field", "n_words", "verdict")
     return slots.unionByName(said)
 
 
