@@ -13,7 +13,7 @@ ASCII-lowered), so case, spacing and punctuation don't matter. Then, in one pass
    near each other are chained in order, gaps between them are aligned by longest common subsequence, and the matched share of the item's
    characters must reach ``SHARE``.
 
-The items are a fixed, small set; their keys go to the tasks in blocks of at most ``BLOCK`` items. Cases: null, empty
+The items are a fixed, small set (one pass here); more are taken in passes of ``BLOCK`` items each. Cases: null, empty
 and tiny texts and items give no rows; repeated documents each count; repeated items each count; very long texts are
 read in slices; extra columns are ignored.
 """
@@ -41,7 +41,7 @@ SEED_CHARS = 10
 #: The pieces of a leak stand within this many times the item's length, and SLACK characters.
 SPAN = 2
 SLACK = 400
-BLOCK = 2_000
+BLOCK = 1_000
 #: Windows embedded at once: keeps the arrays of the walk inside the CPU's cache.
 AT_ONCE = 1 << 16
 #: Characters of normalized text gathered before they are embedded.
@@ -282,34 +282,49 @@ def _scan_some(reduced: list[bytes], items: Items, share: float) -> list[tuple[i
     return out
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, id_column: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, share): the corpus documents that hold held-out items. One map over the corpus."""
-    spark = documents.sparkSession
-    rows = [(r[0], r[1]) for r in eval_items.select("item_id", "item_text").where("item_id is not null and item_text is not null").toLocalIterator()]
-    blocks = [rows[a : a + BLOCK] for a in range(0, len(rows), BLOCK)] or [[]]
-    sent = [spark.sparkContext.broadcast(b) for b in blocks]
+def _pass(documents: DataFrame, id_column: str, text: str, rows: list[tuple[int, str]], share: float) -> DataFrame:
+    """One map over the corpus for at most ``BLOCK`` items."""
+    sent = documents.sparkSession.sparkContext.broadcast(rows)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [Items(b.value) for b in sent]
+        items = Items(sent.value)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
             for a in range(0, batch.num_rows, 4096):
-                part = texts.slice(a, 4096).to_pylist()
-                names = ids.slice(a, 4096).to_pylist()
-                for items in known:
-                    got = scan(part, items, share)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([names[d] for d, _, _ in got], pa.int64()),
-                            pa.array([items.ids[k] for _, k, _ in got], pa.int64()),
-                            pa.array([s for _, _, s in got], pa.float64()),
-                        ],
-                        ["doc_id", "item_id", "share"],
-                    )
+                names = batch.column(0).slice(a, 4096).to_pylist()
+                got = scan(batch.column(1).slice(a, 4096).to_pylist(), items, share)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([names[d] for d, _, _ in got], pa.int64()),
+                        pa.array([items.ids[k] for _, k, _ in got], pa.int64()),
+                        pa.array([s for _, _, s in got], pa.float64()),
+                    ],
+                    ["doc_id", "item_id", "share"],
+                )
 
     return documents.select(documents[id_column].cast("bigint"), text).mapInArrow(find, "doc_id bigint, item_id bigint, share double")
 
 
+def leaks(documents: DataFrame, eval_items: DataFrame, id_column: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
+    """(doc_id, item_id, share): the corpus documents that hold held-out items. Items come to the driver one after the
+    other and go out in blocks of at most ``BLOCK``, one map over the corpus a block; what a task holds stays bounded
+    however many items there are."""
+    out, block = None, []
+
+    def flush() -> None:
+        nonlocal out, block
+        one = _pass(documents, id_column, text, block, share)
+        out = one if out is None else out.unionByName(one)
+        block = []
+
+    for r in eval_items.select("item_id", "item_text").where("item_id is not null and item_text is not null").toLocalIterator():
+        block.append((r[0], r[1]))
+        if len(block) == BLOCK:
+            flush()
+    if block or out is None:
+        flush()
+    return out
+
+
 def found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id").distinct()
 

@@ -224,21 +224,21 @@ def _mine(signatures: list[str]) -> list[str]:
 def mine_templates(units: DataFrame) -> DataFrame:
     """(sign, signature, n, template) of every distinct signature. A leaf with more than ``MAX_LEAF`` signatures is parted
     further by its next tokens, so that no leaf is large; leaves are mined one after the other as they come sorted."""
-    signs = units.groupBy("sign", "signature").agg(F.count(F.lit(1)).alias("n"))
+    signs = units.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
     t = F.split("signature", " ")
     size = F.size(t)
     leaf = F.concat_ws(" ", size.cast("string"), F.array_join(F.slice(t, 1, 3), " "), F.element_at(t, -1))
     placed = signs.withColumn("leaf", leaf)
     sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"))
     part = F.pmod(F.xxhash64(F.array_join(F.slice(t, 4, 4), " ")), F.ceil(F.col("m") / MAX_LEAF))
-    deeper = join_back(placed, sizes, "leaf", "m", ["sign"]).select("signature", "n", F.concat_ws("#", "leaf", part.cast("string")).alias("leaf"), "sign")
+    deeper = join_back(placed, sizes, "leaf", "m", ["signature"]).select("signature", "n", F.concat_ws("#", "leaf", part.cast("string")).alias("leaf"))
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held = None, []
         out: list[tuple[bytes, str, int, str]] = []
 
         def close() -> None:
-            out.extend((b, s, n, t) for (b, s, n), t in zip(held, _mine([s for _, s, _ in held])))
+            out.extend((sign(s), s, n, t) for (s, n), t in zip(held, _mine([s for s, _ in held])))
             held.clear()
 
         def flush() -> pa.RecordBatch:
@@ -249,11 +249,11 @@ def mine_templates(units: DataFrame) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                for s, n, at, b in zip(*(part.column(i).to_pylist() for i in range(4))):
+                for s, n, at in zip(*(part.column(i).to_pylist() for i in range(3))):
                     if at != here and held:
                         close()
                     here = at
-                    held.append((b, s, n))
+                    held.append((s, n))
                 yield flush()
         if held:
             close()
