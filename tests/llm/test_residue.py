@@ -71,3 +71,18 @@ def test_filler_vocabulary_finds_filler_without_a_beginning(spark):
 
 def test_empty_table(spark):
     assert R.residue(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_what_stands_late_in_a_long_message_is_found(spark):
+    long = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90))
+    rows = [
+        (1, None, f"{long} and {{{{{{name}}}}}} lived there."),
+        (2, None, f"{long} and @@FOUNDER@@"),
+        (3, f"motto: {long} your motto here", None),
+        (4, "note: " + "add text here " * 40, None),
+        (5, None, f"Error: {long} could not be found."),
+        (6, f"motto: {long}", f"{long} and nothing more."),
+        (7, "note: " + "blah " * 30_000, None),
+    ]
+    got = {(r.page_row, r.field) for r in R.residue(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, "body"), (2, "body"), (3, "infobox"), (4, "infobox"), (5, "body"), (7, "infobox")}

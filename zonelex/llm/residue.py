@@ -18,6 +18,7 @@ first in signature order; very long fields are read whole; an empty table gives
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
@@ -40,8 +41,6 @@ FILLER_SHARE = 0.6
 MAX_FILLER_WORDS = 2_000
 #: A body is residue as a whole if at least this share of its words is.
 WHOLE = 0.7
-#: Words of a message kept in its signature; longer messages are told apart by a hash of the rest.
-LONGEST = 60
 
 # --- slots -------------------------------------------------------------------------------------------------------
 
@@ -127,7 +126,7 @@ def _clean(text: str) -> str:
 
 
 def signature(key: str | None, message: str) -> tuple[str, int]:
-    """The masked message and its number of words."""
+    """The masked message, whole however long it is, and its number of words."""
     raw = _TOKEN.findall(message)
     words = [t.lower() for t in raw if t[0].isalnum()]
     name = re.sub(r"_?\d+$", "", key.lower()).strip() if key else None
@@ -154,15 +153,9 @@ def signature(key: str | None, message: str) -> tuple[str, int]:
         out.insert(0, "<repeat>")
     if key is not None:
         out.insert(0, "<value>")
-    if len(out) > LONGEST:
-        out = [*out[:LONGEST], f"<rest{hash_text(' '.join(out[LONGEST:]))}>"]
     return " ".join(out), len(words)
 
 
-def hash_text(text: str) -> str:
-    return hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
-
-
 def sign(signature_: str) -> bytes:
     """Sixteen bytes that stand for a signature where messages are exchanged."""
     return hashlib.blake2b(signature_.encode(), digest_size=16).digest()
@@ -317,8 +310,6 @@ SCRIPT = [
 ]
 FILLER = [
     r"lorem ipsum",
-    r"((add|sample|your|dummy|edit|placeholder|enter|insert) text( here)?( \.)? ?)+$",
-    r"(text goes here( \.)? ?)+$",
     r"(label|data|sample|dummy) text$",
     r"body copy to follow",
     r"click here to edit",
@@ -330,13 +321,20 @@ FILLER = [
     r"draft <num>( \.)?$",
     r"heading <num>$",
     r"xxx .* xxx$",
-    r"(xx+ ?)+( \.)?$",
     r"test test .*test",
-    r"(blah ?)+( \.)?$", r"(content ?){2,}( \.)?$",
     r"(value of|your|enter|insert) .*\bhere$",
     r"\( (enter|insert|add|your) .*here \)",
     r"\[ (insert|write|add|enter|describe) ",
 ]
+#: Filler that says one thing over and over to its end; taken off piece by piece, as Java's matcher recurses once a
+#: repetition and a long message would exhaust its stack.
+LOOPED = [
+    r"(?:add|sample|your|dummy|edit|placeholder|enter|insert) text(?: here)?(?: \.)?(?: |$)",
+    r"text goes here(?: \.)?(?: |$)",
+    r"xx+(?: \.$| |$)",
+    r"blah(?: \.$| |$)",
+    r"(?:(?<! )content(?= content)|(?<=content )content)(?: \.$| |$)",
+]
 VALUE_ONLY = [r"(undefined|null|nan|n\.a\.n|#ref !|#n/a|\[ object object \])$"]
 REPEATED = [r".*"]
 
@@ -345,12 +343,19 @@ def _pattern(starts: list[str], before: str = _ANY) -> str:
     return f"^{before}(?:" + "|".join(f"(?:{s})" for s in starts) + ")"
 
 
+def _looped(template: F.Column) -> F.Column:
+    said = F.regexp_replace(template, f"^{_ANY}", "")
+    left = [F.regexp_replace(said, rf"\G(?:{unit})", "") == "" for unit in LOOPED]
+    return (said != "") & functools.reduce(lambda a, b: a | b, left)
+
+
 def classify(template: F.Column) -> F.Column:
     """error, script, filler or null."""
     return (
         F.when(template.rlike(_pattern(ERROR)), "error")
         .when(template.rlike(_pattern(SCRIPT)), "script")
         .when(template.rlike(_pattern(FILLER)), "filler")
+        .when(_looped(template), "filler")
         .when(template.rlike(_pattern(VALUE_ONLY, "<value> ")), "filler")
         .when(template.rlike(_pattern(REPEATED, "<repeat> ")), "filler")
     )
