@@ -86,3 +86,16 @@ def test_what_stands_late_in_a_long_message_is_found(spark):
     ]
     got = {(r.page_row, r.field) for r in R.residue(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, "body"), (2, "body"), (3, "infobox"), (4, "infobox"), (5, "body"), (7, "infobox")}
+
+
+def test_filler_is_found_whatever_the_size_of_the_input(spark):
+    alone = [(1, None, "Quellam irondo mirae, fulgonde at ere nubit salque voritas emphalo Ost."), (2, None, "Duis aute irure dolor in reprehenderit in voluptate velit.")]
+    town = [(10 + i, None, f"The town of {w} lies near the river. It has a bridge.") for i, w in enumerate("alpha beta gamma".split())]
+    unknown = [(20 + i, None, "Lorem ipsum gartu velmo pindra toskel nubrek.") for i in range(50)] + [(99, None, "Toskel gartu nubrek velmo."), (98, None, "Velmo pindra toskel gartu.")]
+
+    def found(rows):
+        return {r.page_row for r in R.residue(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+    assert found(alone + town) == {1, 2}
+    assert found(unknown + town) == {r[0] for r in unknown}
+    assert found((alone + unknown + town) * 3) == {r[0] for r in alone + unknown}

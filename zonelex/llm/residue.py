@@ -6,7 +6,7 @@
    leaf, signatures that agree in most places join one template and their differing places become wildcards. Equal
    signatures are counted before they are exchanged, and a leaf holds only distinct signatures.
 3. Each template is classified once, by what it says from its beginning on, so that a sentence *about* an error page is
-   none. Words that occur in filler templates and hardly elsewhere become the filler vocabulary, which
+   none. A fixed lexicon and words far more frequent in filler signatures than elsewhere are the filler vocabulary, which
    finds filler that has no such beginning.
 4. Verdicts are propagated to all messages with the template's signatures; hot signatures are broadcast, the rest joined.
 5. Separately, unresolved slots (``{{{name}}}``, ``%NAME%``, a value that repeats its own key inside a phrase) are
@@ -37,7 +37,9 @@ SIMILAR = 0.6
 MAX_LEAF = 1_000
 #: A message is filler if at least this share of its words is filler vocabulary.
 FILLER_SHARE = 0.6
-#: Bound of the filler vocabulary, by frequency.
+#: A learned word of filler is at least so many times as frequent in filler as elsewhere.
+TYPICAL = 1_000
+#: Bound of the learned filler vocabulary, by frequency.
 MAX_FILLER_WORDS = 2_000
 #: A body is residue as a whole if at least this share of its words is.
 WHOLE = 0.7
@@ -361,30 +363,50 @@ def classify(template: F.Column) -> F.Column:
     )
 
 
+#: The words of "lorem ipsum" that are rare in other Latin, of its imitations, and of typing at random.
+LEXICON = (
+    "adipiscing aliqua aliquip amet anim aute cillum commodo consectetur consequat culpa cupidatat deserunt dolor dolore duis eiusmod elit enim "
+    "excepteur exercitation fugiat incididunt ipsum irure labore laboris laborum lorem magna minim mollit nisi nostrud nulla occaecat officia "
+    "pariatur proident reprehenderit sint tempor ullamco velit veniam voluptate "
+    "debrit emphalo ere fulgonde irondo mirae nubit onasti passuri quellam salque scalet tormique veluna voritas "
+    "asdf bar baz blah foo jkl qux qwe qwerty xx xxx xxxx xxxxx"
+).split()
 _PLAIN_WORDS = "(?:^| )([a-z]{2,})(?= |$)"
 
 
+def _mostly(words: F.Column, known: list[str]) -> F.Column:
+    """At least three words, and ``FILLER_SHARE`` of them known."""
+    return (F.size(words) >= 3) & (F.size(F.filter(words, lambda w: w.isin(*known))) >= F.size(words) * F.lit(FILLER_SHARE))
+
+
 def filler_vocabulary(verdicts: DataFrame) -> list[str]:
-    """Words of filler signatures that hardly occur elsewhere, by numbers of distinct signatures."""
-    words = F.explode(F.array_distinct(F.regexp_extract_all("signature", F.lit(_PLAIN_WORDS), F.lit(1))))
-    counted = verdicts.select(words.alias("w"), F.coalesce(F.col("verdict") == "filler", F.lit(False)).alias("is_filler"))
-    per = counted.groupBy("w").agg(F.count_if("is_filler").alias("inside"), F.count_if(~F.col("is_filler")).alias("outside"))
-    few = per.where("inside >= 2 and outside <= inside").orderBy(F.desc("inside"), "w").limit(MAX_FILLER_WORDS)
-    return [r[0] for r in few.collect()]
+    """``LEXICON`` and the words that are ``TYPICAL`` times as frequent in filler signatures as in others. Frequencies are
+    shares of distinct signatures, so neither the size of the input nor repetition decides. A signature without verdict
+    that consists mostly of words of filler may be filler itself and counts on neither side."""
+    words = F.regexp_extract_all("signature", F.lit(_PLAIN_WORDS), F.lit(1))
+    said = verdicts.select(words.alias("words"), "verdict", F.coalesce(F.col("verdict") == "filler", F.lit(False)).alias("is_filler"))
+
+    def counts(rows: DataFrame, *only: F.Column) -> DataFrame:
+        return rows.select(F.explode(F.array_distinct("words")).alias("w")).where(functools.reduce(lambda a, b: a & b, only, F.lit(True))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+    filler = said.where("is_filler")
+    inside = {r[0]: r[1] for r in counts(filler).orderBy(F.desc("n"), "w").limit(MAX_FILLER_WORDS).collect()}
+    if not inside:
+        return LEXICON
+    other = said.where(~F.col("is_filler") & ~(F.col("verdict").isNull() & _mostly(F.col("words"), list(inside))))
+    outside = {r[0]: r[1] for r in counts(other, F.col("w").isin(*inside)).collect()}
+    n_filler, n_other = filler.count(), other.count()
+    return LEXICON + sorted(w for w, n in inside.items() if w not in LEXICON and n * n_other >= TYPICAL * outside.get(w, 0) * n_filler)
 
 
 def verdicts(units: DataFrame) -> DataFrame:
     """(sign, signature, n, template, verdict) of every distinct signature; one classification a template."""
     templates = mine_templates(units)
     kinds = templates.select("template").distinct().withColumn("verdict", classify(F.col("template")))
-    first = materialized(templates.join(kinds, "template"))
-    vocabulary = filler_vocabulary(first)
-    if not vocabulary:
-        return first
     words = F.regexp_extract_all("signature", F.lit(_PLAIN_WORDS), F.lit(1))
-    known = F.size(F.filter(words, lambda w: w.isin(*vocabulary)))
-    filler = (F.size(words) >= 3) & (known >= F.size(words) * F.lit(FILLER_SHARE))
-    return first.withColumn("verdict", F.coalesce("verdict", F.when(filler, F.lit("filler"))))
+    listed = F.when(_mostly(words, LEXICON), F.lit("filler"))
+    first = materialized(templates.join(kinds, "template").withColumn("verdict", F.coalesce("verdict", listed)))
+    return first.withColumn("verdict", F.coalesce("verdict", F.when(_mostly(words, filler_vocabulary(first)), F.lit("filler"))))
 
 
 def residue(pages: DataFrame) -> DataFrame:
