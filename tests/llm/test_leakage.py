@@ -77,3 +77,15 @@ def test_table(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 7)  # several passes find the same
     assert sorted((r.doc_id or 0, r.item_id) for r in L.leaks(d, e).collect()) == got
     assert L.leaks(d.limit(0), e).count() == 0 and L.leaks(d, e.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("between", [400, 3_000])
+def test_pieces_far_apart_are_found(between):
+    items = L.Items(ITEMS)
+    other = noise(between)[::-1]
+    halves = [(t.split()[:34], t.split()[34:]) for _, t in ITEMS[:12]]
+    texts = [" ".join([noise(50), *a, other, *b, noise(50)]) for a, b in halves]
+    assert {(d, k) for d, k, _ in L.scan(texts, items)} == {(i, i) for i in range(12)}
+    one = [" ".join([noise(50), *a[:26], other, *a[:26]]) for a, _ in halves]  # the same part twice
+    turned = [" ".join([noise(50), *b[:22], other, *a[10:]]) for a, b in halves]  # not in the item's order
+    assert L.scan(one + turned, items) == []

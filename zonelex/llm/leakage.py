@@ -11,7 +11,7 @@ ASCII-lowered), so case, spacing and punctuation don't matter. Then, in one pass
    LSH). All walks of a batch advance together as arrays.
 4. Pairs whose hit windows cover at least ``LEAST_HIT`` of the item are verified exactly: common substrings that stand
    near each other are chained in order, gaps between them are aligned by longest common subsequence, and the matched share of the item's
-   characters must reach ``SHARE``.
+   characters must reach ``SHARE``. If it does not, pieces of at least ``FAR`` characters are chained over the whole text.
 
 The items are a fixed, small set (one pass here); more are taken in passes of ``BLOCK`` items each. Cases: null, empty
 and tiny texts and items give no rows; repeated documents each count; repeated items each count; very long texts are
@@ -38,9 +38,12 @@ SAMPLED = 9
 LEAST_HIT = 0.2
 SHARE = 0.55
 SEED_CHARS = 10
-#: The pieces of a leak stand within this many times the item's length, and SLACK characters.
+#: Pieces of a leak of any size are chained within this many times the item's length, and SLACK characters; pieces of at
+#: least FAR characters, SOLID of them without a change, are chained at any distance.
 SPAN = 2
 SLACK = 400
+FAR = 32
+SOLID = 24
 BLOCK = 1_000
 #: Windows embedded at once: keeps the arrays of the walk inside the CPU's cache.
 AT_ONCE = 1 << 16
@@ -166,22 +169,9 @@ class Items:
         return self.seeds[k]
 
     def matched(self, k: int, text: bytes, places_in_text: list[int]) -> float:
-        """Share of the item's characters that stand in ``text`` in the item's order. ``places_in_text`` has every
-        place where a seed of some item may begin."""
-        item, seeds = self.texts[k], self.seed(k)
-        blocks, reach = [], {}
-        get = seeds.get
-        for d in places_in_text:
-            places = get(text[d : d + SEED_CHARS])
-            if places:
-                for p in places:
-                    if reach.get(p - d, -1) >= p:
-                        continue
-                    n = SEED_CHARS
-                    while p + n < len(item) and d + n < len(text) and item[p + n] == text[d + n]:
-                        n += 1
-                    reach[p - d] = p + n
-                    blocks.append((p, d, n))
+        """Share of the item's characters that stand near each other in ``text`` in the item's order.
+        ``places_in_text`` has every place where a seed of some item may begin."""
+        item, blocks = self.texts[k], self.blocks(k, text, places_in_text)
         best, span = 0, SPAN * len(item) + SLACK
         score, begin = [], []
         for i, (p, d, n) in enumerate(blocks):
@@ -207,6 +197,62 @@ class Items:
             begin.append(start)
             best = max(best, top)
         return best / len(item)
+    def blocks(self, k: int, text: bytes, places_in_text: list[int]) -> list[tuple[int, int, int]]:
+        """(place in the item, place in the text, length) of the common substrings, in the text's order."""
+        item, seeds = self.texts[k], self.seed(k)
+        blocks, reach = [], {}
+        get = seeds.get
+        for d in places_in_text:
+            places = get(text[d : d + SEED_CHARS])
+            if places:
+                for p in places:
+                    if reach.get(p - d, -1) >= p:
+                        continue
+                    n = SEED_CHARS
+                    while p + n < len(item) and d + n < len(text) and item[p + n] == text[d + n]:
+                        n += 1
+                    reach[p - d] = p + n
+                    blocks.append((p, d, n))
+        return blocks
+
+    def matched_apart(self, k: int, text: bytes, places_in_text: list[int]) -> float:
+        """Share of the item's characters that stand in ``text`` in the item's order in pieces of at least ``FAR``
+        characters, ``SOLID`` of them without a change, whatever stands between the pieces."""
+        item, blocks = self.texts[k], self.blocks(k, text, places_in_text)
+        pieces = []  # of each block, the piece that ends with it: its characters, where it begins, its longest block
+        events = []
+        for i, (p, d, n) in enumerate(blocks):
+            top, first, solid = n, (p, d), n
+            for j in range(i - 1, -1, -1):
+                q, e, m = blocks[j]
+                if d - e > len(item) + 80:
+                    break
+                gap, wide = p - q - m, d - e - m
+                lost = max(0, -gap, -wide)
+                if q < p and e < d and gap <= 40 and wide <= 80 and lost < n and lost < m:
+                    gain = pieces[j][0] + n - lost
+                    if gap > 0 and wide > 0:
+                        if gain + gap <= top:
+                            continue
+                        same = _common(item[q + m : p], text[e + m : d])
+                        gain += same if 2 * same >= max(gap, wide) else 0
+                    if gain > top:
+                        top, first, solid = gain, pieces[j][1], max(n, pieces[j][2])
+            pieces.append((top, first, solid))
+            if top >= FAR and solid >= SOLID:
+                events += [(first[1], 1, i), (d + n, 0, i)]
+        best = [0] * (len(item) + 1)  # most characters of pieces that end before a place of the item
+        before = {}
+        for _, begins, i in sorted(events):
+            (p, _, n), (top, (start, _), _) = blocks[i], pieces[i]
+            if begins:  # pieces may overlap a little in the item
+                before[i] = max(best[x] - (x - start) for x in range(start, min(start + FAR, p + n)))
+            else:
+                for x in range(p + n, len(item) + 1):
+                    if best[x] >= before[i] + top:
+                        break
+                    best[x] = before[i] + top
+        return best[-1] / max(1, len(item))
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -277,6 +323,9 @@ def _scan_some(reduced: list[bytes], items: Items, share: float) -> list[tuple[i
         a, b = max(0, low[i] - reach), min(len(reduced[d]), high[i] + reach)
         some = seeded[slice(*np.searchsorted(seeded, [begin[d] + a, begin[d] + b]))] - (begin[d] + a)
         got = items.matched(k, reduced[d][a:b], some.tolist())
+        if got < share:
+            whole = seeded[slice(*np.searchsorted(seeded, [begin[d], begin[d] + len(reduced[d])]))] - begin[d]
+            got = items.matched_apart(k, reduced[d], whole.tolist())
         if got >= share:
             out.append((d, k, got))
     return out
