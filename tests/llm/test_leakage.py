@@ -89,3 +89,46 @@ def test_pieces_far_apart_are_found(between):
     one = [" ".join([noise(50), *a[:26], other, *a[:26]]) for a, _ in halves]  # the same part twice
     turned = [" ".join([noise(50), *b[:22], other, *a[10:]]) for a, b in halves]  # not in the item's order
     assert L.scan(one + turned, items) == []
+
+
+@pytest.mark.parametrize("share", [0.5, 0.52, 0.54])
+def test_half_copies_are_found(share):
+    long = [(i, " ".join(rng.choice(WORDS) for _ in range(80))) for i in range(20)]
+    texts = []
+    for _, t in long:
+        w = t.split()
+        n = round(len(w) * share)
+        texts.append(" ".join([noise(60), *w[20 : 20 + n], noise(60)]))
+    assert {(d, k) for d, k, _ in L.scan(texts, L.Items(long))} == {(i, i) for i in range(20)}
+    less = [" ".join([noise(60), *t.split()[20 : 20 + 24], noise(60)]) for _, t in long]
+    assert L.scan(less, L.Items(long)) == []
+
+
+@pytest.mark.parametrize("parts,between", [(2, 200), (4, 150), (4, 3_000)])
+def test_complete_items_in_parts_are_found(parts, between):
+    long = [(i, " ".join(rng.choice(WORDS) for _ in range(80))) for i in range(10)]
+    texts = []
+    for _, t in long:
+        w, n = t.split(), 80 // parts
+        texts.append(f" {noise(between)[::-1]} ".join(" ".join(w[a : a + n]) for a in range(0, 80, n)))
+    assert {(d, k) for d, k, _ in L.scan(texts, L.Items(long))} == {(i, i) for i in range(10)}
+
+
+def test_items_shorter_than_a_window():
+    items = L.Items([(1, "Who drained the lake?"), (2, "Why?"), (3, ITEMS[0][1])])
+    texts = ["He asked: who drained -- the LAKE", "who drained that lake", "why", None, "so who drained the lake. " * 3]
+    assert L.scan(texts, items) == [(0, 0, 1.0), (4, 0, 1.0)]
+
+
+def test_hashing_loses_few_of_what_an_alignment_of_all_pairs_finds():
+    items = L.Items(ITEMS)
+    texts = [noise(40) + " " + altered(" ".join(t.split()[: rng.randrange(42, 70)]), kind) + " " + noise(40) for kind in KINDS for _, t in ITEMS[:12]]
+    reduced = [L.reduce_text(t) for t in texts]
+    every = {
+        (d, k)
+        for d, t in enumerate(reduced)
+        for k in range(len(ITEMS))
+        if max(items.matched(k, t, list(range(len(t)))), items.matched_apart(k, t, list(range(len(t))))) >= L.SHARE - L.LEEWAY / len(items.texts[k])
+    }
+    found = {(d, k) for d, k, _ in L.scan(texts, items)}
+    assert found <= every and len(found) >= 0.9 * len(every) > 60

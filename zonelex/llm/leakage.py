@@ -9,13 +9,15 @@ ASCII-lowered), so case, spacing and punctuation don't matter. Then, in one pass
    its cursor and moves on or not by a random bit of (step, character), which turns edits into few differing places.
 3. ``REPEATS`` keys, each of ``SAMPLED`` places of the embedding, are looked up in the keys of the items (bit-sampling
    LSH). All walks of a batch advance together as arrays.
-4. Pairs whose hit windows cover at least ``LEAST_HIT`` of the item are verified exactly: common substrings that stand
-   near each other are chained in order, gaps between them are aligned by longest common subsequence, and the matched share of the item's
-   characters must reach ``SHARE``. If it does not, pieces of at least ``FAR`` characters are chained over the whole text.
+4. Pairs whose hit windows cover at least ``LEAST_HIT`` of the item are verified exactly over the whole text: common
+   substrings that stand near each other are chained in order, gaps between them are aligned by longest common
+   subsequence, and the matched characters must reach ``SHARE`` of the item's, less ``LEEWAY`` as copies are cut
+   at word ends. If they do not, pieces of at least ``FAR`` characters are chained, whatever stands between them.
 
 The items are a fixed, small set (one pass here); more are taken in passes of ``BLOCK`` items each. Cases: null, empty
-and tiny texts and items give no rows; repeated documents each count; repeated items each count; very long texts are
-read in slices; extra columns are ignored.
+and tiny texts and items give no rows (an item of fewer letters than a window counts where it stands whole and unaltered,
+one of fewer than ``SEED_CHARS`` letters never); repeated documents each count; repeated items each count; very long texts
+are read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +38,15 @@ STRIDE = 8
 REPEATS = 4
 SAMPLED = 9
 LEAST_HIT = 0.2
-SHARE = 0.55
+#: A leak holds at least this share of the item's characters (the definition says half).
+SHARE = 0.5
+LEEWAY = 8
 SEED_CHARS = 10
-#: Pieces of a leak of any size are chained within this many times the item's length, and SLACK characters; pieces of at
-#: least FAR characters, SOLID of them without a change, are chained at any distance.
+#: Altered characters between two common substrings count where at least this share of them agrees in order.
+ALIKE = 0.7
+#: Common substrings of any size are chained within this many times the item's length, and SLACK characters; what stands
+#: farther apart is chained over the whole text in pieces of at least FAR characters, SOLID of them without a change
+#: or twice as many in all, as single short substrings stand in any long text by chance.
 SPAN = 2
 SLACK = 400
 FAR = 32
@@ -190,13 +197,14 @@ class Items:
                         if gain + gap <= top:
                             continue
                         same = _common(item[q + m : p], text[e + m : d])
-                        gain += same if 2 * same >= max(gap, wide) else 0
+                        gain += same if same >= ALIKE * max(gap, wide) else 0
                     if gain > top:
                         top, start = gain, begin[j]
             score.append(top)
             begin.append(start)
             best = max(best, top)
-        return best / len(item)
+        return best / max(1, len(item))
+
     def blocks(self, k: int, text: bytes, places_in_text: list[int]) -> list[tuple[int, int, int]]:
         """(place in the item, place in the text, length) of the common substrings, in the text's order."""
         item, seeds = self.texts[k], self.seed(k)
@@ -235,11 +243,11 @@ class Items:
                         if gain + gap <= top:
                             continue
                         same = _common(item[q + m : p], text[e + m : d])
-                        gain += same if 2 * same >= max(gap, wide) else 0
+                        gain += same if same >= ALIKE * max(gap, wide) else 0
                     if gain > top:
                         top, first, solid = gain, pieces[j][1], max(n, pieces[j][2])
             pieces.append((top, first, solid))
-            if top >= FAR and solid >= SOLID:
+            if top >= FAR and solid >= SOLID or top >= 2 * FAR:
                 events += [(first[1], 1, i), (d + n, 0, i)]
         best = [0] * (len(item) + 1)  # most characters of pieces that end before a place of the item
         before = {}
@@ -298,39 +306,48 @@ def _scan_some(reduced: list[bytes], items: Items, share: float) -> list[tuple[i
     begin = np.cumsum(sizes + WINDOW) - sizes - WINDOW
     n = np.maximum(0, (sizes - WINDOW) // STRIDE + 1)
     n[sizes < WINDOW] = 0
+    out = _whole(chars.tobytes(), begin, items)
     if not n.sum() or not len(items.owner):
-        return []
+        return out
     doc = np.repeat(np.arange(len(reduced)), n)
     inside = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
     window, target = items.hits(embed_keys(chars, begin[doc] + inside))
     if not len(window):
-        return []
+        return out
     pair = doc[window] * len(items.ids) + items.owner[target]
-    place, at = items.place[target], inside[window]
+    place = items.place[target]
     order = np.lexsort((place, pair))
-    pair, place, at = pair[order], place[order], at[order]
+    pair, place = pair[order], place[order]
     new = np.r_[True, pair[1:] != pair[:-1]]
     step = np.minimum(np.r_[0, np.diff(place)], WINDOW)
     step[new] = WINDOW
     first = np.flatnonzero(new)
     covered = np.add.reduceat(step, first)
-    low, high = np.minimum.reduceat(at, first), np.maximum.reduceat(at, first)
-    out = []
     seeded = np.flatnonzero(items.seeded[_seed_slots(chars, items.SLOTS)])
     for i in np.flatnonzero(covered >= LEAST_HIT * items.lengths[pair[first] % len(items.ids)]):
         d, k = divmod(int(pair[first[i]]), len(items.ids))
-        reach = len(items.texts[k]) + 200
-        a, b = max(0, low[i] - reach), min(len(reduced[d]), high[i] + reach)
-        some = seeded[slice(*np.searchsorted(seeded, [begin[d] + a, begin[d] + b]))] - (begin[d] + a)
-        got = items.matched(k, reduced[d][a:b], some.tolist())
-        if got < share:
-            whole = seeded[slice(*np.searchsorted(seeded, [begin[d], begin[d] + len(reduced[d])]))] - begin[d]
-            got = items.matched_apart(k, reduced[d], whole.tolist())
-        if got >= share:
+        places = (seeded[slice(*np.searchsorted(seeded, [begin[d], begin[d] + len(reduced[d])]))] - begin[d]).tolist()
+        got = items.matched(k, reduced[d], places)
+        least = share - LEEWAY / len(items.texts[k])
+        if got < least:
+            got = max(got, items.matched_apart(k, reduced[d], places))
+        if got >= least:
             out.append((d, k, got))
     return out
 
 
+def _whole(joined: bytes, begin: np.ndarray, items: Items) -> list[tuple[int, int, float]]:
+    """Items too short for a window, where they stand whole and unaltered."""
+    found = set()
+    for k, item in enumerate(items.texts):
+        if SEED_CHARS <= len(item) < WINDOW:
+            at = joined.find(item)
+            while at >= 0:
+                found.add((int(np.searchsorted(begin, at, "right")) - 1, k))
+                at = joined.find(item, at + 1)
+    return [(d, k, 1.0) for d, k in sorted(found)]
+
+
 def _pass(documents: DataFrame, id_column: str, text: str, rows: list[tuple[int, str]], share: float) -> DataFrame:
     """One map over the corpus for at most ``BLOCK`` items."""
     sent = documents.sparkSession.sparkContext.broadcast(rows)
