@@ -22,7 +22,7 @@ import functools
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +61,7 @@ _SLOT = re.compile(
             r"<<\s*[A-Za-z_]\w+\s*>>",
             r"<%=?\s*[\w.]+\s*%>",
             r"(?<![\w\\}_^{$\]])\{(?:\d+|[A-Za-z_][\w]+)\}(?!\})",
-            r"(?<!\[)\[(?:insert|enter|add|write|describe|your) [^\[\]]{1,120}\](?![\](])",
+            r"(?<!\[)\[(?:insert|enter|add|write|describe|your) [^\[\]\n]+\](?![\](])",
             r"(?<!\[)\[[A-Z][A-Z_]{2,}(?: [A-Z_]{2,})*\](?![\](])",
         ]
     ),
@@ -73,26 +73,29 @@ _SOFT_SLOT = re.compile(r"(?<!\[)\[([a-z]+(?:[ _][a-z]+)?)\](?![\](])")
 _REMARKS = {"sic", "in part", "edit", "note", "citation needed", "emphasis added", "who", "when", "clarification needed", "update", "dubious"}
 
 
-def mark_slots(text: str) -> str:
-    """Replace unresolved slots by ``<slot>``."""
+def _slot(text: str) -> str:
+    return " <slot> "
+
+
+def mark_slots(text: str, put: Callable[[str], str] = _slot) -> str:
+    """Replace unresolved slots by ``<slot>`` or what ``put`` makes of them."""
     if not any(c in text for c in "{$%#@<["):
         return text
 
     def replace(m: re.Match) -> str:
         s = m.group(0)
-        return s if s[0] == "[" and not s[1:7].lower().startswith(("insert", "enter ", "add ", "write ", "descri", "your ")) and not _UPPER_SLOT.fullmatch(s) else " <slot> "
+        return s if s[0] == "[" and not s[1:7].lower().startswith(("insert", "enter ", "add ", "write ", "descri", "your ")) and not _UPPER_SLOT.fullmatch(s) else put(s)
 
-    text = _SLOT.sub(replace, text)
-    soft = [m for m in _SOFT_SLOT.finditer(text) if m.group(1) not in _REMARKS]
-    if len(soft) > 1 or soft and "<slot>" in text:
-        text = _SOFT_SLOT.sub(lambda m: m.group(0) if m.group(1) in _REMARKS else " <slot> ", text)
-    return text
+    marked = _SLOT.sub(replace, text)
+    soft = [m for m in _SOFT_SLOT.finditer(marked) if m.group(1) not in _REMARKS]
+    if len(soft) > 1 or soft and marked != text:
+        marked = _SOFT_SLOT.sub(lambda m: m.group(0) if m.group(1) in _REMARKS else put(m.group(0)), marked)
+    return marked
 
 
 # --- messages ----------------------------------------------------------------------------------------------------
 
-_COMMENT = re.compile(r"<!--.*?-->", re.S)
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _COMMAND = re.compile(r"\\[A-Za-z]+\*?\{([^{}]*)\}")
 _EMPHASIS = re.compile(r"'{2,}|\*\*|(?<!\w)__|__(?!\w)")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
@@ -102,9 +105,17 @@ _CELL = re.compile(r"<th>([^<]*)</th>\s*<td>", re.I)
 _TOKEN = re.compile(r"<slot>|[^\W_]+(?:['’.:/@_-]+[^\W_]+)*|\.\.\.|[^\w\s]", re.U)
 
 
+def _uncommented(text: str) -> str:
+    out, at = [], 0
+    while (a := text.find("<!--", at)) >= 0 and (b := text.find("-->", a + 4)) >= 0:
+        out.append(text[at:a])
+        at = b + 3
+    return " ".join((*out, text[at:]))
+
+
 def messages(field: str, text: str) -> list[tuple[str | None, str]]:
     """(key, message) of a field."""
-    text = _COMMENT.sub(" ", mark_slots(html.unescape(text)))
+    text = _uncommented(mark_slots(html.unescape(text)))
     out: list[tuple[str | None, str]] = []
     if field == "infobox":
         text = _ROW.sub("\n", _CELL.sub(r"\1: ", text))
