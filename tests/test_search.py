@@ -1,5 +1,6 @@
+import random
+
 import pytest
-from pyspark.sql import functions as F
 
 from zonelex.operators import index as ix
 from zonelex.operators import search as sr
@@ -54,12 +55,16 @@ def test_padding_and_fallback(spark, small):
     assert run(spark, small, 0, "cat") == []
 
 
+def one_split(spark):
+    return spark.createDataFrame([("",)], "first_term string")
+
+
 def test_forward_scan_compatibility(spark, small):
     tokens = sr.query_tokens(sr.parse_queries(spark.createDataFrame([(1, 3, "ball cat")], "query_id long, k int, query_text string")), distinct=False)
-    alive = {(r.zone, r.term) for r in sr.scan_tokens(tokens, small[0], F.lit("only")).collect()}
+    alive = {(r.zone, r.term) for r in sr.scan_tokens(tokens, small[0], one_split(spark)).collect()}
     assert alive == {(0, "ball"), (0, "cat")}  # in the title zone the cursor ran out on "ball"
     clean = [r for r in run(spark, small, 6, "ball cat") if r.doc_id == 2][0].score
-    compat = [r for r in run(spark, small, 6, "ball cat", split_of=F.lit("only")) if r.doc_id == 2][0].score
+    compat = [r for r in run(spark, small, 6, "ball cat", milestones=one_split(spark)) if r.doc_id == 2][0].score
     assert clean > 39 > compat
 
 
@@ -92,6 +97,32 @@ def test_df_filter_counts_documents_not_uses(spark):
     assert {(r.zone, r.df) for r in ix.zone_frequencies(wide).where("term = 'often'").collect()} == {(0, 5), (1, 5)}
 
 
+def brute_splits(terms, min_df=5, most_terms=10_000, most_postings=1_000_000):
+    out, split, n, postings, kept = {}, 0, 0, 0, 0
+    for t, df in sorted(terms):
+        n, postings = n + 1, postings + df
+        if df >= min_df:
+            kept += 1
+            out[t] = split
+        if n >= most_terms or postings >= most_postings:
+            split += kept > 0
+            n = postings = kept = 0
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_exact_splits_equal_the_fold(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    monkeypatch.setattr(ix, "SPLIT_TERMS", 37)
+    monkeypatch.setattr(ix, "SPLIT_POSTINGS", 200)
+    terms = [(f"t{i:05d}", rng.choice([1, 1, 2, 3, 5, 9, 30, 260])) for i in range(rng.choice([0, 1, 36, 900]))]
+    terms += [(f"u{i:05d}", 1) for i in range(200 * (seed % 2))]  # splits without a term that stays
+    terms += [(f"v{i:05d}", 6) for i in range(50)]
+    got = ix.exact_splits(spark.createDataFrame(terms, "term string, df bigint")).collect()
+    assert {r.term: r.split for r in got} == brute_splits(terms, most_terms=37, most_postings=200) and len(got) == len({r.term for r in got})
+    assert ix.exact_splits(spark.createDataFrame([], "term string, df bigint")).count() == 0
+
+
 def test_exact_splits_count_rare_terms_too(spark):
     terms = spark.createDataFrame([(f"t{i:05d}", 1 if i % 2 else 5) for i in range(20_004)], "term string, df bigint")
     got = ix.milestones(ix.exact_splits(terms)).orderBy("split").collect()

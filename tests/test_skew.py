@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from zonelex.operators.joins import join_back
-from zonelex.operators.postings import split_by_range_join, split_of
+from zonelex.operators.postings import split_by_range_join, split_of, with_split
 from zonelex.operators.skew import number_rows, per_key_totals, running_totals
 
 SCHEMA = "k string, v long, item long, n_rows string, total int"
@@ -81,3 +81,13 @@ def test_split_lookup_both_ways(spark):
     assert {r.term: r.s for r in df.select("term", split_of(F.col("term"), starts).alias("s")).collect() if r.term is not None} == expected
     m = spark.createDataFrame([(s,) for s in starts + ["aa"]], "first_term string")
     assert {r.term: r.first_term for r in split_by_range_join(df.where("term is not null"), m).collect()} == expected
+
+
+def test_more_splits_than_fit_in_a_plan(spark):
+    starts = [f"s{i:05d}" for i in range(0, 2_050, 2)]
+    assert len(starts) == 1025
+    terms = [("a" if i % 3 == 0 else "s00700" if i % 3 == 1 else f"s{i % 2_060:05d}" if i % 5 else None, i) for i in range(6_000)]
+    df = spark.createDataFrame([(t, i, "clash") for t, i in terms], "term string, i long, n int".replace("n int", "start string")).repartition(5)
+    got = with_split(df, spark.createDataFrame([(s,) for s in starts], "first_term string"), ["i"]).collect()
+    expected = {i: None if t is None else max((s for s in starts if s <= t), default=None) for t, i in terms}
+    assert len(got) == len(terms) and {r.i: r.first_term for r in got} == expected

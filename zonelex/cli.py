@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from .functions.text import STOPWORDS
 from .operators import index as ix
-from .operators.postings import split_of, split_starts
 from .operators.search import result_lines, search
 from .operators.zones import infobox_failures
 from .schema import MIN_DF
@@ -42,9 +41,7 @@ def answer(spark: SparkSession, index_path: str, query_file: str, out: str, comp
     """Answer all queries of a file in one job; seconds taken."""
     began = time.perf_counter()
     index = storage.read_index(spark, index_path)
-    how = None
-    if compat_scan:
-        how = split_of(F.col("term"), split_starts(spark.read.parquet(f"{index_path}/milestones")))
+    how = spark.read.parquet(f"{index_path}/milestones") if compat_scan else None
     found = search(lists.read_queries(spark, query_file), index.postings, index.docs, index.stats, index.zone_df, how)
     storage.write_results(result_lines(found), out)
     return time.perf_counter() - began

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,26 +117,76 @@ def milestones(splits: DataFrame) -> DataFrame:
 
 def exact_splits(all_terms: DataFrame, min_df: int = MIN_DF) -> DataFrame:
     """(term, df, split) by the rotation rule: a split is closed once 10,000 terms or 1,000,000 postings were *seen*,
-    rare ones included; a split without a surviving term takes no number. An ordered fold over the vocabulary
-    (not the postings) in one task, for compatibility only; ``rank_splits`` is the distributed form."""
-    import pandas as pd
-
-    def fold(batches):
-        split, terms, postings, kept = 0, 0, 0, 0
+    rare ones included; a split without a surviving term takes no number.
+
+    A split that opens somewhere closes at a place that prefix sums tell, whatever came before. So each range partition
+    says, for each of the at most 10,000 places at which the split it inherits can close, how many splits close in it and
+    how much the last one leaves open. A fold over these heads gives each partition what it inherits (one row a
+    partition, broadcast), and all partitions then number their terms at once.
+    """
+    most_terms, most_postings = SPLIT_TERMS, SPLIT_POSTINGS
+    order = ["term"]
+    placed = materialized(all_terms.select("term", "df").repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
+
+    def heads(key, df: pd.DataFrame) -> pd.DataFrame:
+        count = df.sort_values("_place")["df"].to_numpy(np.int64)
+        n, upto = len(count), np.r_[0, np.cumsum(count)]
+        after = np.minimum(np.arange(n + 1) + most_terms, np.searchsorted(upto, upto + most_postings))
+        closed, left, rest = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        for i in range(n, -1, -1):  # from the end: what follows if a split closes before place i
+            e = after[i]
+            closed[i], left[i], rest[i] = (1, n - i, upto[n] - upto[i]) if e > n else (1 + closed[e], left[e], rest[e])
+        first = np.arange(1, min(n, most_terms) + 1)
+        whole = pd.DataFrame({"_part": [key[0]], "at": [0], "upto": [upto[n]], "closed": [0], "left": [n], "rest": [0]})
+        return pd.concat([whole, pd.DataFrame({"_part": key[0], "at": first, "upto": upto[first], "closed": closed[first], "left": left[first], "rest": rest[first]})])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, terms, postings, held, part = 0, 0, 0, [], None
+
+        def step() -> tuple[int, int, int, int]:
+            nonlocal number, terms, postings
+            here = (part, number, terms, postings)
+            h = pd.concat(held)
+            whole, rows = h.iloc[0], h.iloc[1:]
+            hit = np.flatnonzero((rows["at"].to_numpy() + terms >= most_terms) | (rows["upto"].to_numpy() + postings >= most_postings))
+            if len(hit):
+                r = rows.iloc[hit[0]]
+                number, terms, postings = number + int(r["closed"]), int(r["left"]), int(r["rest"])
+            else:
+                terms, postings = terms + int(whole["left"]), postings + int(whole["upto"])
+            return here
+
+        names = ["_part", "_number", "_terms", "_postings"]
+        for b in batches:
+            for key, rows in b.groupby("_part", sort=False):
+                if key != part and held:
+                    yield pd.DataFrame([step()], columns=names)
+                    held.clear()
+                part = key
+                held.append(rows)
+        if held:
+            yield pd.DataFrame([step()], columns=names)
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, split, terms, postings = None, 0, 0, 0
         for b in batches:
             out = []
-            for t, df in zip(b["term"], b["df"]):
+            for p, n, t0, p0, df in zip(b["_part"], b["_number"], b["_terms"], b["_postings"], b["df"]):
+                if p != part:
+                    part, split, terms, postings = p, n, t0, p0
+                out.append(split)
                 terms += 1
                 postings += df
-                if df >= min_df:
-                    kept += 1
-                    out.append((t, df, split))
-                if terms >= SPLIT_TERMS or postings >= SPLIT_POSTINGS:
-                    split += kept > 0
-                    terms = postings = kept = 0
-            yield pd.DataFrame(out, columns=["term", "df", "split"])
-
-    return all_terms.select("term", "df").coalesce(1).sortWithinPartitions("term").mapInPandas(fold, "term string, df bigint, split bigint")
+                if terms >= most_terms or postings >= most_postings:
+                    split, terms, postings = split + 1, 0, 0
+            yield pd.DataFrame({"term": b["term"], "df": b["df"], "_seen": out})
+
+    head = placed.groupBy("_part").applyInPandas(heads, "_part int, at bigint, upto bigint, closed bigint, left bigint, rest bigint")
+    inherited = head.coalesce(1).sortWithinPartitions("_part", "at").mapInPandas(fold, "_part int, _number bigint, _terms bigint, _postings bigint")
+    ordered = placed.join(F.broadcast(inherited), "_part").repartition("_part").sortWithinPartitions("_part", "_place")
+    seen = materialized(ordered.select("_part", "_number", "_terms", "_postings", "term", "df").mapInPandas(number, "term string, df bigint, _seen bigint").where(F.col("df") >= min_df))
+    numbers = with_dense_ids(seen.select("_seen").distinct(), ["_seen"], "split")
+    return seen.join(F.broadcast(numbers), "_seen").select("term", "df", "split")
 
 
 def index_difference(a: DataFrame, b: DataFrame) -> DataFrame:

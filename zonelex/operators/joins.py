@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialized
+
 #: A key with at least this share of all rows is hot; so at most 1 / HOT_SHARE keys are broadcast.
 HOT_SHARE = 0.001
 SPREAD = 256
@@ -15,7 +17,9 @@ def join_back(rows: DataFrame, stats: DataFrame, key: str, count: str, spread_by
 
     Hot keys, at most ``1 / HOT_SHARE`` of them whatever the input, are broadcast, and their rows go through the
     exchange spread by a hash of ``spread_by``; all other keys meet in a shuffled join. Rows with a null key drop out.
+    ``stats`` is read three times and so written once.
     """
+    stats = materialized(stats)
     values = [c for c in stats.columns if c != key]
     whole = stats.agg(F.sum(count).alias("_all"))
     hot = (

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
+from ..session import materialized
+from .joins import join_back
 
-#: Up to this many split starts become a comparison tree inside the plan; more are looked up in blocks.
+#: Up to this many split starts become a comparison tree inside the plan; more are looked up by a range join.
 MAX_SPLITS_IN_PLAN = 1024
 
 
@@ -30,12 +33,11 @@ def latest_postings(postings: DataFrame) -> DataFrame:
     return rows.groupBy("term", "doc_id").agg(F.max("row").alias("row")).select("term", "doc_id", F.col("row.freq").alias("freq"))
 
 
-def split_starts(milestones: DataFrame) -> list[str]:
-    """The distinct first terms in byte order. A sparse index: one row per 10,000 terms of the vocabulary."""
-    rows = milestones.select("first_term").where("first_term is not null").distinct().limit(MAX_SPLITS_IN_PLAN + 1).collect()
-    if len(rows) > MAX_SPLITS_IN_PLAN:
-        raise ValueError(f"more than {MAX_SPLITS_IN_PLAN} splits: use split_by_range_join")
-    return sorted((r[0] for r in rows), key=lambda t: t.encode())
+def split_starts(milestones: DataFrame, bound: int | None = None) -> list[str] | None:
+    """The distinct first terms in byte order, None if there are more than ``bound``."""
+    bound = MAX_SPLITS_IN_PLAN if bound is None else bound
+    rows = milestones.select("first_term").where("first_term is not null").distinct().limit(bound + 1).collect()
+    return sorted((r[0] for r in rows), key=lambda t: t.encode()) if len(rows) <= bound else None
 
 
 def split_of(term: Column, starts: list[str]) -> Column:
@@ -53,20 +55,31 @@ def split_of(term: Column, starts: list[str]) -> Column:
 
 
 def split_by_range_join(terms: DataFrame, milestones: DataFrame) -> DataFrame:
-    """The same lookup for any number of splits: both sides are range-ordered by term and the last start
-    seen is carried forward; a second pass carries it over partition borders (one row per partition).
-    """
+    """(term, first_term) of distinct terms, for any number of splits: both sides are range-ordered by term once and
+    written with their place, the last start seen is carried forward inside a partition, and over the borders of
+    partitions from a broadcast of one row a partition."""
     starts = milestones.select(F.col("first_term").alias("term"), F.lit(0).alias("kind")).where("term is not null").distinct()
-    both = starts.unionByName(terms.select("term", F.lit(1).alias("kind")).distinct())
-    ordered = both.repartitionByRange("term").sortWithinPartitions("term", "kind").withColumn("pid", F.spark_partition_id())
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("pid").orderBy("term", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    inside = ordered.withColumn("start", F.last(F.when(F.col("kind") == 0, F.col("term")), ignorenulls=True).over(w))
-    borders = inside.groupBy("pid").agg(F.max("start").alias("top"))
-    carry = borders.withColumn("carried", F.max("top").over(W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)))
-    return (
-        inside.where("kind = 1")
-        .join(F.broadcast(carry.select("pid", "carried")), "pid", "left")
-        .select("term", F.coalesce("start", "carried").alias("first_term"))
+    both = starts.unionByName(terms.where("term is not null").select("term", F.lit(1).alias("kind")).distinct())
+    placed = materialized(
+        both.repartitionByRange("term", "kind")
+        .sortWithinPartitions("term", "kind")
+        .withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id(), "_start": F.when(F.col("kind") == 0, F.col("term"))})
     )
+    inside = W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    tops = placed.groupBy("_part").agg(F.max("_start").alias("_top"))
+    carried = tops.select("_part", F.max("_top").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
+    seen = placed.withColumn("_start", F.last("_start", ignorenulls=True).over(inside)).where("kind = 1")
+    return seen.join(F.broadcast(carried), "_part").select("term", F.coalesce("_start", "_carried").alias("first_term"))
+
+
+def with_split(rows: DataFrame, milestones: DataFrame, spread_by: list[str]) -> DataFrame:
+    """Add ``first_term``, the split of each row's ``term`` (null below all starts and for a null term). Up to
+    ``MAX_SPLITS_IN_PLAN`` starts are compared inside the plan; more are looked up by the range join and joined back to
+    the rows, hot terms spread by ``spread_by``."""
+    starts = split_starts(milestones)
+    if starts is not None:
+        return rows.withColumn("first_term", split_of(F.col("term"), starts))
+    counts = rows.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("_n"))
+    known = join_back(rows.where("term is not null"), split_by_range_join(counts, milestones).join(counts, "term"), "term", "_n", spread_by)
+    nothing = rows.where("term is null").withColumn("first_term", F.lit(None).cast("string"))
+    return known.drop("_n").unionByName(nothing)

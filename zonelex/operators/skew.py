@@ -85,9 +85,9 @@ def per_key_totals(df: DataFrame, key: str, value: str, item: str, chunk_rows: i
     return merge_states(chunk_states(df, key, value, item, chunk_rows, stable), key)
 
 
-def heavy_keys(totals: DataFrame, key: str, share: float) -> DataFrame:
-    """The keys with at least ``share`` of all rows (null keys count in the whole but are never reported)."""
-    whole = totals.agg(F.sum("n_rows").alias("_all"))
+def heavy_keys(totals: DataFrame, key: str, share: float, rows: DataFrame) -> DataFrame:
+    """The keys with at least ``share`` of all ``rows`` (null keys count in the whole but are never reported)."""
+    whole = rows.agg(F.count(F.lit(1)).alias("_all"))
     return totals.crossJoin(F.broadcast(whole)).where((F.col("n_rows") >= F.col("_all") * F.lit(share)) & F.col(key).isNotNull()).drop("_all")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..operators import gaps
 from ..operators import search as sr
-from ..operators.postings import latest_postings, split_of, split_starts
+from ..operators.postings import latest_postings, with_split
 from ..session import materialized, table
 from .porter_sql import porter_cte
 
@@ -44,9 +44,7 @@ def gap_decode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def milestone_lookup(spark: SparkSession, d: str) -> DataFrame:
-    starts = split_starts(table(spark, d, "milestone"))
-    terms = _posting(spark, d).select("term").distinct()
-    return terms.select("term", split_of(F.col("term"), starts).alias("first_term"))
+    return with_split(_posting(spark, d).select("term").distinct(), table(spark, d, "milestone"), ["term"])
 
 
 def sublinear_tf(spark: SparkSession, d: str) -> DataFrame:
@@ -108,10 +106,8 @@ def search_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_compat_scan(spark: SparkSession, d: str) -> DataFrame:
-    starts = split_starts(table(spark, d, "milestone"))
-    how = split_of(F.col("term"), starts)
     tokens = sr.query_tokens(sr.parse_queries(_queries(spark, d)), distinct=False)
-    return sr.scan_tokens(tokens, _long(spark, d), how)
+    return sr.scan_tokens(tokens, _long(spark, d), table(spark, d, "milestone"))
 
 
 def result_lines(spark: SparkSession, d: str) -> DataFrame:

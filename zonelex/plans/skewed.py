@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codec import total_freq
-from ..operators.postings import clean_term, split_of, split_starts
-from ..operators.skew import per_key_totals
+from ..operators.postings import clean_term, split_starts, with_split
+from ..operators.skew import heavy_keys, per_key_totals
 from ..session import table
 
 TERM_SHARE = 0.01
@@ -21,8 +21,16 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _by_split(spark: SparkSession, d: str) -> DataFrame:
-    starts = split_starts(table(spark, d, "milestone"))
-    return _rows(spark, d).select(split_of(F.col("term"), starts).alias("first_term"), "doc_id", "uses")
+    return with_split(_rows(spark, d), table(spark, d, "milestone"), ["doc_id", "uses"]).select("first_term", "doc_id", "uses")
+
+
+def _split_totals(spark: SparkSession, d: str) -> DataFrame:
+    return per_key_totals(_by_split(spark, d), "first_term", "uses", "doc_id", stable=_few_splits(spark, d))
+
+
+def _few_splits(spark: SparkSession, d: str) -> bool:
+    """With few splits the rows with their splits are still a projection of the file scan."""
+    return split_starts(table(spark, d, "milestone")) is not None
 
 
 def term_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -31,38 +39,23 @@ def term_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def split_totals(spark: SparkSession, d: str) -> DataFrame:
-    t = per_key_totals(_by_split(spark, d), "first_term", "uses", "doc_id", stable=True)
+    t = _split_totals(spark, d)
     return t.where("first_term is not null").select("first_term", "n_rows", F.col("total").alias("uses"), F.col("low").alias("first_doc"), F.col("high").alias("last_doc"))
 
 
 def chunk_balance(spark: SparkSession, d: str) -> DataFrame:
     """How evenly the work of the splits was spread: chunks and the largest of them."""
-    t = per_key_totals(_by_split(spark, d), "first_term", "uses", "doc_id", stable=True)
+    t = _split_totals(spark, d)
     return t.where("first_term is not null").select("first_term", "n_rows", "n_chunks", "largest_chunk")
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
-    """Heavy terms and heavy splits from one pass: a term lies in exactly one split, so the merged totals of the
-    terms are themselves the boundary states of the splits."""
-    starts = split_starts(table(spark, d, "milestone"))
-    terms = per_key_totals(_rows(spark, d), "term", "uses", "doc_id", stable=True).select("term", "n_rows")
-    both = terms.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit("term").alias("key_kind"), F.col("term").alias("key_word")),
-                F.struct(F.lit("milestone").alias("key_kind"), split_of(F.col("term"), starts).alias("key_word")),
-            )
-        ).alias("k"),
-        "n_rows",
-    ).select("k.*", "n_rows")
-    totals = both.groupBy("key_kind", "key_word").agg(F.sum("n_rows").alias("n_rows"))
-    share = F.when(F.col("key_kind") == "term", F.lit(TERM_SHARE)).otherwise(F.lit(SPLIT_SHARE))
-    whole = table(spark, d, "posting").agg(F.count(F.lit(1)).alias("_all"))
-    return (
-        totals.crossJoin(F.broadcast(whole))
-        .where((F.col("n_rows") >= F.col("_all") * share) & F.col("key_word").isNotNull())
-        .select("key_kind", "key_word")
-    )
+    """Heavy terms and heavy splits, each from the folded chunks of its own keys."""
+    terms = per_key_totals(_rows(spark, d), "term", "uses", "doc_id", stable=True)
+    splits = _split_totals(spark, d)
+    posting = table(spark, d, "posting")
+    heavy = heavy_keys(terms, "term", TERM_SHARE, posting).select(F.lit("term").alias("key_kind"), F.col("term").alias("key_word"))
+    return heavy.unionByName(heavy_keys(splits, "first_term", SPLIT_SHARE, posting).select(F.lit("milestone").alias("key_kind"), F.col("first_term").alias("key_word")))
 
 
 QUERIES = {"p3_found": found, "p3_term_totals": term_totals, "p3_split_totals": split_totals, "p3_chunk_balance": chunk_balance}

@@ -25,22 +25,17 @@ def local_session(cores: int | str = 8, memory: str = "20g", app: str = "zonelex
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one on a single machine (tests); on a cluster
+    that would scatter tables over local disks, so it is refused."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured is None:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="zonelex-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return spark.sparkContext.getCheckpointDir() or configured
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
+    return context.getCheckpointDir() or configured
 
 
 _WRITTEN: list[str] = []
@@ -48,15 +43,26 @@ _WRITTEN: list[str] = []
 
 def materialized(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: several readers share one computation, and a
-    lost executor costs no recomputation. Columnar and compressed, so smaller than a checkpoint of rows."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    lost executor costs no recomputation. Columnar and compressed, so smaller than a checkpoint of rows. The table goes
+    with ``release``, or when the driver ends."""
+    path = temporary_path(df.sparkSession, "table")
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def temporary_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder that is deleted by ``release``, or when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    files.deleteOnExit(place)
+    return path
+
+
 def release(spark: SparkSession) -> int:
-    """Delete the tables that ``materialized`` wrote in this process, once no result reads them any more."""
+    """Delete what was written under ``temporary_path`` in this process, once no result reads it any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
     while _WRITTEN:
