@@ -71,6 +71,8 @@ def test_join_back_keeps_every_row(spark):
     n = Counter(k for k, _ in data if k)
     got = join_back(r, stats, "k", "n", ["i"]).collect()
     assert sorted((x.k, x.i, x.n) for x in got) == sorted((k, i, n[k]) for k, i in data if k)
+    few = join_back(r, stats.where("k <> 'hot'"), "k", "n", ["i"], outer=True).collect()
+    assert len(few) == len(data) and {x.i: x.n for x in few} == {i: n[k] if k and k != "hot" else None for k, i in data}
 
 
 def test_split_lookup_both_ways(spark):
