@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from zonelex.llm import residue as R
@@ -54,19 +57,89 @@ def test_templates_merge_what_differs():
     assert R._mine(signs) == ["no route matches <path> <*> .", "no route matches <path> <*> .", "other words are in this one"]
 
 
-def test_large_leaves_are_parted_and_nothing_is_lost(spark, monkeypatch):
-    monkeypatch.setattr(R, "MAX_LEAF", 10)
+def test_a_leaf_equals_comparing_all_templates():
+    def plain(signatures):
+        templates, member = [], []
+        for s in signatures:
+            t = s.split(" ")
+            same = [sum(a == b for a, b in zip(x, t)) for x in templates]
+            best = max(same, default=0)
+            if best >= 0.6 * len(t):
+                i = same.index(best)
+                templates[i] = [a if a == b else "<*>" for a, b in zip(templates[i], t)]
+            else:
+                i = len(templates)
+                templates.append(t)
+            member.append(i)
+        return [" ".join(templates[i]) for i in member]
+
+    rng = random.Random(2)
+    for n in (1, 3, 5, 8, 12):
+        for _ in range(20):
+            signs = [" ".join(["a", "b", "c"][:n] + [rng.choice("xyz") + str(rng.randrange(1 + j % 3)) for j in range(n - 3)]) for _ in range(40)]
+            assert R._mine(signs) == plain(signs)
+
+
+def test_a_leaf_of_many_templates_is_mined_fast():
+    began = time.perf_counter()
+    R._mine([f"no route matches p{i} q{i} r{i} s{i} t{i} u{i} v{i} ." for i in range(20_000)])
+    assert time.perf_counter() - began < 5
+
+
+def test_every_signature_gets_its_template(spark):
     signs = [f"no route matches p{i % 7} q{i} ." for i in range(200)] + ["x", "<value> lorem ipsum"]
-    df = spark.createDataFrame([(R.sign(s), s) for s in signs for _ in range(1 + len(s) % 3)], "sign binary, signature string")
-    got = {r.signature: (r.n, r.template) for r in R.mine_templates(df).collect()}
-    assert {s: 1 + len(s) % 3 for s in signs} == {s: n for s, (n, _) in got.items()}
-    assert all(t.startswith("no route matches") for s, (_, t) in got.items() if s.startswith("no")) and len({t for _, t in got.values()}) < 120
+    df = spark.createDataFrame([(s, False, False, 0) for s in signs for _ in range(1 + len(s) % 3)], "signature string, slot boolean, plain boolean, context int").repartition(5)
+    got = {bytes(r.sign): (r.n, r.verdict) for r in R.mine_templates(df).collect()}
+    assert got == {R.sign(s): (1 + len(s) % 3, "error" if s.startswith("no") else "filler") for s in signs if s != "x"}
+
+
+CONTENT = [
+    "Terror attacks in the city killed nine people.", "Error correction is a technique.", "Forbidden City is a palace complex.", "Not found until 1987, the wreck lies at 90 metres.",
+    "Unauthorized copies of the novel circulated.", "Something went wrong during the launch of the rocket.", "This section covers the early Semitic scripts.", "This table lists the scripts of South Asia.",
+]
+UNSEEN = [
+    "Whoops! We can't find what you were after.", "JS appears to be off in your client", "Sorry, our servers are taking a nap.", "HTTP/1.1 503", "La página que busca no existe.",
+    "Diese Seite benötigt JavaScript.", "Page under construction.", "Hmm, this link leads nowhere.", "Coming soon.", "Consectetur adipiscing elit, sed do eiusmod.",
+]
+
+
+def wide(rows):
+    return [(i, f"Page {i}", None, body) for i, body in enumerate(rows)]
+
+
+WIDE = "page_row long, title string, infobox string, body string"
+
+
+def test_content_that_begins_like_a_message(spark):
+    assert R.residue(spark.createDataFrame(wide(CONTENT), WIDE)).count() == 0
+
+
+def test_unseen_wordings_are_found_where_they_repeat(spark):
+    town = [f"The town of {w} lies near the river. It has {n} bridges." for n, w in enumerate("Alpha Beta Gamma Delta Epsilon Zeta Eta".split())]
+    rows = [f"{t}{' ' if k % 2 else chr(10)}{m}" if k else m for m in UNSEEN for k, t in enumerate(town)]
+    got = {r.page_row for r in R.residue(spark.createDataFrame(wide(rows + town), WIDE)).collect()}
+    found = [m for i, m in enumerate(UNSEEN) if {i * 7, i * 7 + 1, i * 7 + 2} <= got]
+    assert len(found) >= 8 and not [i for i in got if i >= len(rows)]
+
+
+def test_sentences_that_vary_are_content(spark):
+    things = "cell fort lake bat light road throne magnet bridge tower".split()
+    rows = []
+    for i in range(400):  # one place varies, also where the tree fixes it: the first words and the last
+        t = things[i % 10]
+        rows.append(f"Nobody knew who had left the {t} behind. A second {t} was added beside the old building. The {t} has to stop and look at it for a while. Many children like the {t}. Own words {i}.")
+    copies = ["Nothing varies in this article. Each sentence of it repeats. It was copied."] * 1
+    assert R.residue(spark.createDataFrame(wide(rows + copies), WIDE)).count() == 0
+    same = [(i, f"Page {i}", None, "Nothing varies here. It tells of Alpha. Each sentence repeats.") for i in range(9)]
+    assert R.residue(spark.createDataFrame(same, WIDE)).count() == 0  # copies of one article are one context
 
 
-def test_filler_vocabulary_finds_filler_without_a_beginning(spark):
-    words = "quellam irondo mirae salque voritas emphalo"
-    rows = [(i, None, f"Lorem ipsum {words} {w}.") for i, w in enumerate(words.split())] + [(99, None, "Irondo mirae quellam voritas."), (98, None, "The town lies near the river.")]
-    assert 99 in {r.page_row for r in R.residue(spark.createDataFrame(rows, SCHEMA)).collect()}
+def test_more_signatures_than_are_broadcast(spark, monkeypatch):
+    rows = wide([f"Error: part {chr(97 + i % 26)}{chr(97 + i // 26)} could not be found. It is a town. It stays." for i in range(300)])
+    df = spark.createDataFrame(rows, WIDE)
+    expected = sorted(R.residue(df).collect())
+    monkeypatch.setattr(R, "BROADCAST_SIGNS", 10)
+    assert sorted(R.residue(df).collect()) == expected and len(expected) >= 300
 
 
 def test_empty_table(spark):
@@ -91,11 +164,10 @@ def test_what_stands_late_in_a_long_message_is_found(spark):
 def test_filler_is_found_whatever_the_size_of_the_input(spark):
     alone = [(1, None, "Quellam irondo mirae, fulgonde at ere nubit salque voritas emphalo Ost."), (2, None, "Duis aute irure dolor in reprehenderit in voluptate velit.")]
     town = [(10 + i, None, f"The town of {w} lies near the river. It has a bridge.") for i, w in enumerate("alpha beta gamma".split())]
-    unknown = [(20 + i, None, "Lorem ipsum gartu velmo pindra toskel nubrek.") for i in range(50)] + [(99, None, "Toskel gartu nubrek velmo."), (98, None, "Velmo pindra toskel gartu.")]
+    for rows in (alone, alone + town, (alone + town) * 30):
+        assert {r.page_row for r in R.residue(spark.createDataFrame(rows, SCHEMA)).collect()} == {1, 2}
 
-    def found(rows):
-        return {r.page_row for r in R.residue(spark.createDataFrame(rows, SCHEMA)).collect()}
 
-    assert found(alone + town) == {1, 2}
-    assert found(unknown + town) == {r[0] for r in unknown}
-    assert found((alone + unknown + town) * 3) == {r[0] for r in alone + unknown}
+def test_editors_notes_inside_a_sentence(spark):
+    rows = [(1, None, "It grew for a season XXX write more about Ost XXX and the town lies there."), (2, None, "The XXX Olympiad took place.")]
+    assert {r.page_row for r in R.residue(spark.createDataFrame(rows, SCHEMA)).collect()} == {1}

@@ -3,7 +3,7 @@ import random
 from zonelex.llm import subjects as S
 
 WORDS = {"food": "flour baker oven dough cheese broth".split(), "law": "court judge verdict lawyer clause jury".split(), "sport": "coach medal goal referee relay trophy".split()}
-PAGE = "page_row long, body string, category string, infobox string, words string"
+PAGE = "page_row long, body string, category string, infobox string, words string, title string"
 
 
 def sentence(rng, subject):
@@ -19,7 +19,7 @@ def corpus(rng, n=240):
         if i % 4 == 1:  # a passing mention
             said.append(sentence(rng, next(s for s in sorted(WORDS) if s not in names)))
         rng.shuffle(said)
-        rows.append((i, " ".join(said), "|".join(f"About {s} {i}" for s in names), None, "x"))
+        rows.append((i, " ".join(said), "|".join(f"About {s} {i}" for s in names), None, "x", f"Page {i}"))
         truth[i] = set(names)
     return rows, truth
 
@@ -27,7 +27,7 @@ def corpus(rng, n=240):
 def test_subjects(spark):
     rng = random.Random(3)
     rows, truth = corpus(rng)
-    rows += [(1000, None, "About law 7", None, None), (1001, "#REDIRECT [[flour]]", "About food 1", None, None), (1002, "", None, None, None), (1003, "404 Not Found", "About food 1", None, None), (1004, None, None, None, None)]
+    rows += [(1000, None, "About law 7", None, None, "a"), (1001, "#REDIRECT [[flour]]", "About food 1", None, None, "b"), (1002, "", None, None, None, None), (1003, "404 Not Found", "About food 1", None, None, "c"), (1004, None, None, None, None, None)]
     rows.append(rows[0])  # delivered twice
     pages = spark.createDataFrame(rows, PAGE)
     labels = spark.createDataFrame([(i, s) for i in range(0, 240, 2) for s in truth[i]] + [(None, "law"), (5, None), (7, "unknown subject"), (99999, "law")], "page_row long, subject string")

@@ -1,30 +1,34 @@
 """Problem 1: unfilled placeholders, filler, error-page messages and demands for scripts in place of content.
 
 1. Fields are cut into messages: sentences and lines of a body, values of an infobox. Numbers, hexadecimal ids, paths,
-   hosts and names are masked, which gives a signature.
+   hosts, exceptions and names are masked, which gives a signature. Equal signatures are counted before they are exchanged.
 2. Message templates are mined with a prefix tree of fixed depth (number of tokens, first three, last token): within a
-   leaf, signatures that agree in most places join one template and their differing places become wildcards. Equal
-   signatures are counted before they are exchanged, and a leaf holds only distinct signatures.
-3. Each template is classified once, by what it says from its beginning on, so that a sentence *about* an error page is
-   none. A fixed lexicon and words far more frequent in filler signatures than elsewhere are the filler vocabulary, which
-   finds filler that has no such beginning.
-4. Verdicts are propagated to all messages with the template's signatures; hot signatures are broadcast, the rest joined.
+   leaf, signatures that agree in most places join one template and their differing places become wildcards.
+3. Each template is classified once. A short seed list knows how error pages, demands for scripts and filler begin
+   (so a sentence *about* an error page is none). Whatever its words, a sentence is residue if its template is closed
+   (no name, number or wildcard: nothing of the page it stands on) and it stands in at least ``SPREAD`` contexts:
+   content sentences of different pages vary with what the pages are about. A context is the text of a field
+   that says something else too, or the page's title, so copies of one article are one context. A template whose places
+   are fixed by the tree itself (first three, last) is closed only if no other signature differs there alone.
+4. Verdicts are propagated to all messages with the template's signatures.
 5. Separately, unresolved slots (``{{{name}}}``, ``%NAME%``, a value that repeats its own key inside a phrase) are
    detected inside ordinary records while the messages are cut.
 
-Cases: null and empty fields have no messages; repeated rows each count; ties between templates go to the one mined
-first in signature order; very long fields are read whole; an empty table gives no rows; extra columns are ignored.
+Cases: null and empty fields have no messages; repeated rows each count; a signature joins the most similar template of
+its leaf, of equal ones the first in signature order; very long fields are read whole; an empty table gives no rows; a
+missing title column or null title is one title; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import functools
-import hashlib
 import html
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from http import HTTPStatus
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,16 +37,14 @@ from ..session import materialized, table
 
 #: Signatures of one leaf join a template if at least this share of their tokens agree.
 SIMILAR = 0.6
-#: Signatures of a leaf before it is parted further.
-MAX_LEAF = 1_000
-#: A message is filler if at least this share of its words is filler vocabulary.
+#: A message is filler if at least this share of its words is in the filler lexicon.
 FILLER_SHARE = 0.6
-#: A learned word of filler is at least so many times as frequent in filler as elsewhere.
-TYPICAL = 1_000
-#: Bound of the learned filler vocabulary, by frequency.
-MAX_FILLER_WORDS = 2_000
-#: A body is residue as a whole if at least this share of its words is.
+#: A closed sentence is residue if it stands in at least so many contexts (of 64 classes of their hashes).
+SPREAD = 4
+#: A body is residue as a whole if at least this share of its tokens is.
 WHOLE = 0.7
+#: Up to so many signatures with a verdict go to the messages by broadcast; more are joined by an exchange.
+BROADCAST_SIGNS = 200_000
 
 # --- slots -------------------------------------------------------------------------------------------------------
 
@@ -67,6 +69,7 @@ _SLOT = re.compile(
     ),
     re.I,
 )
+_NOTE = re.compile(r"\bX{3,}\b(?:(?!\bXXX)[^\n])*\bX{3,}\b")
 _UPPER_SLOT = re.compile(r"(?<!\[)\[[A-Z][A-Z_]{2,}(?: [A-Z_]{2,})*\](?![\](])")
 _SOFT_SLOT = re.compile(r"(?<!\[)\[([a-z]+(?:[ _][a-z]+)?)\](?![\](])")
 #: editors' remarks in brackets, which are no slots.
@@ -79,6 +82,8 @@ def _slot(text: str) -> str:
 
 def mark_slots(text: str, put: Callable[[str], str] = _slot) -> str:
     """Replace unresolved slots by ``<slot>`` or what ``put`` makes of them."""
+    if "XXX" in text:
+        text = _NOTE.sub(lambda m: put(m.group(0)), text)
     if not any(c in text for c in "{$%#@<["):
         return text
 
@@ -102,6 +107,7 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 _ENTRY = re.compile(r"\n|; |\|")
 _ROW = re.compile(r"</(?:tr|td|th|p|li|h\d|div)>|<br ?/?>", re.I)
 _CELL = re.compile(r"<th>([^<]*)</th>\s*<td>", re.I)
+_HEAD = re.compile(r"([\w ]{1,40}?)\s*[:=]\s*(.*)$", re.S)
 _TOKEN = re.compile(r"<slot>|[^\W_]+(?:['’.:/@_-]+[^\W_]+)*|\.\.\.|[^\w\s]", re.U)
 
 
@@ -113,330 +119,392 @@ def _uncommented(text: str) -> str:
     return " ".join((*out, text[at:]))
 
 
+def _clean(text: str) -> str:
+    if "<" in text:
+        text = _TAG.sub(" ", text.replace("<slot>", "\x01")).replace("\x01", "<slot>")
+    if "\\" in text:
+        text = _COMMAND.sub(r"\1", text)
+    return _EMPHASIS.sub("", text) if "''" in text or "**" in text or "__" in text else text
+
+
 def messages(field: str, text: str) -> list[tuple[str | None, str]]:
     """(key, message) of a field."""
-    text = _uncommented(mark_slots(html.unescape(text)))
+    if "&" in text:
+        text = html.unescape(text)
+    text = mark_slots(text)
+    if "<" in text:
+        text = _uncommented(text)
+        if field == "infobox":
+            text = _CELL.sub(r"\1: ", text)
+        text = _ROW.sub("\n", text)
     out: list[tuple[str | None, str]] = []
     if field == "infobox":
-        text = _ROW.sub("\n", _CELL.sub(r"\1: ", text))
         for entry in _ENTRY.split(text):
             entry = _clean(entry).strip(" {}|*'")
-            head = re.match(r"([\w ]{1,40}?)\s*[:=]\s*(.*)$", entry, re.S)
+            head = _HEAD.match(entry)
             key, value = (head.group(1), head.group(2)) if head and head.group(1).lower() not in ("error", "warning", "fatal error") else (None, entry)
             if value.strip():
                 out.append((key, value.strip()))
     else:
-        for line in _ROW.sub("\n", text).split("\n"):
-            for sentence in _SENTENCE.split(_clean(line)):
-                if sentence.strip():
-                    out.append((None, sentence.strip()))
+        for line in _clean(text).split("\n"):
+            out += [(None, x) for x in map(str.strip, _SENTENCE.split(line)) if x]
     return out
 
 
-def _clean(text: str) -> str:
-    keep = text.replace("<slot>", "\x01")
-    return _EMPHASIS.sub("", _COMMAND.sub(r"\1", _TAG.sub(" ", keep))).replace("\x01", "<slot>")
+#: Words that keep their form when capitalized: those of the status phrases of HTTP.
+_STATUS_WORDS = frozenset(w.lower() for s in HTTPStatus if s >= 400 for w in re.findall("[A-Za-z]+", s.phrase)) | {"http", "javascript"}
+_HEX = re.compile(r"(?=[a-f]*\d)[0-9a-f]{6,}")
+_HOST = re.compile(r"[\w-]+\.(?:example|com|org|net|test)")
+_EXCEPTION = re.compile(r"(?:[\w.]+\.)?(?:[A-Z][a-z]+)+(?:Exception|Error)|\w+(?:\.\w+)+(?:Exception|Error)")
 
 
-def signature(key: str | None, message: str) -> tuple[str, int]:
-    """The masked message, whole however long it is, and its number of words."""
-    raw = _TOKEN.findall(message)
-    words = [t.lower() for t in raw if t[0].isalnum()]
-    name = re.sub(r"_?\d+$", "", key.lower()).strip() if key else None
-    out = []
-    for i, t in enumerate(raw):
+class Masks(dict):
+    """Memory of what a token becomes where it isn't the first of its message."""
+
+    BOUND = 400_000
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > self.BOUND:
+            self.clear()
+        self[token] = out = self.mask(token)
+        return out
+
+    @staticmethod
+    def mask(t: str, first: bool = False) -> str:
         low = t.lower()
         if t == "<slot>":
-            out.append(t)
-        elif name and len(raw) > 1 and re.sub(r"_?\d+$", "", low) == name:
-            out.append("<key>")
-        elif "/" in t or (t[0] == "/" and len(t) > 1):
-            out.append("<path>")
-        elif re.fullmatch(r"(?=[a-f]*\d)[0-9a-f]{6,}", low):
-            out.append("<hex>")
-        elif t[0].isdigit():
-            out.append("<num>")
-        elif re.fullmatch(r"[\w-]+\.(?:example|com|org|net|test)", low):
-            out.append("<host>")
-        elif i and t[0].isupper() and t[1:].islower():
-            out.append("<name>")
-        else:
-            out.append(low)
-    if key is None and len(words) > 1 and (len(set(words)) == 1 or len(words) >= 6 and len(set(words)) <= 0.55 * len(words)):
-        out.insert(0, "<repeat>")
+            return t
+        if _EXCEPTION.fullmatch(t):
+            return "<exception>"
+        if low.startswith("http/"):
+            return "http"
+        if "/" in t:
+            return "<path>"
+        if _HEX.fullmatch(low):
+            return "<hex>"
+        if t[0].isdigit():
+            return "<num>"
+        if _HOST.fullmatch(low):
+            return "<host>"
+        if not first and t[0].isupper() and t[1:].islower() and low not in _STATUS_WORDS:
+            return "<name>"
+        return low
+
+
+class Words(dict):
+    """Memory of a token's lower-cased form, '' for punctuation."""
+
+    def __missing__(self, token: str) -> str:
+        if len(self) > Masks.BOUND:
+            self.clear()
+        self[token] = out = token.lower() if token[0].isalnum() else ""
+        return out
+
+
+class FirstMasks(Masks):
+    """The same for the first token, whose capital says nothing."""
+
+    @staticmethod
+    def mask(t: str) -> str:  # type: ignore[override]
+        return Masks.mask(t, True)
+
+
+_MASKS, _FIRST, _WORDS = Masks(), FirstMasks(), Words()
+
+
+def signature(key: str | None, message: str) -> tuple[str, int]:
+    """The masked message, whole however long it is, and its number of tokens."""
+    raw = _TOKEN.findall(message)
+    if not raw:
+        return "", 0
+    out = list(map(_MASKS.__getitem__, raw))
+    out[0] = _FIRST[raw[0]]
     if key is not None:
+        name = re.sub(r"_?\d+$", "", key.lower()).strip()
+        if name and len(raw) > 1 and name in message.lower():
+            out = ["<key>" if re.sub(r"_?\d+$", "", t.lower()) == name else m for t, m in zip(raw, out)]
         out.insert(0, "<value>")
-    return " ".join(out), len(words)
+    else:
+        low = list(map(_WORDS.__getitem__, raw))
+        n, kinds = len(low) - low.count(""), len(set(low) - {""})
+        if n > 1 and (kinds == 1 or n >= 6 and kinds <= 0.55 * n):
+            out.insert(0, "<repeat>")
+    return " ".join(out), len(raw)
+
+
+_OPEN = re.compile("<(?:name|num|slot|key|path|hex|host|value|repeat)>|^# redirect|^[^\\w<]")
+_ENDS = (".", "!", "?", "…")
+
+
+def _says_nothing_of_the_page(s: str, alone: bool) -> bool:
+    """A sentence, or all there is, without a place that depends on the page."""
+    return (alone or s.endswith(_ENDS)) and " " in s and not _OPEN.search(s) and sum(w[0].isalpha() for w in s.split(" ")) >= 2
 
 
 def sign(signature_: str) -> bytes:
     """Sixteen bytes that stand for a signature where messages are exchanged."""
-    return hashlib.blake2b(signature_.encode(), digest_size=16).digest()
+    return xxhash.xxh3_128_digest(signature_)
+
+
+UNITS = "page_row bigint, field string, sign binary, signature string, n_tokens int, slot boolean, plain boolean, context int"
 
 
 def cut(pages: DataFrame) -> DataFrame:
-    """(page_row, field, sign, signature, n_words, slot) of every message."""
+    """Every message with its signature; ``plain`` if it says nothing of the page; ``context``, one of 64 classes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512).to_pydict()
-                ids, fields, signs, sizes, slots = [], [], [], [], []
-                known: dict[str, bytes] = {}
+                out: list[list] = [[] for _ in range(8)]
+                known: dict[str, tuple[bytes, bool, bool]] = {}
                 for field in ("infobox", "body"):
-                    for page, text in zip(part["page_row"], part[field]):
-                        for key, message in messages(field, text) if text else ():
-                            s, n = signature(key, message)
-                            ids.append(page)
-                            fields.append(field)
-                            signs.append(s)
-                            sizes.append(n)
-                            slots.append("<slot>" in s or "<key>" in s)
-                short = [known.get(x) or known.setdefault(x, sign(x)) for x in signs]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(fields, pa.string()), pa.array(short, pa.binary()), pa.array(signs, pa.string()), pa.array(sizes, pa.int32()), pa.array(slots, pa.bool_())],
-                    ["page_row", "field", "sign", "signature", "n_words", "slot"],
-                )
-
-    return pages.select(F.col("page_row").cast("bigint").alias("page_row"), "infobox", "body").mapInArrow(
-        rows, "page_row bigint, field string, sign binary, signature string, n_words int, slot boolean"
-    )
+                    for page, title, text in zip(part["page_row"], part["title"], part[field]):
+                        said = [signature(k, m) for k, m in messages(field, text)] if text else []
+                        if not said:
+                            continue
+                        plain = []
+                        for s, _ in said:
+                            if s not in known:
+                                known[s] = (sign(s), "<slot>" in s or "<key>" in s, _says_nothing_of_the_page(s, False))
+                            plain.append(known[s][2])
+                        if len(said) == 1:
+                            plain[0] = _says_nothing_of_the_page(said[0][0], True)
+                        context = xxhash.xxh64_intdigest((title or "") if all(plain) else text) & 63
+                        for (s, n), p in zip(said, plain):
+                            for column, value in zip(out, (page, field, known[s][0], s, n, known[s][1], p, context)):
+                                column.append(value)
+                types = (pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [x.split(" ")[0] for x in UNITS.split(", ")])
+
+    title = F.col("title").cast("string") if "title" in pages.columns else F.lit(None).cast("string").alias("title")
+    return pages.select(F.col("page_row").cast("bigint").alias("page_row"), title, "infobox", "body").mapInArrow(rows, UNITS)
 
 
 # --- templates ---------------------------------------------------------------------------------------------------
 
 
-def _mine(signatures: list[str]) -> list[str]:
-    """The template of each signature of one leaf, in order: a signature joins the most similar template, which then
-    keeps what they share."""
-    templates: list[list[str]] = []
-    member = []
-    for s in signatures:
-        tokens = s.split(" ")
-        best, at = 0.0, -1
-        for i, t in enumerate(templates):
-            same = sum(a == b for a, b in zip(t, tokens)) / len(tokens)
+class Leaf:
+    """The templates of one leaf of the tree. A signature joins the template with which it shares most places, if these
+    are at least ``SIMILAR`` of all. Two that share so many share one of the first places that are more than the rest, so
+    only templates that agree there, or have a wildcard, are looked at."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.least = -(-size * 6 // 10)
+        self.places = range(min(3, size), min(size, 3 + size - self.least + 1))
+        self.templates: list[list[str]] = []
+        self.at: dict[tuple[int, str], list[int]] = defaultdict(list)
+
+    def add(self, tokens: list[str]) -> int:
+        best, where = self.least - 1, -1
+        if len(self.templates) <= 4 or not self.places:
+            few = range(len(self.templates))
+        else:
+            few = sorted({i for p in self.places for i in self.at.get((p, tokens[p]), ())})
+        for i in few:
+            same = sum(map(str.__eq__, self.templates[i], tokens))
             if same > best:
-                best, at = same, i
-        if best >= SIMILAR:
-            templates[at] = [a if a == b else "<*>" for a, b in zip(templates[at], tokens)]
+                best, where = same, i
+        if where < 0:
+            where = len(self.templates)
+            self.templates.append(tokens)
+            for p in self.places:
+                self.at[p, tokens[p]].append(where)
         else:
-            at = len(templates)
-            templates.append(tokens)
-        member.append(at)
-    return [" ".join(templates[i]) for i in member]
+            self.templates[where] = [a if a == b else "<*>" for a, b in zip(self.templates[where], tokens)]
+        return where
 
 
-def mine_templates(units: DataFrame) -> DataFrame:
-    """(sign, signature, n, template) of every distinct signature. A leaf with more than ``MAX_LEAF`` signatures is parted
-    further by its next tokens, so that no leaf is large; leaves are mined one after the other as they come sorted."""
-    signs = units.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))
+def _mine(signatures: list[str]) -> list[str]:
+    """The template of each signature of one leaf, in order."""
+    tokens = [s.split(" ") for s in signatures]
+    leaf = Leaf(len(tokens[0]) if tokens else 0)
+    member = [leaf.add(t) for t in tokens]
+    return [" ".join(leaf.templates[i]) for i in member]
+
+
+def _turned(tokens: list[str]) -> list[int]:
+    """Hashes of a signature with one place left out, for each place that the tree itself fixes."""
+    places = sorted({0, min(1, len(tokens) - 1), min(2, len(tokens) - 1), len(tokens) - 1})
+    return [xxhash.xxh64_intdigest(f"{p} " + " ".join([*tokens[:p], "<*>", *tokens[p + 1 :]])) - (1 << 63) for p in places]
+
+
+def mine_templates(units: DataFrame, seeds: bool = True) -> DataFrame:
+    """(sign, n, template, verdict, turned) of every distinct signature that has a verdict or may get one by its spread
+    (``turned`` is not null). Leaves are mined one after the other as they come sorted. Without ``seeds`` only the spread
+    of templates decides, which measures how unseen wordings fare."""
+    context = F.when(F.col("plain"), F.expr("shiftleft(1L, context)")).otherwise(F.lit(0).cast("bigint"))
+    signs = units.where("not slot").groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.bit_or(context).alias("contexts"))
     t = F.split("signature", " ")
-    size = F.size(t)
-    leaf = F.concat_ws(" ", size.cast("string"), F.array_join(F.slice(t, 1, 3), " "), F.element_at(t, -1))
-    placed = signs.withColumn("leaf", leaf)
-    sizes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"))
-    part = F.pmod(F.xxhash64(F.array_join(F.slice(t, 4, 4), " ")), F.ceil(F.col("m") / MAX_LEAF))
-    deeper = join_back(placed, sizes, "leaf", "m", ["signature"]).select("signature", "n", F.concat_ws("#", "leaf", part.cast("string")).alias("leaf"))
+    leaf = F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, 3), " "), F.element_at(t, -1))
+    spread = F.bit_count("contexts") >= F.lit(SPREAD)
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, []
-        out: list[tuple[bytes, str, int, str]] = []
-
-        def close() -> None:
-            out.extend((sign(s), s, n, t) for (s, n), t in zip(held, _mine([s for s, _ in held])))
-            held.clear()
+        out: list[tuple] = []
+
+        def close(held: list[tuple]) -> None:
+            leaves: dict[tuple, list] = defaultdict(list)  # more than one only where hashes of leaves are equal
+            for h in sorted(held):
+                w = h[0].split(" ")
+                leaves[len(w), *w[:3], w[-1]].append(h)
+            for leaf in leaves.values():
+                kinds: dict[str, str] = {}
+                for (s, n, plain, wide), template in zip(leaf, _mine([h[0] for h in leaf])):
+                    if template not in kinds:
+                        kinds[template] = classify(template) if seeds else ""
+                    verdict = kinds[template] or ("filler" if seeds and _filler(s) else None)
+                    if verdict or plain:
+                        turned = None if verdict else _turned(s.split(" "))
+                        out.append((sign(s), n, template, verdict, turned, bool(wide and not verdict and "<*>" not in template)))
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out)) or [()] * 4
+            columns = list(zip(*out)) or [()] * 6
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.string(), pa.int64(), pa.string()))], ["sign", "signature", "n", "template"])
+            types = (pa.binary(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], ["sign", "n", "template", "verdict", "turned", "spread"])
 
+        here, held = None, []
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
-                for s, n, at in zip(*(part.column(i).to_pylist() for i in range(3))):
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                for *h, at in zip(*(part.column(i).to_pylist() for i in range(5))):
                     if at != here and held:
-                        close()
+                        close(held)
+                        held = []
                     here = at
-                    held.append((s, n))
+                    held.append(tuple(h))
                 yield flush()
-        if held:
-            close()
-            yield flush()
+        close(held)
+        yield flush()
 
-    ordered = deeper.repartition("leaf").sortWithinPartitions("leaf", "signature")
-    return ordered.mapInArrow(mine, "sign binary, signature string, n bigint, template string")
+    ordered = signs.select("signature", "n", (F.col("contexts") != 0).alias("plain"), spread.alias("spread"), leaf.alias("leaf")).repartition("leaf").sortWithinPartitions("leaf")
+    return ordered.mapInArrow(mine, "sign binary, n bigint, template string, verdict string, turned array<bigint>, spread boolean")
 
 
 # --- classification ----------------------------------------------------------------------------------------------
 
-#: How error pages, demands for scripts and filler begin, over masked and lowered templates.
-_ANY = r"(?:<repeat> |<value> )*"
+_THING = "(page|site|map|panel|app|section|table|gallery|video|content|box|list|article|text|image|summary)"
+_SCRIPTS = "(javascript|java script|scripts?|scripting|cookies)"
+_PHRASES = "|".join(sorted((re.sub("-", " - ", s.phrase.lower()).replace("'", " ' ") for s in HTTPStatus if s >= 400), key=len, reverse=True))
+#: Seeds: how error pages, demands for scripts and filler begin, over masked and lowered templates.
 ERROR = [
-    r"(http )?<num>( -)? (not found|gone|forbidden|unauthorized|bad gateway|bad request|service unavailable|internal server error|gateway time-?out|too many requests)",
-    r"(http|http status) <num>",
-    r"(http )?error :? ?<num>( \.)*$",
-    r"(page|site|service|server|connection|request|access|content) (unavailable|not (found|available)|denied|failed|blocked|refused|timed out|error|temporarily unavailable|is down)",
-    r"(not found|forbidden|unauthorized|oops|sorry , (the|this|we))\b",
-    r"(gateway timeout|too many requests|bad (gateway|request)|internal server error|something went wrong|an error (has )?occurred|site under maintenance|down for maintenance)",
-    r"(unable|failed) to (load|display|connect|open|retrieve|process|fetch|render)",
-    r"(template|script|lua|database|parse|syntax) error",
+    rf"(http )?(error )?(status )?<num>( [-:–])? ({_PHRASES})",
+    r"http( status)?( code)? <num>|error :? ?<num>( \.)*$",
+    rf"({_PHRASES}|oops|page unavailable|access denied|request blocked|not available|gateway timeout)( \.| !|$| \( <num> \))",
+    rf"(oops|whoops|sorry) [,!.] .*\b(page|server|site|link|service|request|{_THING})\b",
+    rf"{_THING} (is )?(temporarily )?(unavailable|not (found|available)|failed to load|timed out|introuvable)( \.|$)",
+    r"(service|server|connection|request) (unavailable|denied|failed|blocked|refused|timed out|error|is down|temporarily unavailable)",
+    r"(something went wrong|an error (has )?occurred)( \.| !| ,|$| (while|when) )",
+    r"(unable|failed) to (load|display|connect|open|retrieve|process|fetch|render)\b",
+    r"(template|script|lua|database|parse|syntax|fatal) error :",
     r"error : .*(could not|cannot|can not|failed|not found|missing)",
-    r"(warning|fatal error|notice|deprecated) : ",
-    r"traceback \(",
-    r"traceback ",
-    r"[a-z.]*(exception|error)( |$)(?!.*\bby\b)",
-    r"at [a-z]+\.[\w.$]+ \(",
-    r"file \" ",
-    r"\{ \" (status|error|message|code)",
-    r"the (page|file|address|url|document) .*(could not be (located|found)|does not exist|not be found)",
+    r"(warning|notice|deprecated) : .*(<path>|stream|undefined|denied|on line)",
+    r"traceback \(|at [a-z]+\.[\w.$]+ \(|file \" |\{ \" (status|error|message|code)|<exception>( |$)",
+    r"the (requested )?(page|file|address|url|document)( <path>)*( you \w+)? (could not be (located|found)|does not exist|(can not|cannot) be found|was not found)",
     r"it may have been (moved|renamed|deleted)",
     r"you do not have permission",
-    r"the .* (did not answer in time|did not accept the connection)",
+    r"the ([a-z]+ )?(server|database|host|gateway) did not (answer|respond|accept the connection)",
     r"your request .*(was refused|was blocked|could not be)",
-    r"no route matches",
-    r"we are doing some .*work",
-    r"our team has been notified",
-    r"(please )?try again (in|later|after)",
-    r"return to the (start|home|main) ?-?page",
-    r"go back \| ",
-    r"(incident|trace|error id|request id|ref) (<hex>|<num>)",
-    r"reload (the|this) page",
-    r"we could not (display|load|find)",
-    r"the (remaining|rest of the) (text|page|article) (failed|could not)",
-    r"service momentan", r"veuillez r.essayer", r"réf \.", r"page (introuvable|non trouvée)",
-    r"seite nicht gefunden", r"die angeforderte (adresse|seite)", r"p.gina no encontrada", r"vuelva al inicio",
+    r"no route matches|our team has been notified|reload (the|this) page|go back \| ",
+    r"we are doing some \w+ work|(site )?(under|down for) maintenance",
+    r"(please )?try again (in|later|after)|return to the (start|home|main) ?-?page",
+    r"(incident|trace|error id|request id|ref|request) (<hex>|<num>)",
+    rf"we (could not|can ' t|cannot) (display|load|find) (the|this|that) {_THING}",
+    rf"the (remaining|rest of the) {_THING} (failed|could not)",
+    r"service momentan|veuillez r.essayer|page (introuvable|non trouvée)|seite nicht gefunden|die angeforderte (adresse|seite)|p.gina no encontrada|vuelva al inicio",
 ]
 SCRIPT = [
-    r"(please )?(enable|activate|turn on|switch on|allow) (javascript|java script|scripts?|scripting|cookies|them to)",
-    r"(javascript|scripts?|scripting|cookies) (is|are|must be) (disabled|required|blocked|off|switched off|turned off|enabled)",
+    rf"(please )?(enable|activate|turn on|switch on|allow) ({_SCRIPTS}|them to)",
+    rf"{_SCRIPTS} (is|are|must be) (disabled|required|blocked|off|switched off|turned off|enabled)",
     r"your browser (does not|doesn ?'? ?t|is out of date|is not supported|has)",
-    r"you (need|have) to (switch on|enable|turn on|activate|allow)",
-    r"this (site|page|map|panel|app|section|table|gallery|video|content|box|list) .*(scripts?|scripting|javascript|cookies)",
-    r".*allow scripts for this",
-    r"checking your browser",
-    r"loading (…|\.\.\.)",
-    r"to (see|read|view|show) .*(turn on|enable|activate|switch on) (javascript|scripts)",
-    r"without (them|scripts|javascript) the",
-    r"(veuillez )?activ\w* (le |la )?javascript", r"veuillez activer", r"javascript est", r"bitte aktivieren", r"javascript ist", r"javascript est. ", r"le résumé ne peut",
+    rf"you (need|have) to (switch on|enable|turn on|activate|allow) .*{_SCRIPTS}",
+    rf"this {_THING} (needs|requires|works best with|does not work without|cannot be shown without) .*{_SCRIPTS}|this {_THING} needs scripts",
+    r"checking your browser|loading (…|\.\.\.)",
+    rf"(to (see|read|view|show) .*|.*\b)(turn on|enable|activate|switch on|allow) {_SCRIPTS} (in your|for this|to)\b",
+    rf"without (them|{_SCRIPTS}) the",
+    r"(veuillez )?activ\w* (le |la )?javascript|javascript (est|ist) |bitte aktivieren|veuillez activer",
 ]
 FILLER = [
     r"lorem ipsum",
     r"(label|data|sample|dummy) text$",
-    r"body copy to follow",
-    r"click here to edit",
+    r"body copy to follow|click here to edit|replace this (paragraph|text|sentence)|do not publish",
     r"this is (a sample|an example|placeholder|dummy) ",
-    r"replace this (paragraph|text|sentence)",
     r"this (section|page|article|text) is (intentionally|only) (filled|a placeholder)",
     r"(todo|tbd|fixme|tba)\b",
-    r"do not publish",
-    r"draft <num>( \.)?$",
-    r"heading <num>$",
+    r"draft <num>( \.)?$|heading <num>$",
     r"xxx .* xxx$",
     r"test test .*test",
     r"(value of|your|enter|insert) .*\bhere$",
-    r"\( (enter|insert|add|your) .*here \)",
-    r"\[ (insert|write|add|enter|describe) ",
+    r"\( (enter|insert|add|your) .*here \)|\[ (insert|write|add|enter|describe) ",
+    r"(?:(?:add|sample|your|dummy|edit|placeholder|enter|insert) text(?: here)?(?: \.)?(?: |$))+$",
+    r"(?:text goes here(?: \.)?(?: |$))+$|(?:xx+(?: \.$| |$))+$|(?:blah(?: \.$| |$))+$|content(?: content)+(?: \.)?$",
 ]
-#: Filler that says one thing over and over to its end; taken off piece by piece, as Java's matcher recurses once a
-#: repetition and a long message would exhaust its stack.
-LOOPED = [
-    r"(?:add|sample|your|dummy|edit|placeholder|enter|insert) text(?: here)?(?: \.)?(?: |$)",
-    r"text goes here(?: \.)?(?: |$)",
-    r"xx+(?: \.$| |$)",
-    r"blah(?: \.$| |$)",
-    r"(?:(?<! )content(?= content)|(?<=content )content)(?: \.$| |$)",
-]
-VALUE_ONLY = [r"(undefined|null|nan|n\.a\.n|#ref !|#n/a|\[ object object \])$"]
-REPEATED = [r".*"]
+_ANY = r"(?:<repeat> |<value> )*"
+_SEEDS = [(kind, re.compile(_ANY + "(?:" + "|".join(f"(?:{x})" for x in seeds) + ")")) for kind, seeds in (("error", ERROR), ("script", SCRIPT), ("filler", FILLER))]
+_NO_VALUE = re.compile(r"<value> (undefined|null|nan|n\.a\.n|#ref !|#n/a|\[ object object \])$")
 
 
-def _pattern(starts: list[str], before: str = _ANY) -> str:
-    return f"^{before}(?:" + "|".join(f"(?:{s})" for s in starts) + ")"
+def classify(template: str) -> str:
+    """error, script, filler or '' by the seeds."""
+    for kind, seeds in _SEEDS:
+        if seeds.match(template):
+            return kind
+    return "filler" if template.startswith("<repeat> ") or _NO_VALUE.match(template) else ""
 
 
-def _looped(template: F.Column) -> F.Column:
-    said = F.regexp_replace(template, f"^{_ANY}", "")
-    left = [F.regexp_replace(said, rf"\G(?:{unit})", "") == "" for unit in LOOPED]
-    return (said != "") & functools.reduce(lambda a, b: a | b, left)
+#: The words of "lorem ipsum" that are rare in other Latin, of its imitations, and of typing at random.
+LEXICON = frozenset(
+    (
+        "adipiscing aliqua aliquip amet anim aute cillum commodo consectetur consequat culpa cupidatat deserunt dolor dolore duis eiusmod elit enim "
+        "excepteur exercitation fugiat incididunt ipsum irure labore laboris laborum lorem magna minim mollit nisi nostrud nulla occaecat officia "
+        "pariatur proident reprehenderit sint tempor ullamco velit veniam voluptate "
+        "debrit emphalo ere fulgonde irondo mirae nubit onasti passuri quellam salque scalet tormique veluna voritas "
+        "asdf bar baz blah foo jkl qux qwe qwerty xx xxx xxxx xxxxx"
+    ).split()
+)
+_PLAIN_WORD = re.compile(r"(?:(?<= )|^)[a-z]{2,}(?= |$)")
 
 
-def classify(template: F.Column) -> F.Column:
-    """error, script, filler or null."""
-    return (
-        F.when(template.rlike(_pattern(ERROR)), "error")
-        .when(template.rlike(_pattern(SCRIPT)), "script")
-        .when(template.rlike(_pattern(FILLER)), "filler")
-        .when(_looped(template), "filler")
-        .when(template.rlike(_pattern(VALUE_ONLY, "<value> ")), "filler")
-        .when(template.rlike(_pattern(REPEATED, "<repeat> ")), "filler")
-    )
+def _filler(s: str) -> bool:
+    """At least three words, and ``FILLER_SHARE`` of them in the lexicon."""
+    if LEXICON.isdisjoint(s.split(" ")):
+        return False
+    words = _PLAIN_WORD.findall(s)
+    return len(words) >= 3 and sum(w in LEXICON for w in words) >= FILLER_SHARE * len(words)
 
 
-#: The words of "lorem ipsum" that are rare in other Latin, of its imitations, and of typing at random.
-LEXICON = (
-    "adipiscing aliqua aliquip amet anim aute cillum commodo consectetur consequat culpa cupidatat deserunt dolor dolore duis eiusmod elit enim "
-    "excepteur exercitation fugiat incididunt ipsum irure labore laboris laborum lorem magna minim mollit nisi nostrud nulla occaecat officia "
-    "pariatur proident reprehenderit sint tempor ullamco velit veniam voluptate "
-    "debrit emphalo ere fulgonde irondo mirae nubit onasti passuri quellam salque scalet tormique veluna voritas "
-    "asdf bar baz blah foo jkl qux qwe qwerty xx xxx xxxx xxxxx"
-).split()
-_PLAIN_WORDS = "(?:^| )([a-z]{2,})(?= |$)"
-
-
-def _mostly(words: F.Column, known: list[str]) -> F.Column:
-    """At least three words, and ``FILLER_SHARE`` of them known."""
-    return (F.size(words) >= 3) & (F.size(F.filter(words, lambda w: w.isin(*known))) >= F.size(words) * F.lit(FILLER_SHARE))
-
-
-def filler_vocabulary(verdicts: DataFrame) -> list[str]:
-    """``LEXICON`` and the words that are ``TYPICAL`` times as frequent in filler signatures as in others. Frequencies are
-    shares of distinct signatures, so neither the size of the input nor repetition decides. A signature without verdict
-    that consists mostly of words of filler may be filler itself and counts on neither side."""
-    words = F.regexp_extract_all("signature", F.lit(_PLAIN_WORDS), F.lit(1))
-    said = verdicts.select(words.alias("words"), "verdict", F.coalesce(F.col("verdict") == "filler", F.lit(False)).alias("is_filler"))
-
-    def counts(rows: DataFrame, *only: F.Column) -> DataFrame:
-        return rows.select(F.explode(F.array_distinct("words")).alias("w")).where(functools.reduce(lambda a, b: a & b, only, F.lit(True))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-
-    filler = said.where("is_filler")
-    inside = {r[0]: r[1] for r in counts(filler).orderBy(F.desc("n"), "w").limit(MAX_FILLER_WORDS).collect()}
-    if not inside:
-        return LEXICON
-    other = said.where(~F.col("is_filler") & ~(F.col("verdict").isNull() & _mostly(F.col("words"), list(inside))))
-    outside = {r[0]: r[1] for r in counts(other, F.col("w").isin(*inside)).collect()}
-    n_filler, n_other = filler.count(), other.count()
-    return LEXICON + sorted(w for w, n in inside.items() if w not in LEXICON and n * n_other >= TYPICAL * outside.get(w, 0) * n_filler)
-
-
-def verdicts(units: DataFrame) -> DataFrame:
-    """(sign, signature, n, template, verdict) of every distinct signature; one classification a template."""
-    templates = mine_templates(units)
-    kinds = templates.select("template").distinct().withColumn("verdict", classify(F.col("template")))
-    words = F.regexp_extract_all("signature", F.lit(_PLAIN_WORDS), F.lit(1))
-    listed = F.when(_mostly(words, LEXICON), F.lit("filler"))
-    first = materialized(templates.join(kinds, "template").withColumn("verdict", F.coalesce("verdict", listed)))
-    return first.withColumn("verdict", F.coalesce("verdict", F.when(_mostly(words, filler_vocabulary(first)), F.lit("filler"))))
-
-
-def residue(pages: DataFrame) -> DataFrame:
-    """(page_row, field, n_words, verdict) of every message; verdict null for content."""
+def verdicts(units: DataFrame, seeds: bool = True) -> DataFrame:
+    """(sign, n, template, verdict) of the signatures that are residue; one classification a template."""
+    mined = materialized(mine_templates(units, seeds))
+    closed = mined.where("spread").select("sign", "n", "template", F.explode("turned").alias("h"))
+    others = mined.where("turned is not null").select(F.explode("turned").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("_alike")).where("_alike > 1")
+    varied = closed.join(others, "h").select("sign").distinct()
+    spread = closed.select("sign", "n", "template").distinct().join(varied, "sign", "left_anti").withColumn("verdict", F.lit("repeated"))
+    return mined.where("verdict is not null").select("sign", "n", "template", "verdict").unionByName(spread)
+
+
+def judged(pages: DataFrame, seeds: bool = True) -> DataFrame:
+    """(page_row, field, n_tokens, verdict) of every message; verdict null for content."""
     units = materialized(cut(pages))
-    bad = verdicts(units).where("verdict is not null").select("sign", "n", "verdict")
-    slots = units.where("slot").select("page_row", "field", "n_words", F.lit("slot").alias("verdict"))
-    rest = units.where("not slot").select("page_row", "field", "n_words", "sign")
-    said = join_back(rest, bad, "sign", "n", ["page_row"]).select("page_row", "field", "n_words", "verdict")
-    return slots.unionByName(said)
+    bad = materialized(verdicts(units, seeds).select("sign", "n", "verdict"))
+    columns = ["page_row", "field", "n_tokens", "sign", "slot"]
+    if bad.count() <= BROADCAST_SIGNS:
+        said = units.select(*columns).join(F.broadcast(bad.select("sign", "verdict")), "sign", "left")
+    else:
+        said = join_back(units.select(*columns), bad, "sign", "n", ["page_row"], outer=True)
+    return said.select("page_row", "field", "n_tokens", F.when(F.col("slot"), F.lit("slot")).otherwise(F.col("verdict")).alias("verdict"))
+
+
+def residue(pages: DataFrame, seeds: bool = True) -> DataFrame:
+    """(page_row, field, n_tokens, verdict) of the messages that are residue."""
+    return judged(pages, seeds).where("verdict is not null")
 
 
 def whole_bodies(pages: DataFrame) -> DataFrame:
     """page_row of the rows whose body is residue as a whole."""
-    from ..functions.text import ascii_lower
-
-    bad = residue(pages).where("field = 'body'").groupBy("page_row").agg(F.sum("n_words").alias("bad"))
-    words = F.size(F.regexp_extract_all(ascii_lower(F.col("body")), F.lit(r"([^\W_]+(?:['’.:/@-]+[^\W_]+)*)"), F.lit(1)))
-    return pages.select("page_row", words.alias("n")).join(bad, "page_row").where(F.col("bad") >= F.col("n") * F.lit(WHOLE)).select("page_row").distinct()
+    said = judged(pages).where("field = 'body'").groupBy("page_row").agg(F.sum("n_tokens").alias("n"), F.sum(F.when(F.col("verdict").isNotNull(), F.col("n_tokens"))).alias("bad"))
+    return said.where(F.col("bad") >= F.col("n") * F.lit(WHOLE)).select("page_row")
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:

@@ -266,7 +266,7 @@ def _phrase_subjects(pages: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def subjects(pages: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     """(page_row, subject)."""
-    pages = pages.select(F.col("page_row").cast("bigint").alias("page_row"), "body", "category", "infobox")
+    pages = pages.select(F.col("page_row").cast("bigint").alias("page_row"), "title", "body", "category", "infobox")
     words = materialized(_tokens(pages)).withColumn("words", F.flatten("sentences"))
     model = train(words, pages, labels, areas)
     schema = "page_row bigint, subject string"
