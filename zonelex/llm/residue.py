@@ -191,45 +191,51 @@ class Masks(dict):
         return low
 
 
-class Words(dict):
-    """Memory of a token's lower-cased form, '' for punctuation."""
+class Chunks(dict):
+    """Memory of what the tokens of a piece without blanks become; ``first`` if it begins a message."""
 
-    def __missing__(self, token: str) -> str:
+    def __init__(self, first: bool = False):
+        super().__init__()
+        self.first, self.masks = first, Masks()
+
+    def __missing__(self, chunk: str) -> str:
         if len(self) > Masks.BOUND:
             self.clear()
-        self[token] = out = token.lower() if token[0].isalnum() else ""
-        return out
-
+        tokens = _TOKEN.findall(chunk)
+        out = [self.masks[t] for t in tokens]
+        if self.first and tokens:
+            out[0] = Masks.mask(tokens[0], True)
+        self[chunk] = masked = " ".join(out)
+        return masked
 
-class FirstMasks(Masks):
-    """The same for the first token, whose capital says nothing."""
-
-    @staticmethod
-    def mask(t: str) -> str:  # type: ignore[override]
-        return Masks.mask(t, True)
 
-
-_MASKS, _FIRST, _WORDS = Masks(), FirstMasks(), Words()
+#: Tokens left out where kinds of words are estimated.
+_MARKS = frozenset(".,;:!?…()[]{}'\"-–—/|*=<>#&%$")
+_CHUNKS, _FIRST = Chunks(), Chunks(True)
 
 
 def signature(key: str | None, message: str) -> tuple[str, int]:
     """The masked message, whole however long it is, and its number of tokens."""
-    raw = _TOKEN.findall(message)
-    if not raw:
+    chunks = message.split()
+    if not chunks:
         return "", 0
-    out = list(map(_MASKS.__getitem__, raw))
-    out[0] = _FIRST[raw[0]]
+    out = list(map(_CHUNKS.__getitem__, chunks))
+    out[0] = _FIRST[chunks[0]]
+    said = " ".join(filter(None, out))
+    masked = said.split(" ")
+    n = len(masked)
     if key is not None:
         name = re.sub(r"_?\d+$", "", key.lower()).strip()
-        if name and len(raw) > 1 and name in message.lower():
-            out = ["<key>" if re.sub(r"_?\d+$", "", t.lower()) == name else m for t, m in zip(raw, out)]
-        out.insert(0, "<value>")
-    else:
-        low = list(map(_WORDS.__getitem__, raw))
-        n, kinds = len(low) - low.count(""), len(set(low) - {""})
-        if n > 1 and (kinds == 1 or n >= 6 and kinds <= 0.55 * n):
-            out.insert(0, "<repeat>")
-    return " ".join(out), len(raw)
+        if name and n > 1 and name in message.lower():
+            masked = ["<key>" if re.sub(r"_?\d+$", "", t.lower()) == name else m for t, m in zip(_TOKEN.findall(message), masked)]
+            return "<value> " + " ".join(masked), n
+        return "<value> " + said, n
+    if len(set(masked).difference(_MARKS)) <= 0.55 * n or n <= 3:
+        low = [t.lower() for t in _TOKEN.findall(message) if t[0].isalnum()]
+        kinds = len(set(low))
+        if len(low) > 1 and (kinds == 1 or len(low) >= 6 and kinds <= 0.55 * len(low)):
+            return "<repeat> " + said, n
+    return said, n
 
 
 _OPEN = re.compile("<(?:name|num|slot|key|path|hex|host|value|repeat)>|^# redirect|^[^\\w<]")
@@ -256,26 +262,31 @@ def cut(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512).to_pydict()
-                out: list[list] = [[] for _ in range(8)]
+                ids, fields, signs, signatures, sizes, slots, plains, contexts = ([] for _ in range(8))
                 known: dict[str, tuple[bytes, bool, bool]] = {}
                 for field in ("infobox", "body"):
                     for page, title, text in zip(part["page_row"], part["title"], part[field]):
                         said = [signature(k, m) for k, m in messages(field, text)] if text else []
                         if not said:
                             continue
-                        plain = []
-                        for s, _ in said:
+                        n, some, lengths = len(said), *zip(*said)
+                        for s in some:
                             if s not in known:
                                 known[s] = (sign(s), "<slot>" in s or "<key>" in s, _says_nothing_of_the_page(s, False))
-                            plain.append(known[s][2])
-                        if len(said) == 1:
-                            plain[0] = _says_nothing_of_the_page(said[0][0], True)
-                        context = xxhash.xxh64_intdigest((title or "") if all(plain) else text) & 63
-                        for (s, n), p in zip(said, plain):
-                            for column, value in zip(out, (page, field, known[s][0], s, n, known[s][1], p, context)):
-                                column.append(value)
+                        short, slot, plain = zip(*map(known.__getitem__, some))
+                        if n == 1:
+                            plain = (_says_nothing_of_the_page(some[0], True),)
+                        ids += [page] * n
+                        fields += [field] * n
+                        signs += short
+                        signatures += some
+                        sizes += lengths
+                        slots += slot
+                        plains += plain
+                        contexts += [xxhash.xxh64_intdigest((title or "") if all(plain) else text) & 63] * n
                 types = (pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [x.split(" ")[0] for x in UNITS.split(", ")])
+                columns = (ids, fields, signs, signatures, sizes, slots, plains, contexts)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split(" ")[0] for x in UNITS.split(", ")])
 
     title = F.col("title").cast("string") if "title" in pages.columns else F.lit(None).cast("string").alias("title")
     return pages.select(F.col("page_row").cast("bigint").alias("page_row"), title, "infobox", "body").mapInArrow(rows, UNITS)
@@ -318,6 +329,8 @@ class Leaf:
 
 def _mine(signatures: list[str]) -> list[str]:
     """The template of each signature of one leaf, in order."""
+    if len(signatures) == 1:
+        return signatures
     tokens = [s.split(" ") for s in signatures]
     leaf = Leaf(len(tokens[0]) if tokens else 0)
     member = [leaf.add(t) for t in tokens]
@@ -326,7 +339,7 @@ def _mine(signatures: list[str]) -> list[str]:
 
 def _turned(tokens: list[str]) -> list[int]:
     """Hashes of a signature with one place left out, for each place that the tree itself fixes."""
-    places = sorted({0, min(1, len(tokens) - 1), min(2, len(tokens) - 1), len(tokens) - 1})
+    places = (0, 1, 2, len(tokens) - 1) if len(tokens) > 3 else range(len(tokens))
     return [xxhash.xxh64_intdigest(f"{p} " + " ".join([*tokens[:p], "<*>", *tokens[p + 1 :]])) - (1 << 63) for p in places]
 
 
@@ -345,9 +358,12 @@ def mine_templates(units: DataFrame, seeds: bool = True) -> DataFrame:
 
         def close(held: list[tuple]) -> None:
             leaves: dict[tuple, list] = defaultdict(list)  # more than one only where hashes of leaves are equal
-            for h in sorted(held):
-                w = h[0].split(" ")
-                leaves[len(w), *w[:3], w[-1]].append(h)
+            if len(held) == 1:
+                leaves[()] = held
+            else:
+                for h in sorted(held):
+                    w = h[0].split(" ")
+                    leaves[len(w), *w[:3], w[-1]].append(h)
             for leaf in leaves.values():
                 kinds: dict[str, str] = {}
                 for (s, n, plain, wide), template in zip(leaf, _mine([h[0] for h in leaf])):
@@ -356,7 +372,8 @@ def mine_templates(units: DataFrame, seeds: bool = True) -> DataFrame:
                     verdict = kinds[template] or ("filler" if seeds and _filler(s) else None)
                     if verdict or plain:
                         turned = None if verdict else _turned(s.split(" "))
-                        out.append((sign(s), n, template, verdict, turned, bool(wide and not verdict and "<*>" not in template)))
+                        repeats = bool(wide and not verdict and "<*>" not in template)
+                        out.append((sign(s), n, template if verdict or repeats else None, verdict, turned, repeats))
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*out)) or [()] * 6
