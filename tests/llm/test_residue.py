@@ -88,11 +88,21 @@ def test_a_leaf_of_many_templates_is_mined_fast():
 
 def test_every_signature_gets_its_template(spark):
     signs = [f"no route matches p{i % 7} q{i} ." for i in range(200)] + ["x", "<value> lorem ipsum"]
-    df = spark.createDataFrame([(s, False, False, 0) for s in signs for _ in range(1 + len(s) % 3)], "signature string, slot boolean, plain boolean, context int").repartition(5)
+    df = spark.createDataFrame([(s, False, False, True, 0) for s in signs for _ in range(1 + len(s) % 3)], "signature string, slot boolean, plain boolean, mined boolean, context int").repartition(5)
     got = {bytes(r.sign): (r.n, r.verdict) for r in R.mine_templates(df).collect()}
     assert got == {R.sign(s): (1 + len(s) % 3, "error" if s.startswith("no") else "filler") for s in signs if s != "x"}
 
 
+def test_what_is_not_mined_could_not_be_residue(data):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{data}/wiki_page.parquet").to_pydict()
+    said = {R.signature(k, m)[0] for f in ("infobox", "body") for x in t[f] if x for k, m in R.messages(f, x)}
+    said |= {R.signature(None, m)[0] for m in ("Página no encontrada", "Activez le JavaScript", "xxxx xxxx", "Duis aute irure dolor", "Visitors must enable scripts to", "java.lang.NullPointerException", "503 Service Unavailable")}
+    missed = [s for s in said if (R.classify(s) or R._filler(s)) and not R._may_be_residue(s, False)]
+    assert missed == [] and sum(R._may_be_residue(s, False) for s in said) < 0.6 * len(said)
+
+
 CONTENT = [
     "Terror attacks in the city killed nine people.", "Error correction is a technique.", "Forbidden City is a palace complex.", "Not found until 1987, the wreck lies at 90 metres.",
     "Unauthorized copies of the novel circulated.", "Something went wrong during the launch of the rocket.", "This section covers the early Semitic scripts.", "This table lists the scripts of South Asia.",

@@ -1,7 +1,8 @@
 """Problem 1: unfilled placeholders, filler, error-page messages and demands for scripts in place of content.
 
 1. Fields are cut into messages: sentences and lines of a body, values of an infobox. Numbers, hexadecimal ids, paths,
-   hosts, exceptions and names are masked, which gives a signature. Equal signatures are counted before they are exchanged.
+   hosts, exceptions and names are masked, which gives a signature. Equal signatures are counted before they are exchanged;
+   what names something of its page and begins like no seed is content and goes no further.
 2. Message templates are mined with a prefix tree of fixed depth (number of tokens, first three, last token): within a
    leaf, signatures that agree in most places join one template and their differing places become wildcards.
 3. Each template is classified once. A short seed list knows how error pages, demands for scripts and filler begin
@@ -252,18 +253,19 @@ def sign(signature_: str) -> bytes:
     return xxhash.xxh3_128_digest(signature_)
 
 
-UNITS = "page_row bigint, field string, sign binary, signature string, n_tokens int, slot boolean, plain boolean, context int"
+UNITS = "page_row bigint, field string, sign binary, signature string, n_tokens int, slot boolean, plain boolean, mined boolean, context int"
 
 
 def cut(pages: DataFrame) -> DataFrame:
-    """Every message with its signature; ``plain`` if it says nothing of the page; ``context``, one of 64 classes."""
+    """Every message with its signature; ``plain`` if it says nothing of the page; ``mined`` if it may be residue by its
+    words or spread; ``context``, one of 64 classes."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512).to_pydict()
-                ids, fields, signs, signatures, sizes, slots, plains, contexts = ([] for _ in range(8))
-                known: dict[str, tuple[bytes, bool, bool]] = {}
+                ids, fields, signs, signatures, sizes, slots, plains, mined, contexts = ([] for _ in range(9))
+                known: dict[str, tuple[bytes, bool, bool, bool]] = {}
                 for field in ("infobox", "body"):
                     for page, title, text in zip(part["page_row"], part["title"], part[field]):
                         said = [signature(k, m) for k, m in messages(field, text)] if text else []
@@ -272,10 +274,12 @@ def cut(pages: DataFrame) -> DataFrame:
                         n, some, lengths = len(said), *zip(*said)
                         for s in some:
                             if s not in known:
-                                known[s] = (sign(s), "<slot>" in s or "<key>" in s, _says_nothing_of_the_page(s, False))
-                        short, slot, plain = zip(*map(known.__getitem__, some))
+                                free = _says_nothing_of_the_page(s, False)
+                                known[s] = (sign(s), "<slot>" in s or "<key>" in s, free, _may_be_residue(s, free))
+                        short, slot, plain, may = zip(*map(known.__getitem__, some))
                         if n == 1:
                             plain = (_says_nothing_of_the_page(some[0], True),)
+                            may = (_may_be_residue(some[0], plain[0]),)
                         ids += [page] * n
                         fields += [field] * n
                         signs += short
@@ -283,9 +287,10 @@ def cut(pages: DataFrame) -> DataFrame:
                         sizes += lengths
                         slots += slot
                         plains += plain
+                        mined += may
                         contexts += [xxhash.xxh64_intdigest((title or "") if all(plain) else text) & 63] * n
-                types = (pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.int32())
-                columns = (ids, fields, signs, signatures, sizes, slots, plains, contexts)
+                types = (pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int32())
+                columns = (ids, fields, signs, signatures, sizes, slots, plains, mined, contexts)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split(" ")[0] for x in UNITS.split(", ")])
 
     title = F.col("title").cast("string") if "title" in pages.columns else F.lit(None).cast("string").alias("title")
@@ -348,7 +353,7 @@ def mine_templates(units: DataFrame, seeds: bool = True) -> DataFrame:
     (``turned`` is not null). Leaves are mined one after the other as they come sorted. Without ``seeds`` only the spread
     of templates decides, which measures how unseen wordings fare."""
     context = F.when(F.col("plain"), F.expr("shiftleft(1L, context)")).otherwise(F.lit(0).cast("bigint"))
-    signs = units.where("not slot").groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.bit_or(context).alias("contexts"))
+    signs = units.where("mined and not slot").groupBy("signature").agg(F.count(F.lit(1)).alias("n"), F.bit_or(context).alias("contexts"))
     t = F.split("signature", " ")
     leaf = F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, 3), " "), F.element_at(t, -1))
     spread = F.bit_count("contexts") >= F.lit(SPREAD)
@@ -429,7 +434,7 @@ ERROR = [
     r"(incident|trace|error id|request id|ref|request) (<hex>|<num>)",
     rf"we (could not|can ' t|cannot) (display|load|find) (the|this|that) {_THING}",
     rf"the (remaining|rest of the) {_THING} (failed|could not)",
-    r"service momentan|veuillez r.essayer|page (introuvable|non trouvée)|seite nicht gefunden|die angeforderte (adresse|seite)|p.gina no encontrada|vuelva al inicio",
+    r"service momentan|veuillez r.essayer|page (introuvable|non trouvée)|seite nicht gefunden|die angeforderte (adresse|seite)|p[aá]gina no encontrada|vuelva al inicio",
 ]
 SCRIPT = [
     rf"(please )?(enable|activate|turn on|switch on|allow) ({_SCRIPTS}|them to)",
@@ -491,6 +496,26 @@ def _filler(s: str) -> bool:
     return len(words) >= 3 and sum(w in LEXICON for w in words) >= FILLER_SHARE * len(words)
 
 
+#: The words with which the seeds begin, and those that stand in the only one that doesn't tell its beginning.
+_STARTS = frozenset(re.findall(r"\S+", _PHRASES.replace("|", "\n").replace("\\", ""))) | frozenset(
+    """http error status <num> oops whoops sorry page access request not gateway site map panel app section table gallery video content box list article text
+    image summary service server connection something an unable failed template script lua database parse syntax fatal warning notice deprecated traceback
+    at file { <exception> the it you your no our reload go we under down please try return incident trace ref veuillez seite die página pagina vuelva enable
+    activate turn switch allow javascript java scripts scripting cookies this checking loading to without bitte lorem label data sample dummy body click replace
+    do todo tbd fixme tba draft heading xxx test value enter insert ( [ add edit placeholder blah undefined null nan n.a.n # #n/a #ref""".split()
+)
+_DEMANDED = frozenset("javascript java script scripts scripting cookies".split())
+
+
+def _may_be_residue(s: str, plain: bool) -> bool:
+    """False for what no seed can match and no spread can make residue, which is not mined."""
+    if plain or s.startswith("<repeat>"):
+        return True
+    tokens = s.split(" ")
+    first = tokens[1] if tokens[0] == "<value>" and len(tokens) > 1 else tokens[0]
+    return first in _STARTS or first[:5] == "activ" or not first.strip("x") or not _DEMANDED.isdisjoint(tokens) or not LEXICON.isdisjoint(tokens)
+
+
 def verdicts(units: DataFrame, seeds: bool = True) -> DataFrame:
     """(sign, n, template, verdict) of the signatures that are residue; one classification a template."""
     mined = materialized(mine_templates(units, seeds))

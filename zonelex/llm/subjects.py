@@ -1,22 +1,24 @@
 """Problem 2: subjects of pages from latent Dirichlet topics.
 
-1. Lower-cased words of the bodies are counted; words in too few or too many pages are left out, and the vocabulary
-   is bounded. Every page becomes a sparse row of counts.
+1. Every body becomes a sparse row of counts of its lower-case words. Words are hashed into ``BUCKETS`` buckets, so the
+   vocabulary needs no bound, no word is dropped, and what is sent out has a fixed size. Buckets in too few or too many
+   pages say nothing about subjects and are left out.
 2. A latent Dirichlet topic model is fitted to all pages by variational EM: the expectation step runs in the tasks on
-   blocks of pages and returns sums by (topic, word), which are added in the exchange; the driver holds only the
-   topics (``TOPICS`` x ``MAX_WORDS``). Topics start from the words of a bounded sample of labelled pages, so the fit
-   is reproducible; ``BACKGROUND`` topics take up words that belong to no subject.
+   blocks of pages and returns sums by (bucket, topic), which are added in the exchange; the driver holds only the topics
+   (``BUCKETS`` rows). Topics start from the words of a bounded sample of labelled pages, so the fit is
+   reproducible; ``BACKGROUND`` topics take up words that belong to no subject.
 3. Each topic is mapped to the subject to which its top terms belong most, by the labelled sample; a topic whose top
    terms favour none stays without.
-4. Topic proportions are inferred for each sentence of a page; a sentence speaks for its strongest subject. A page
-   has the subject of most of its sentences, and the second if its share reaches a threshold and it is more than
-   one sentence (a passing mention). The threshold is the one that fits the labelled sample best.
+4. A page's subjects come from its topic proportions: the subject with the largest share, and the second if its share
+   reaches a threshold. The threshold fits one half of the labelled sample best; the other half measures it. An
+   exact check follows for the second: its words stand in more than one sentence (one is a passing mention).
 5. Where the body is null the categories decide: each category phrase (names and numbers masked) has the subject that
    pages with bodies assign to it.
 
 Cases: null, empty and redirect bodies, and bodies that are residue as a whole, have no subject (a null body has its
 categories'); labels with an unknown subject or row are ignored; ties go to the subject first in byte order; without
-usable labels there is no row; repeated rows each count; extra columns are ignored.
+usable labels there is no row; more than ``MAX_SUBJECTS`` subjects are refused; repeated rows each count; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,51 +38,91 @@ from ..operators.joins import join_back
 from ..session import materialized, table
 from .residue import whole_bodies
 
-MAX_WORDS = 8_000
+BUCKETS = 1 << 18
 MIN_PAGES = 3
 MAX_SHARE = 0.6
+MAX_SUBJECTS = 1_000
 BACKGROUND = 4
-SWEEPS = 4
-INNER = 12
+SWEEPS = 2
+INNER = 5
+INNER_AT_END = 12
 ALPHA = 0.1
 ETA = 0.02
 TOP_TERMS = 30
 MAX_LABELLED = 2_000
 AT_ONCE = 512
 
-_MARKUP = re.compile(r"<[^<>]{1,200}>|\{\{[^{}]*\}\}|\[https?://[^\s\]]+|https?://\S+|\]\([^)]*\)|\\[a-z]+|&\w+;")
+_MARKUP = re.compile(r"<[^<>]*>|\{\{[^{}]*\}\}|\[https?://[^\s\]]+|https?://\S+|\]\([^)]*\)|\\[a-z]+|&\w+;")
 _WORD = re.compile(r"(?<![A-Za-z])[a-z]{3,}(?![A-Z])")
-
-
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+COUNTS = "page_row bigint, n_words int, buckets array<int>, counts array<float>, sentences array<bigint>"
 
 
 def body_words(text: str | None) -> list[str]:
     """Words written in lower case, without markup."""
-    return _WORD.findall(_MARKUP.sub(" ", text)) if text else []
+    if not text or text[:9].lower() == "#redirect":
+        return []
+    return _WORD.findall(_unmarked(text))
+
+
+def _unmarked(text: str) -> str:
+    return _MARKUP.sub(" ", text) if any(c in text for c in "<{[]\\&:") else text
 
 
 def body_sentences(text: str | None) -> list[list[str]]:
-    return [w for w in (body_words(x) for x in _SENTENCE.split(text)) if w] if text else []
+    """The words of each sentence that has some."""
+    if not text or text[:9].lower() == "#redirect":
+        return []
+    return [w for w in map(_WORD.findall, _SENTENCE.split(_unmarked(text))) if w]
 
 
-def _tokens(pages: DataFrame) -> DataFrame:
-    """(page_row, sentences) of each row with a body that isn't a redirect."""
+class Hashed(dict):
+    """Memory of the bucket of a word."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [[] if (t or "")[:9].lower() == "#redirect" else body_sentences(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.list_(pa.string())))], ["page_row", "sentences"])
+    BOUND = 400_000
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > self.BOUND:
+            self.clear()
+        self[word] = out = xxhash.xxh32_intdigest(word) % BUCKETS
+        return out
 
-    return pages.where("body is not null").select(F.col("page_row").cast("bigint").alias("page_row"), "body").mapInArrow(cut, "page_row bigint, sentences array<array<string>>")
 
+_HASHED = Hashed()
 
-def vocabulary(words: DataFrame) -> list[str]:
-    """The most frequent words by pages, within the bounds; in byte order of equal counts."""
-    n = words.count()
-    per = words.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    few = per.where((F.col("df") >= MIN_PAGES) & (F.col("df") <= max(MIN_PAGES, MAX_SHARE * n))).orderBy(F.desc("df"), "w").limit(MAX_WORDS)
-    return [r[0] for r in few.collect()]
+
+def _counts(pages: DataFrame) -> DataFrame:
+    """(page_row, n_words, buckets, counts, sentences) of each row with a body that isn't a redirect. Bit k of an entry's
+    sentences stands for the k-th sentence, modulo 63."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, AT_ONCE):
+                part = b.slice(a, AT_ONCE)
+                pages_ = [body_sentences(t) for t in part.column(1).to_pylist()]
+                words = [w for p in pages_ for s in p for w in s]
+                lengths = np.array([len(s) for p in pages_ for s in p], np.int64)
+                sizes = np.array([sum(map(len, p)) for p in pages_], np.int64)
+                sentence = np.concatenate([np.arange(len(p)) % 63 for p in pages_]) if pages_ else np.zeros(0, np.int64)
+                key = np.repeat(np.arange(len(pages_), dtype=np.int64), sizes) * BUCKETS
+                key += np.fromiter(map(_HASHED.__getitem__, words), np.int64, len(words))
+                bit = np.int64(1) << np.repeat(sentence, lengths).astype(np.int64)
+                order = np.argsort(key, kind="stable")
+                key, first, count = np.unique(key[order], return_index=True, return_counts=True)
+                bits = np.bitwise_or.reduceat(bit[order], first) if len(first) else bit
+                ends = pa.array(np.searchsorted(key, np.arange(len(pages_) + 1, dtype=np.int64) * BUCKETS).astype(np.int32))
+                columns = (pa.array((key % BUCKETS).astype(np.int32)), pa.array(count.astype(np.float32)), pa.array(bits))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int32)), *(pa.ListArray.from_arrays(ends, c) for c in columns)], [x.split(" ")[0] for x in COUNTS.split(", ")])
+
+    return pages.where("body is not null").select(F.col("page_row").cast("bigint").alias("page_row"), "body").mapInArrow(cut, COUNTS)
+
+
+def _entries(buckets: pa.ListArray, counts: pa.ListArray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, bucket and count of the entries in buckets that are kept."""
+    n = np.diff(buckets.offsets.to_numpy())
+    doc, word, count = np.repeat(np.arange(len(n)), n), buckets.flatten().to_numpy(), counts.flatten().to_numpy()
+    good = keep[word]
+    return doc[good], word[good], count[good]
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -91,110 +134,113 @@ def _digamma(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _rows(batch: list[list[str]], at: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, word and count of every non-zero entry."""
-    doc, word, count = [], [], []
-    for i, words in enumerate(batch):
-        seen: dict[int, int] = {}
-        for w in words:
-            k = at.get(w)
-            if k is not None:
-                seen[k] = seen.get(k, 0) + 1
-        doc += [i] * len(seen)
-        word += seen
-        count += seen.values()
-    return np.array(doc, np.int64), np.array(word, np.int64), np.array(count, float)
-
-
-def infer(beta: np.ndarray, doc: np.ndarray, word: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Variational proportions (documents x topics, unnormalized) and the expected counts of the entries."""
-    k = beta.shape[0]
-    gamma = np.full((n, k), ALPHA) + np.bincount(doc, weights=count, minlength=n)[:, None] / k
-    b = beta[:, word].T
+def infer(beta: np.ndarray, doc: np.ndarray, word: np.ndarray, count: np.ndarray, n: int, inner: int = INNER_AT_END) -> tuple[np.ndarray, np.ndarray]:
+    """Variational proportions (documents x topics, unnormalized) and the expected counts of the entries. ``beta`` has a
+    row a bucket."""
+    k = beta.shape[1]
+    total = np.bincount(doc, weights=count, minlength=n)
+    gamma = np.full((n, k), ALPHA) + total[:, None] / k
+    b = beta[word]
     start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    phi = np.zeros((0, k))
-    for _ in range(INNER):
-        theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(1))[:, None])
-        phi = theta[doc] * b
-        phi *= (count / np.maximum(phi.sum(1), 1e-300))[:, None]
+    phi = np.zeros((0, k), beta.dtype)
+    for _ in range(inner):
+        theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(1))[:, None]).astype(beta.dtype)
+        phi = theta[doc]
+        phi *= b
+        phi *= (count / np.maximum(phi.sum(1), np.finfo(beta.dtype).tiny))[:, None]
         gamma = np.full((n, k), ALPHA)
         if len(start):
             gamma[doc[start]] += np.add.reduceat(phi, start, axis=0)
     return gamma, phi
 
 
-def fit(words: DataFrame, vocabulary_: list[str], start: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
-    """Topics x words after ``sweeps`` passes over all pages."""
-    spark, beta = words.sparkSession, start
-    k, v = beta.shape
-    at = {w: i for i, w in enumerate(vocabulary_)}
+def _sums(word: np.ndarray, phi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that occur and the sums of their expected counts."""
+    order = np.argsort(word, kind="stable")
+    word = word[order]
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, np.int64)
+    return word[first], np.add.reduceat(phi[order].astype(np.float64), first, axis=0) if len(first) else np.zeros((0, phi.shape[1]))
+
+
+def _topics(word: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
+    beta = np.full((BUCKETS, k), ETA)
+    beta[word] += np.round(sums, 6)
+    return (beta / beta.sum(0)).astype(np.float32)
+
+
+def kept_buckets(counts: DataFrame) -> np.ndarray:
+    """Which buckets stand in neither too few nor too many pages."""
+    n = counts.count()
+    per = counts.select(F.explode("buckets").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    good = per.where((F.col("df") >= MIN_PAGES) & (F.col("df") <= max(MIN_PAGES, MAX_SHARE * n))).select("w").toPandas()
+    keep = np.zeros(BUCKETS, bool)
+    keep[good["w"].to_numpy(np.int64)] = True
+    return keep
+
+
+def fit(counts: DataFrame, keep: np.ndarray, beta: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
+    """Buckets x topics after ``sweeps`` passes over all pages."""
+    k = beta.shape[1]
     for _ in range(sweeps):
-        sent = spark.sparkContext.broadcast((beta, at))
+        sent = counts.sparkSession.sparkContext.broadcast((beta, keep))
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            b, index = sent.value
-            total = np.zeros_like(b)
+            b, kept = sent.value
+            total = np.zeros(b.shape)
             for batch in batches:
                 for a in range(0, batch.num_rows, AT_ONCE):
-                    docs = batch.column(0).slice(a, AT_ONCE).to_pylist()
-                    doc, word, count = _rows(docs, index)
+                    part = batch.slice(a, AT_ONCE)
+                    doc, word, count = _entries(part.column(0), part.column(1), kept)
                     if len(doc):
-                        _, phi = infer(b, doc, word, count, len(docs))
-                        for t in range(b.shape[0]):
-                            total[t] += np.bincount(word, weights=phi[:, t], minlength=b.shape[1])
-            used = np.flatnonzero(total.sum(0))
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(np.round(total[:, used].T, 9)), pa.list_(pa.float64()))], ["w", "s"])
-
-        sums = words.select("words").mapInArrow(expect, "w bigint, s array<double>")
-        per = sums.groupBy("w").agg(*[F.sum(F.col("s")[t]).alias(f"t{t}") for t in range(k)])
-        got = per.toPandas().sort_values("w")
+                        at, sums = _sums(word, infer(b, doc, word, count, part.num_rows, INNER)[1])
+                        total[at] += sums
+            used = np.flatnonzero(total.sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(np.round(total[used, t], 9)) for t in range(b.shape[1]))], ["w", *(f"t{t}" for t in range(b.shape[1]))])
+
+        sums = counts.select("buckets", "counts").mapInArrow(expect, "w bigint, " + ", ".join(f"t{t} double" for t in range(k)))
+        got = sums.groupBy("w").agg(*[F.sum(f"t{t}").alias(f"t{t}") for t in range(k)]).toPandas().sort_values("w")
         sent.unpersist()
-        beta = np.full((k, v), ETA)
-        if len(got):
-            beta[:, got["w"].to_numpy()] += np.round(got[[f"t{t}" for t in range(k)]].to_numpy().T, 6)
-        beta /= beta.sum(1, keepdims=True)
+        beta = _topics(got["w"].to_numpy(np.int64), got[[f"t{t}" for t in range(k)]].to_numpy(), k)
     return beta
 
 
 @dataclass
 class Subjects:
     names: list[str]
-    vocabulary: list[str]
+    keep: np.ndarray
     beta: np.ndarray
     topic_subject: np.ndarray  # index of the subject, -1 for none
     threshold: float
 
-    def votes(self, pages: list[list[list[str]]], at: dict[str, int] | None = None) -> np.ndarray:
-        """Sentences of each page by the subject they speak for; the proportions themselves break ties."""
-        at = at or {w: i for i, w in enumerate(self.vocabulary)}
-        sentences = [s for p in pages for s in p]
-        page = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
-        out = np.zeros((len(pages), len(self.names)))
-        doc, word, count = _rows(sentences, at)
+    def masses(self, buckets: pa.ListArray, counts: pa.ListArray, sentences: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected words of each page by subject, and the number of sentences in which they stand."""
+        out = np.zeros((len(buckets), len(self.names)))
+        spread = np.zeros(out.shape, np.int64)
+        doc, word, count = _entries(buckets, counts, self.keep)
         if len(doc):
-            gamma, _ = infer(self.beta, doc, word, count, len(sentences))
-            mass = np.zeros((len(sentences), len(self.names)))
-            for t, s in enumerate(self.topic_subject):
-                if s >= 0:
-                    mass[:, s] += gamma[:, t] - ALPHA
-            best = mass.argmax(1)
-            speaks = mass.max(1) > 0.5
-            np.add.at(out, (page[speaks], best[speaks]), 1)
-            np.add.at(out, page, 1e-6 * np.minimum(mass, 10))
-        return out
-
-    def choose(self, votes: np.ndarray) -> list[list[int]]:
+            gamma, phi = infer(self.beta, doc, word, count, len(buckets))
+            bits = sentences.flatten().to_numpy()[self.keep[buckets.flatten().to_numpy()]]
+            start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            for s in range(len(self.names)):
+                topics = np.flatnonzero(self.topic_subject == s)
+                if len(topics):
+                    out[:, s] = (gamma[:, topics] - ALPHA).sum(1)
+                    own = np.where(phi[:, topics].sum(1) > 0.5 * count, bits, 0)
+                    spread[doc[start], s] = np.bitwise_count(np.bitwise_or.reduceat(own, start))
+        return out, spread
+
+    def choose(self, masses: np.ndarray, spread: np.ndarray) -> list[list[int]]:
+        """The subject of the largest share, and the second if its share reaches the threshold in more than one sentence."""
         out = []
-        for v in votes:
-            order = np.argsort(-np.round(v, 9), kind="stable")[:2]
-            total = np.floor(v + 1e-3).sum()
-            second = [int(x) for x in order[1:] if v[x] >= self.threshold * total and v[x] >= min(2, total - 1)]
-            out.append([int(order[0]), *second] if v[order[0]] >= 1 else [])
+        for v, n in zip(np.round(masses, 6), spread):
+            order = [int(x) for x in np.argsort(-v, kind="stable")[:2]]
+            second = [x for x in order[1:] if v[x] >= max(0.5, self.threshold * v.sum()) and n[x] > 1]
+            out.append([order[0], *second] if v[order[0]] >= 0.5 else [])
         return out
 
 
-def _labelled(pages: DataFrame, words: DataFrame, labels: DataFrame, names: list[str], bound: int) -> list[tuple[list[list[str]], list[int]]]:
-    """A bounded sample of labelled rows by a hash of the row: sentences and subjects."""
+def _labelled(counts: DataFrame, labels: DataFrame, names: list[str], bound: int) -> tuple[list[pa.ListArray], list[list[int]]]:
+    """A bounded sample of labelled rows by a hash of the row: buckets, counts and sentences, and subjects."""
     at = {n: i for i, n in enumerate(names)}
     few = (
         labels.where(F.col("subject").isin(*names) & F.col("page_row").isNotNull())
@@ -203,50 +249,72 @@ def _labelled(pages: DataFrame, words: DataFrame, labels: DataFrame, names: list
         .orderBy(F.xxhash64("page_row"), "page_row")
         .limit(bound)
     )
-    got = words.join(F.broadcast(few), "page_row").collect()
-    return [([list(x) for x in r["sentences"]], [at[s] for s in r["subjects"]]) for r in sorted(got, key=lambda r: r["page_row"])]
-
-
-def train(words: DataFrame, pages: DataFrame, labels: DataFrame, areas: DataFrame, bound: int = MAX_LABELLED) -> Subjects | None:
-    names = sorted({r[0] for r in areas.select("subject").where("subject is not null").distinct().limit(1001).collect()}, key=lambda s: s.encode())
-    vocab = vocabulary(words)
-    sample = _labelled(pages, words, labels, names, bound)
-    if not names or not vocab or not sample:
-        return None
-    at = {w: i for i, w in enumerate(vocab)}
-    counts = np.zeros((len(names), len(vocab)))
-    for sentences, subjects in sample:
-        for w in {w for ws in sentences for w in ws}:
-            if w in at:
-                counts[subjects, at[w]] += 1 / len(subjects)
-    total = counts.sum(0)
-    purity = (counts + 0.05) / (total + 0.05 * len(names))
+    got = counts.join(F.broadcast(few), "page_row").toPandas().sort_values("page_row")
+    kinds = {"buckets": pa.int32(), "counts": pa.float32(), "sentences": pa.int64()}
+    return [pa.array(list(got[c]), pa.list_(t)) for c, t in kinds.items()], [[at[s] for s in x] for x in got["subjects"]]
+
+
+def start_topics(buckets: pa.ListArray, counts: pa.ListArray, of: list[list[int]], keep: np.ndarray, n_names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The topics from which the fit starts, and how often and how purely each bucket stands for a subject."""
+    doc, word, _ = _entries(buckets, counts, keep)
+    share = np.zeros((len(of), n_names))
+    for i, some in enumerate(of):
+        share[i, some] = 1 / len(some)
+    said = np.zeros((BUCKETS, n_names))
+    np.add.at(said, word, share[doc])
+    total = said.sum(1)
+    purity = (said + 0.05) / (total + 0.05 * n_names)[:, None]
     # a subject's start: its words, by how much they belong to it; the background's: words of every subject
-    start = np.maximum(total, 0.1) * np.maximum(purity - 1.5 / len(names), 0) ** 2 + 1e-4
-    rng = np.random.default_rng(7)
-    spread = -(purity * np.log(purity)).sum(0) / np.log(max(2, len(names)))
-    background = np.maximum(total, 0.1) * spread**4 * rng.uniform(0.5, 1.5, (BACKGROUND, len(vocab)))
-    beta = np.vstack([start, background])
-    beta = fit(words, vocab, beta / beta.sum(1, keepdims=True))
-    # topics are mapped by their top terms
-    topic = np.full(len(beta), -1)
-    for t in range(len(beta)):
-        lift = beta[t] * np.log(np.maximum(beta[t] / beta.mean(0), 1e-9))
+    start = np.maximum(total, 0.1)[:, None] * np.maximum(purity - 1.5 / n_names, 0) ** 2 + 1e-4
+    spread = -(purity * np.log(purity)).sum(1) / np.log(max(2, n_names))
+    background = (np.maximum(total, 0.1) * spread**4)[:, None] * np.random.default_rng(7).uniform(0.5, 1.5, (BUCKETS, BACKGROUND))
+    beta = np.hstack([start, background]) * keep[:, None] + 1e-9
+    return (beta / beta.sum(0)).astype(np.float32), total, purity
+
+
+def map_topics(beta: np.ndarray, total: np.ndarray, purity: np.ndarray) -> np.ndarray:
+    """The subject of each topic by its top terms, -1 where they favour none."""
+    topic = np.full(beta.shape[1], -1)
+    mean = beta.mean(1)
+    for t in range(beta.shape[1]):
+        lift = beta[:, t].astype(float) * np.log(np.maximum(beta[:, t] / mean, 1e-9))
         top = np.argsort(-np.round(lift, 12), kind="stable")[:TOP_TERMS]
-        score = (beta[t, top] * (total[top] > 0) * purity[:, top]).sum(1) / max(1e-12, (beta[t, top] * (total[top] > 0)).sum())
+        weight = beta[top, t] * (total[top] > 0)
+        score = (weight[:, None] * purity[top]).sum(0) / max(1e-12, weight.sum())
         if score.max() >= 0.4:
             topic[t] = int(np.round(score, 9).argmax())
-    model = Subjects(names, vocab, beta, topic, 0.3)
-    votes = model.votes([w for w, _ in sample])
-    best = (-1.0, 0.3)
-    for x in np.round(np.arange(0.15, 0.45, 0.01), 2):
+    return topic
+
+
+def best_threshold(model: Subjects, masses: np.ndarray, spread: np.ndarray, of: list[list[int]]) -> float:
+    """The middle of the thresholds that suit most of the pages."""
+    best, runs = -1, [model.threshold]
+    for x in np.round(np.arange(0.05, 0.45, 0.01), 2):
         model.threshold = float(x)
-        right = sum(set(a) == set(b) for a, (_, b) in zip(model.choose(votes), sample))
-        if right > best[0]:
-            best, runs = (right, float(x)), [float(x)]
-        elif right == best[0]:
+        right = sum(set(a) == set(b) for a, b in zip(model.choose(masses, spread), of))
+        if right > best:
+            best, runs = right, [float(x)]
+        elif right == best:
             runs.append(float(x))
-    model.threshold = runs[len(runs) // 2]
+    return runs[len(runs) // 2]
+
+
+def train(counts: DataFrame, labels: DataFrame, areas: DataFrame, bound: int = MAX_LABELLED) -> Subjects | None:
+    some = areas.select("subject").where("subject is not null").distinct().limit(MAX_SUBJECTS + 1).collect()
+    if len(some) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
+    names = sorted((r[0] for r in some), key=lambda s: s.encode())
+    if not names:
+        return None
+    sample, of = _labelled(counts, labels, names, bound)
+    keep = kept_buckets(counts) if of else np.zeros(BUCKETS, bool)
+    if not keep.any():
+        return None
+    beta, total, purity = start_topics(*sample[:2], of, keep, len(names))
+    beta = fit(counts, keep, beta)
+    model = Subjects(names, keep, beta, map_topics(beta, total, purity), 0.25)
+    masses, spread = model.masses(*sample)
+    model.threshold = best_threshold(model, masses[::2], spread[::2], of[::2])
     return model
 
 
@@ -266,28 +334,26 @@ def _phrase_subjects(pages: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def subjects(pages: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     """(page_row, subject)."""
-    pages = pages.select(F.col("page_row").cast("bigint").alias("page_row"), "title", "body", "category", "infobox")
-    words = materialized(_tokens(pages)).withColumn("words", F.flatten("sentences"))
-    model = train(words, pages, labels, areas)
-    schema = "page_row bigint, subject string"
+    pages = pages.select(F.col("page_row").cast("bigint").alias("page_row"), "title", "body", "category")
+    counts = materialized(_counts(pages))
+    model = train(counts, labels, areas)
     if model is None:
-        return pages.sparkSession.createDataFrame([], schema)
+        return pages.sparkSession.createDataFrame([], "page_row bigint, subject string")
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        at = {w: i for i, w in enumerate(m.vocabulary)}
         for batch in batches:
             for a in range(0, batch.num_rows, AT_ONCE):
-                ids, docs = batch.column(0).slice(a, AT_ONCE).to_pylist(), batch.column(1).slice(a, AT_ONCE).to_pylist()
-                got = [(p, m.names[s]) for p, some in zip(ids, m.choose(m.votes(docs, at))) for s in some]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int64()), pa.array([s for _, s in got], pa.string())], ["page_row", "subject"])
+                part = batch.slice(a, AT_ONCE)
+                masses, spread = m.masses(*part.columns[2:])
+                got = [(p, m.names[x]) for p, some in zip(part.column(0).to_pylist(), m.choose(masses, spread)) for x in some]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int64()), pa.array([x for _, x in got], pa.string())], ["page_row", "subject"])
 
-    residue = whole_bodies(pages)
-    chosen = materialized(words.select("page_row", "sentences").mapInArrow(assign, schema).join(residue, "page_row", "left_anti"))
+    bodies = pages.withColumn("infobox", F.lit(None).cast("string"))
+    chosen = materialized(counts.mapInArrow(assign, "page_row bigint, subject string").join(whole_bodies(bodies), "page_row", "left_anti"))
     without = pages.where("body is null").select("page_row", "category")
-    said = join_back(_phrases(without), _phrase_subjects(pages, chosen), "phrase", "n", ["page_row"])
-    votes = said.groupBy("page_row", "subject").agg(F.count(F.lit(1)).alias("v"))
+    votes = join_back(_phrases(without), _phrase_subjects(pages, chosen), "phrase", "n", ["page_row"]).groupBy("page_row", "subject").agg(F.count(F.lit(1)).alias("v"))
     best = W.partitionBy("page_row").orderBy(F.desc("v"), "subject")
     by_category = votes.withColumn("r", F.row_number().over(best)).where("r <= 2").select("page_row", "subject")
     return chosen.unionByName(by_category)
