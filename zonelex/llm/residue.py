@@ -256,9 +256,10 @@ def sign(signature_: str) -> bytes:
 UNITS = "page_row bigint, field string, sign binary, signature string, n_tokens int, slot boolean, plain boolean, mined boolean, context int"
 
 
-def cut(pages: DataFrame) -> DataFrame:
+def cut(pages: DataFrame, whole: bool = False) -> DataFrame:
     """Every message with its signature; ``plain`` if it says nothing of the page; ``mined`` if it may be residue by its
-    words or spread; ``context``, one of 64 classes."""
+    words or spread; ``context``, one of 64 classes. With ``whole`` only fields that may be residue as a whole are cut: those
+    with at least ``WHOLE`` of their tokens in messages with slots or to be mined."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,6 +281,8 @@ def cut(pages: DataFrame) -> DataFrame:
                         if n == 1:
                             plain = (_says_nothing_of_the_page(some[0], True),)
                             may = (_may_be_residue(some[0], plain[0]),)
+                        if whole and sum(x for x, a, b in zip(lengths, slot, may) if a or b) < WHOLE * sum(lengths):
+                            continue
                         ids += [page] * n
                         fields += [field] * n
                         signs += short
@@ -526,9 +529,9 @@ def verdicts(units: DataFrame, seeds: bool = True) -> DataFrame:
     return mined.where("verdict is not null").select("sign", "n", "template", "verdict").unionByName(spread)
 
 
-def judged(pages: DataFrame, seeds: bool = True) -> DataFrame:
+def judged(pages: DataFrame, seeds: bool = True, whole: bool = False) -> DataFrame:
     """(page_row, field, n_tokens, verdict) of every message; verdict null for content."""
-    units = materialized(cut(pages))
+    units = materialized(cut(pages, whole))
     bad = materialized(verdicts(units, seeds).select("sign", "n", "verdict"))
     columns = ["page_row", "field", "n_tokens", "sign", "slot"]
     if bad.count() <= BROADCAST_SIGNS:
@@ -545,7 +548,7 @@ def residue(pages: DataFrame, seeds: bool = True) -> DataFrame:
 
 def whole_bodies(pages: DataFrame) -> DataFrame:
     """page_row of the rows whose body is residue as a whole."""
-    said = judged(pages).where("field = 'body'").groupBy("page_row").agg(F.sum("n_tokens").alias("n"), F.sum(F.when(F.col("verdict").isNotNull(), F.col("n_tokens"))).alias("bad"))
+    said = judged(pages, whole=True).where("field = 'body'").groupBy("page_row").agg(F.sum("n_tokens").alias("n"), F.sum(F.when(F.col("verdict").isNotNull(), F.col("n_tokens"))).alias("bad"))
     return said.where(F.col("bad") >= F.col("n") * F.lit(WHOLE)).select("page_row")
 
 

@@ -5,7 +5,7 @@
    pages say nothing about subjects and are left out.
 2. A latent Dirichlet topic model is fitted to all pages by variational EM: the expectation step runs in the tasks on
    blocks of pages and returns sums by (bucket, topic), which are added in the exchange; the driver holds only the topics
-   (``BUCKETS`` rows). Topics start from the words of a bounded sample of labelled pages, so the fit is
+   (at most ``BUCKETS`` rows). Topics start from the words of a bounded sample of labelled pages, so the fit is
    reproducible; ``BACKGROUND`` topics take up words that belong to no subject.
 3. Each topic is mapped to the subject to which its top terms belong most, by the labelled sample; a topic whose top
    terms favour none stays without.
@@ -44,8 +44,8 @@ MAX_SHARE = 0.6
 MAX_SUBJECTS = 1_000
 BACKGROUND = 4
 SWEEPS = 2
-INNER = 5
-INNER_AT_END = 12
+INNER = 4
+INNER_AT_END = 10
 ALPHA = 0.1
 ETA = 0.02
 TOP_TERMS = 30
@@ -117,12 +117,13 @@ def _counts(pages: DataFrame) -> DataFrame:
     return pages.where("body is not null").select(F.col("page_row").cast("bigint").alias("page_row"), "body").mapInArrow(cut, COUNTS)
 
 
-def _entries(buckets: pa.ListArray, counts: pa.ListArray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, bucket and count of the entries in buckets that are kept."""
+def _entries(buckets: pa.ListArray, counts: pa.ListArray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, row of the topics and count of the entries in buckets that are kept, and which entries these are."""
     n = np.diff(buckets.offsets.to_numpy())
-    doc, word, count = np.repeat(np.arange(len(n)), n), buckets.flatten().to_numpy(), counts.flatten().to_numpy()
-    good = keep[word]
-    return doc[good], word[good], count[good]
+    doc, bucket = np.repeat(np.arange(len(n)), n), buckets.flatten().to_numpy()
+    at = np.minimum(np.searchsorted(kept, bucket), max(0, len(kept) - 1))
+    good = kept[at] == bucket if len(kept) else np.zeros(len(bucket), bool)
+    return doc[good], at[good], counts.flatten().to_numpy()[good], good
 
 
 def _digamma(x: np.ndarray) -> np.ndarray:
@@ -162,35 +163,33 @@ def _sums(word: np.ndarray, phi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word[first], np.add.reduceat(phi[order].astype(np.float64), first, axis=0) if len(first) else np.zeros((0, phi.shape[1]))
 
 
-def _topics(word: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
-    beta = np.full((BUCKETS, k), ETA)
+def _topics(word: np.ndarray, sums: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    beta = np.full(shape, ETA)
     beta[word] += np.round(sums, 6)
     return (beta / beta.sum(0)).astype(np.float32)
 
 
 def kept_buckets(counts: DataFrame) -> np.ndarray:
-    """Which buckets stand in neither too few nor too many pages."""
+    """The buckets that stand in neither too few nor too many pages, in order."""
     n = counts.count()
     per = counts.select(F.explode("buckets").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     good = per.where((F.col("df") >= MIN_PAGES) & (F.col("df") <= max(MIN_PAGES, MAX_SHARE * n))).select("w").toPandas()
-    keep = np.zeros(BUCKETS, bool)
-    keep[good["w"].to_numpy(np.int64)] = True
-    return keep
+    return np.sort(good["w"].to_numpy(np.int32))
 
 
-def fit(counts: DataFrame, keep: np.ndarray, beta: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
-    """Buckets x topics after ``sweeps`` passes over all pages."""
+def fit(counts: DataFrame, kept: np.ndarray, beta: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
+    """Kept buckets x topics after ``sweeps`` passes over all pages."""
     k = beta.shape[1]
     for _ in range(sweeps):
-        sent = counts.sparkSession.sparkContext.broadcast((beta, keep))
+        sent = counts.sparkSession.sparkContext.broadcast((beta, kept))
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            b, kept = sent.value
+            b, buckets = sent.value
             total = np.zeros(b.shape)
             for batch in batches:
                 for a in range(0, batch.num_rows, AT_ONCE):
                     part = batch.slice(a, AT_ONCE)
-                    doc, word, count = _entries(part.column(0), part.column(1), kept)
+                    doc, word, count, _ = _entries(part.column(0), part.column(1), buckets)
                     if len(doc):
                         at, sums = _sums(word, infer(b, doc, word, count, part.num_rows, INNER)[1])
                         total[at] += sums
@@ -200,14 +199,14 @@ def fit(counts: DataFrame, keep: np.ndarray, beta: np.ndarray, sweeps: int = SWE
         sums = counts.select("buckets", "counts").mapInArrow(expect, "w bigint, " + ", ".join(f"t{t} double" for t in range(k)))
         got = sums.groupBy("w").agg(*[F.sum(f"t{t}").alias(f"t{t}") for t in range(k)]).toPandas().sort_values("w")
         sent.unpersist()
-        beta = _topics(got["w"].to_numpy(np.int64), got[[f"t{t}" for t in range(k)]].to_numpy(), k)
+        beta = _topics(got["w"].to_numpy(np.int64), got[[f"t{t}" for t in range(k)]].to_numpy(), beta.shape)
     return beta
 
 
 @dataclass
 class Subjects:
     names: list[str]
-    keep: np.ndarray
+    kept: np.ndarray
     beta: np.ndarray
     topic_subject: np.ndarray  # index of the subject, -1 for none
     threshold: float
@@ -216,10 +215,10 @@ class Subjects:
         """Expected words of each page by subject, and the number of sentences in which they stand."""
         out = np.zeros((len(buckets), len(self.names)))
         spread = np.zeros(out.shape, np.int64)
-        doc, word, count = _entries(buckets, counts, self.keep)
+        doc, word, count, good = _entries(buckets, counts, self.kept)
         if len(doc):
             gamma, phi = infer(self.beta, doc, word, count, len(buckets))
-            bits = sentences.flatten().to_numpy()[self.keep[buckets.flatten().to_numpy()]]
+            bits = sentences.flatten().to_numpy()[good]
             start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
             for s in range(len(self.names)):
                 topics = np.flatnonzero(self.topic_subject == s)
@@ -254,21 +253,21 @@ def _labelled(counts: DataFrame, labels: DataFrame, names: list[str], bound: int
     return [pa.array(list(got[c]), pa.list_(t)) for c, t in kinds.items()], [[at[s] for s in x] for x in got["subjects"]]
 
 
-def start_topics(buckets: pa.ListArray, counts: pa.ListArray, of: list[list[int]], keep: np.ndarray, n_names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def start_topics(buckets: pa.ListArray, counts: pa.ListArray, of: list[list[int]], kept: np.ndarray, n_names: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The topics from which the fit starts, and how often and how purely each bucket stands for a subject."""
-    doc, word, _ = _entries(buckets, counts, keep)
+    doc, word, _, _ = _entries(buckets, counts, kept)
     share = np.zeros((len(of), n_names))
     for i, some in enumerate(of):
         share[i, some] = 1 / len(some)
-    said = np.zeros((BUCKETS, n_names))
+    said = np.zeros((len(kept), n_names))
     np.add.at(said, word, share[doc])
     total = said.sum(1)
     purity = (said + 0.05) / (total + 0.05 * n_names)[:, None]
     # a subject's start: its words, by how much they belong to it; the background's: words of every subject
     start = np.maximum(total, 0.1)[:, None] * np.maximum(purity - 1.5 / n_names, 0) ** 2 + 1e-4
     spread = -(purity * np.log(purity)).sum(1) / np.log(max(2, n_names))
-    background = (np.maximum(total, 0.1) * spread**4)[:, None] * np.random.default_rng(7).uniform(0.5, 1.5, (BUCKETS, BACKGROUND))
-    beta = np.hstack([start, background]) * keep[:, None] + 1e-9
+    background = (np.maximum(total, 0.1) * spread**4)[:, None] * np.random.default_rng(7).uniform(0.5, 1.5, (len(kept), BACKGROUND))
+    beta = np.hstack([start, background])
     return (beta / beta.sum(0)).astype(np.float32), total, purity
 
 
@@ -307,12 +306,12 @@ def train(counts: DataFrame, labels: DataFrame, areas: DataFrame, bound: int = M
     if not names:
         return None
     sample, of = _labelled(counts, labels, names, bound)
-    keep = kept_buckets(counts) if of else np.zeros(BUCKETS, bool)
-    if not keep.any():
+    kept = kept_buckets(counts) if of else np.zeros(0, np.int32)
+    if not len(kept):
         return None
-    beta, total, purity = start_topics(*sample[:2], of, keep, len(names))
-    beta = fit(counts, keep, beta)
-    model = Subjects(names, keep, beta, map_topics(beta, total, purity), 0.25)
+    beta, total, purity = start_topics(*sample[:2], of, kept, len(names))
+    beta = fit(counts, kept, beta)
+    model = Subjects(names, kept, beta, map_topics(beta, total, purity), 0.25)
     masses, spread = model.masses(*sample)
     model.threshold = best_threshold(model, masses[::2], spread[::2], of[::2])
     return model
