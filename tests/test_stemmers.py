@@ -2,24 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonelex.functions.stemmers import ALGORITHMS, BUILT, stem_with, stemmer
-
-#: Pairs worked out by the published rules.
-PAIRS = {
-    "english": "consign consign consigned consign consigning consign consignment consign consist consist consistency consist consistent consist consolation consol "
-    "consolatory consolatori knack knack knackeries knackeri knaves knave knavish knavish kneaded knead knell knell skies sky dying die generously generous "
-    "communism communism happy happi by by say say news news hopping hop hoping hope ties tie cries cri gas gas this this relational relat",
-    "swedish": "jaktkarl jaktkarl jaktkarlarne jaktkarl jakthorn jakthorn klockan klockan klockorna klock klokt klokt kloka klok",
-    "norwegian": "havnedistrikt havnedistrikt havnedistriktene havnedistrikt havneeffektiv havneeffektiv opning opning opningen opning",
-    "danish": "indtage indtag indtagelse indtag indtager indtag underste underst undersøgelse undersøg",
-    "german": "aufeinander aufeinand aufeinanderfolge aufeinanderfolg kategorie kategori kategorien kategori kater kat katers kat katze katz katzen katz kätzchen katzch häuser haus",
-    "spanish": "cheposo chepos chequea cheque chica chic chicharra chicharr torcer torc tórax torax chicago chicag rápidamente rapid naciones nacion cantábamos cant",
-    "italian": "abbandonata abbandon abbandonate abbandon abbandonati abbandon pronto pront propaga propag nazionale nazional rapidamente rapid",
-    "portuguese": "boa boa bola bol bombas bomb químicas químic quis quis nações naçõ rapidamente rapid",
-    "french": "continu continu continua continu continuait continu continuant continu continuation continu contradiction contradict contradictoirement contradictoir "
-    "majestueusement majestu majestueux majestu majorité major malades malad maladie malad maladies malad nationalité national évidemment évident",
-    "dutch": "lichaamsziek lichaamsziek lichamelijk licham lichamelijke licham opgingen opging opglimlachen opglimlach mogelijkheden mogelijk",
-    "russian": "в в вавиловка вавиловк вагнера вагнер важная важн важнее важн важнейшие важн важного важн важность важност вазы ваз",
-}
+from zonelex.plans.stemming import PAIRS
 
 
 @pytest.mark.parametrize("name", sorted(PAIRS))
@@ -42,3 +25,13 @@ def test_registry():
 def test_column(spark):
     df = spark.createDataFrame([("katzen",), (None,)], "t string")
     assert [r[0] for r in df.select(stem_with(F.col("t"), "german")).collect()] == ["katz", None]
+
+
+def test_every_stemmer_but_porter_has_pairs():
+    assert set(PAIRS) == set(BUILT) - {"porter"}
+
+
+@pytest.mark.parametrize("name", sorted(BUILT))
+def test_odd_words(name):
+    for word in ("", "a", "é", "ß", "aaaa", "x" * 3_000, "ab1", "-", "ी", "ss", "yy"):
+        assert isinstance(stemmer(name)(word), str)

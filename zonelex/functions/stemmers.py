@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from .porter import STEP_2 as PORTER_2
 from .porter import _finder, stem as porter
+from .stemmers_more import finnish, hindi, hungarian, indonesian, irish, nepali, romanian
 
 #: The algorithms with their language codes.
 ALGORITHMS = {
@@ -47,6 +48,7 @@ _EN_SPECIAL = {
     "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
 }
 _EN_KEPT = frozenset("inning outing canning herring earring proceed exceed succeed".split())
+#: Fixed values of the published rules.
 _EN_2 = {k: v for k, v in PORTER_2.items() if k not in ("abli", "eli")} | {"abli": "able", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": ""}
 _EN_3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
 _EN_4 = tuple("al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split())
@@ -126,6 +128,7 @@ def _ending(word: str, suffixes: tuple[str, ...], region: int) -> str:
     return max((s for s in suffixes if word.endswith(s) and len(word) - len(s) >= region), key=len, default="")
 
 
+#: Fixed values of the published rules.
 _SV_1 = tuple("a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens erns at andet het ast s".split())
 
 
@@ -140,6 +143,7 @@ def swedish(word: str) -> str:
     return w[:-1] if s in ("löst", "fullt") else w[: len(w) - len(s)]
 
 
+#: Fixed values of the published rules.
 _NO_1 = tuple("a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast s erte ert".split())
 _NO_3 = tuple("leg eleg ig eig lig elig els lov elov slov hetslov".split())
 
@@ -161,6 +165,7 @@ def norwegian(word: str) -> str:
     return w[: len(w) - len(_ending(w, _NO_3, r1))]
 
 
+#: Fixed values of the published rules.
 _DA_1 = tuple("hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret s".split())
 
 
@@ -221,6 +226,7 @@ def german(word: str) -> str:
 
 # --- Russian ---------------------------------------------------------------------------------------------------------
 
+#: Fixed values of the published rules.
 _RU_GERUND = ("в вши вшись".split(), "ив ивши ившись ыв ывши ывшись".split())
 _RU_ADJECTIVE = "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею".split()
 _RU_PARTICIPLE = ("ем нн вш ющ щ".split(), "ивш ывш ующ".split())
@@ -338,6 +344,7 @@ def _standard(w: _Word, rules: _Standard) -> bool:
 
 
 _ES_V = "aeiouáéíóúü"
+#: Fixed values of the published rules.
 _ES_PRONOUN = "me se sela selo selas selos la le lo las les los nos".split()
 _ES_STANDARD: _Standard = [
     ("anza anzas ico ica icos icas ismo ismos able ables ible ibles ista istas oso osa osos osas amiento amientos imiento imientos", "r2", "", ()),
@@ -385,6 +392,7 @@ def _es_standard(w: _Word) -> bool:
 
 
 _IT_V = "aeiouàèìòù"
+#: Fixed values of the published rules.
 _IT_PRONOUN = """ci gli la le li lo mi ne si ti vi sene gliela gliele glieli glielo gliene mela mele meli melo mene tela tele teli telo tene cela cele celi celo cene
 vela vele veli velo vene""".split()
 _IT_STANDARD: _Standard = [
@@ -418,6 +426,7 @@ def italian(word: str) -> str:
 
 
 _PT_V = "aeiouáéíóúâêô"
+#: Fixed values of the published rules.
 _PT_STANDARD: _Standard = [
     ("eza ezas ico ica icos icas ismo ismos ável ível ista istas oso osa osos osas amento amentos imento imentos adora ador aça~o adoras adores aço~es ante antes ância", "r2", "", ()),
     ("logia logias", "r2", "log", ()), ("uça~o uço~es", "r2", "u", ()), ("ência ências", "r2", "ente", ()),
@@ -455,6 +464,7 @@ def portuguese(word: str) -> str:
 
 
 _FR_V = "aeiouyâàëéêèïîôûù"
+#: Fixed values of the published rules.
 _FR_VERB_I = """îmes ît îtes i ie ies ir ira irai iraIent irais irait iras irent irez iriez irions irons iront is issaIent issais issait issant issante issantes
 issants isse issent isses issez issiez issions issons it""".split()
 _FR_VERB_E = "é ée ées és èrent er era erai eraIent erais erait eras erez eriez erions erons eront ez iez".split()
@@ -647,6 +657,7 @@ def dutch(word: str) -> str:
 BUILT: dict[str, Callable[[str], str]] = {
     "porter": porter, "english": english, "swedish": swedish, "norwegian": norwegian, "danish": danish, "german": german, "russian": russian,
     "spanish": spanish, "italian": italian, "portuguese": portuguese, "dutch": dutch, "french": french,
+    "finnish": finnish, "hungarian": hungarian, "romanian": romanian, "indonesian": indonesian, "irish": irish, "hindi": hindi, "nepali": nepali,
 }
 
 

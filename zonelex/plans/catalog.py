@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import paging, searching, skewed
+from . import paging, searching, skewed, stemming
 
 FLAGSHIP = "search_batch"
-MODULES = (paging, searching, skewed)
+MODULES = (paging, searching, skewed, stemming)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-_SECOND = """ational ate|ization ize|iveness ive|fulness ful|ousness ous|tional tion|biliti ble|entli ent|ousli ous|ation ate|
-alism al|aliti al|iviti ive|enci ence|anci ance|abli able|izer ize|ator ate|alli al|eli e"""
-_THIRD = "alize al|icate ic|iciti ic|ative|ical ic|ness|ful"
-_FOURTH = "ement|ance|ence|able|ible|ment|ant|ent|ion|ism|ate|iti|ous|ive|ize|al|er|ic|ou"
+from ..functions.porter import STEP_2, STEP_3, STEP_4
 
 
-def _table(text: str) -> list[tuple[str, str]]:
-    return [tuple((x.strip() + " ").split(" ")[:2]) for x in text.replace("\n", "").split("|")]
+def _suffix(suffixes) -> str:
+    return "CASE " + " ".join(f"WHEN w LIKE '%{s}' THEN '{s}'" for s in sorted(suffixes, key=len, reverse=True)) + " ELSE '' END"
 
 
-def _suffix(table: list[tuple[str, str]]) -> str:
-    return "CASE " + " ".join(f"WHEN w LIKE '%{s}' THEN '{s}'" for s, _ in sorted(table, key=lambda x: -len(x[0]))) + " ELSE '' END"
-
-
-def _swap(table: list[tuple[str, str]]) -> str:
-    return "CASE s " + " ".join(f"WHEN '{s}' THEN '{r}'" for s, r in table) + " END"
+def _swap(table: dict[str, str]) -> str:
+    return "CASE s " + " ".join(f"WHEN '{s}' THEN '{r}'" for s, r in table.items()) + " END"
 
 
 def porter_cte(source: str, name: str = "stems") -> str:
     """CTEs ending in ``name(tok, stem)`` for a CTE or table ``source(tok)`` of distinct tokens."""
-    second, third, fourth = _table(_SECOND), _table(_THIRD), _table(_FOURTH)
     v, region = "[aeiouy]", "^[^aeiouy]*[aeiouy]+[^aeiouy]"
     short = "regexp_matches({}, '[^aeiouy][aeiouy][^aeiouywxY]$')"
     n = name
@@ -37,11 +29,11 @@ def porter_cte(source: str, name: str = "stems") -> str:
 {n}_g AS (SELECT tok, p1, p2, CASE WHEN c = 0 THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e'
   WHEN regexp_matches(w, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(w, length(w) - 1) WHEN length(w) = p1 AND {short.format("w")} THEN w || 'e' ELSE w END AS w FROM {n}_f),
 {n}_h AS (SELECT tok, p1, p2, CASE WHEN regexp_matches(w, '[yY]$') AND regexp_matches(left(w, length(w) - 1), '{v}') THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM {n}_g),
-{n}_i AS (SELECT *, {_suffix(second)} AS s FROM {n}_h),
-{n}_j AS (SELECT tok, p1, p2, CASE WHEN s <> '' AND length(w) - length(s) >= p1 THEN left(w, length(w) - length(s)) || {_swap(second)} ELSE w END AS w FROM {n}_i),
-{n}_k AS (SELECT *, {_suffix(third)} AS s FROM {n}_j),
-{n}_l AS (SELECT tok, p1, p2, CASE WHEN s <> '' AND length(w) - length(s) >= p1 THEN left(w, length(w) - length(s)) || {_swap(third)} ELSE w END AS w FROM {n}_k),
-{n}_m AS (SELECT *, {_suffix(fourth)} AS s FROM {n}_l),
+{n}_i AS (SELECT *, {_suffix(STEP_2)} AS s FROM {n}_h),
+{n}_j AS (SELECT tok, p1, p2, CASE WHEN s <> '' AND length(w) - length(s) >= p1 THEN left(w, length(w) - length(s)) || {_swap(STEP_2)} ELSE w END AS w FROM {n}_i),
+{n}_k AS (SELECT *, {_suffix(STEP_3)} AS s FROM {n}_j),
+{n}_l AS (SELECT tok, p1, p2, CASE WHEN s <> '' AND length(w) - length(s) >= p1 THEN left(w, length(w) - length(s)) || {_swap(STEP_3)} ELSE w END AS w FROM {n}_k),
+{n}_m AS (SELECT *, {_suffix(STEP_4)} AS s FROM {n}_l),
 {n}_n AS (SELECT tok, p1, p2, CASE WHEN s <> '' AND length(w) - length(s) >= p2 AND (s <> 'ion' OR regexp_matches(w, '[st]ion$')) THEN left(w, length(w) - length(s)) ELSE w END AS w FROM {n}_m),
 {n}_o AS (SELECT tok, p1, p2, CASE WHEN w LIKE '%e' AND (length(w) - 1 >= p2 OR (length(w) - 1 >= p1 AND NOT {short.format("left(w, length(w) - 1)")})) THEN left(w, length(w) - 1) ELSE w END AS w FROM {n}_n),
 {n}_p AS (SELECT tok, CASE WHEN w LIKE '%ll' AND length(w) - 1 >= p2 THEN left(w, length(w) - 1) ELSE w END AS w FROM {n}_o),
