@@ -13,13 +13,13 @@ import sys
 import time
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .functions.text import STOPWORDS
 from .operators import index as ix
 from .operators.search import result_lines, search
 from .operators.zones import infobox_failures
 from .schema import MIN_DF
+from .session import materialized, release
 from .sources import lists, pages, storage
 
 
@@ -30,11 +30,13 @@ def _session() -> SparkSession:
 def build(spark: SparkSession, out: str, dumps: list[str], stopwords: tuple[str, ...] = STOPWORDS, min_df: int = MIN_DF, skip_marker: bool = False) -> None:
     """Read dumps in list order, number the pages that stay, and write the index folder with its exports."""
     kept = ix.kept_pages(pages.read_xml(spark, dumps))
-    numbered = ix.with_dense_ids(kept, ["file_no", "id"])
+    numbered = ix.with_dense_ids(kept, pages.PLACE)
     index = ix.build_index(numbered.select("doc_id", "title", "text"), min_df, stopwords, skip_marker)
     storage.write_index(index, out)
     storage.write_titles(index.docs, f"{out}/titles.txt")
+    storage.write_stats(index.stats, f"{out}/stat.txt")
     storage.write_failures(infobox_failures(numbered.select("doc_id", "title", "text")), f"{out}/failures.txt")
+    release(spark)
 
 
 def answer(spark: SparkSession, index_path: str, query_file: str, out: str, compat_scan: bool = False) -> float:
@@ -43,8 +45,11 @@ def answer(spark: SparkSession, index_path: str, query_file: str, out: str, comp
     index = storage.read_index(spark, index_path)
     how = spark.read.parquet(f"{index_path}/milestones") if compat_scan else None
     found = search(lists.read_queries(spark, query_file), index.postings, index.docs, index.stats, index.zone_df, how)
-    storage.write_results(result_lines(found), out)
-    return time.perf_counter() - began
+    lines = materialized(result_lines(found))
+    took = time.perf_counter() - began
+    storage.write_results(lines, out, took)
+    release(spark)
+    return took
 
 
 def main(argv: list[str] | None = None) -> int:

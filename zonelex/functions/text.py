@@ -29,6 +29,7 @@ def ascii_lower(c: Column) -> Column:
 
 
 def is_valid_char(c: Column) -> Column:
+    """One character that can stand in a token, before lowering."""
     return c.rlike("^[A-Za-z0-9]$")
 
 

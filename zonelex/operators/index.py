@@ -128,7 +128,7 @@ def exact_splits(all_terms: DataFrame, min_df: int = MIN_DF) -> DataFrame:
     order = ["term"]
     placed = materialized(all_terms.select("term", "df").repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
 
-    def heads(key, df: pd.DataFrame) -> pd.DataFrame:
+    def heads(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         count = df.sort_values("_place")["df"].to_numpy(np.int64)
         n, upto = len(count), np.r_[0, np.cumsum(count)]
         after = np.minimum(np.arange(n + 1) + most_terms, np.searchsorted(upto, upto + most_postings))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import paging, searching, skewed, stemming
 
-FLAGSHIP = "search_batch"
+FLAGSHIP = "engine_search"
 MODULES = (paging, searching, skewed, stemming)
 
 

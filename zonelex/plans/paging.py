@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.porter import stem_column
-from ..functions.text import STOPWORDS, ascii_lower, keep_token, words
+from ..functions.text import STOPWORDS, ascii_lower, is_digit, is_valid_char, keep_token, words
 from ..operators import index as ix
+from ..operators.search import search
 from ..operators.zones import fragments, infobox_failures, page_terms
-from ..session import materialized, shared_folder, table
-from ..sources import lists, pages as page_source
+from ..session import materialized, table, temporary_path
+from ..sources import lists, pages as page_source, storage
 from .porter_sql import porter_cte
+from .ranking_sql import ranked_sql
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
@@ -45,8 +46,15 @@ def token_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stopword_extract(spark: SparkSession, d: str) -> DataFrame:
-    lines = spark.createDataFrame([(f"  {w}  | word {i}",) for i, w in enumerate(STOPWORDS)] + [("| comment only",), ("",)], "value string")
-    return lists.extract_stopwords(lines)
+    """The leading word of every line of the corpus, as from a commented list."""
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    return lists.extract_stopwords(lines).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def char_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Characters of the titles by class."""
+    c = table(spark, d, "doc_title").select(F.explode(F.split("title_raw", "")).alias("c")).where("c <> ''")
+    return c.groupBy("c").agg(F.count(F.lit(1)).alias("n")).select("c", "n", is_valid_char(F.col("c")).alias("valid"), is_digit(F.col("c")).alias("digit"))
 
 
 def porter_vocabulary(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +106,7 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def term_milestones(spark: SparkSession, d: str) -> DataFrame:
     terms = ix.term_df(materialized(_counted(spark, d))).where("df > 4")
-    return ix.milestones(ix.rank_splits(terms, per_split=500))
+    return ix.milestones(ix.rank_splits(terms))
 
 
 def exact_milestones(spark: SparkSession, d: str) -> DataFrame:
@@ -112,14 +120,14 @@ def batch_volume(spark: SparkSession, d: str) -> DataFrame:
 def xml_scan(spark: SparkSession, d: str) -> DataFrame:
     """Write the dump table as XML files and read the folder back."""
     dump = page_source.from_dump_table(table(spark, d, "dump_page"))
-    path = f"{shared_folder(spark).rstrip('/')}/xml-{uuid.uuid4().hex}"
+    path = temporary_path(spark, "xml")
     page_source.write_xml(dump.where("id is not null and text is not null"), path)
     return page_source.read_xml(spark, [path]).select("id", "title", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def bz2_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Titles through bzip2-compressed text."""
-    path = f"{shared_folder(spark).rstrip('/')}/bz2-{uuid.uuid4().hex}"
+    path = temporary_path(spark, "bz2")
     lists.write_text(table(spark, d, "doc_title").select("title"), path, compressed=True)
     return lists.text_volume(lists.read_text(spark, path))
 
@@ -130,8 +138,20 @@ def compare_indexes(spark: SparkSession, d: str) -> DataFrame:
     return ix.index_difference(ix.long_postings(counted), ix.long_postings(ix.frequent_postings(counted))).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
+def engine_search(spark: SparkSession, d: str) -> DataFrame:
+    """Pages are indexed, the index is written to a folder and read back, and the queries are answered from it."""
+    folder = temporary_path(spark, "index")
+    storage.write_index(ix.build_index(_numbered(spark, d).select("doc_id", "title", "text")), folder)
+    index = storage.read_index(spark, folder)
+    queries = table(spark, d, "search_query").select("query_id", "k", "query_text")
+    # words of the corpus, as the queries of the table ask for another collection
+    words_ = table(spark, d, "subject_area").select((1_000_000 + F.row_number().over(W.orderBy("subject"))).cast("bigint").alias("query_id"), F.lit(10).cast("bigint").alias("k"), F.concat("subject", F.lit(" i:"), "subject", F.lit(" "), "description").alias("query_text"))
+    return search(queries.unionByName(words_), index.postings, index.docs, index.stats, index.zone_df).withColumn("score", F.round("score", 6))
+
+
 QUERIES = {
-    "page_skip_filter": page_skip_filter, "doc_ids": doc_ids, "ascii_tokens": ascii_tokens, "token_filter": token_filter, "stopword_extract": stopword_extract,
+    "engine_search": engine_search,
+    "page_skip_filter": page_skip_filter, "doc_ids": doc_ids, "ascii_tokens": ascii_tokens, "token_filter": token_filter, "stopword_extract": stopword_extract, "char_classes": char_classes,
     "porter_vocabulary": porter_vocabulary, "zone_fragments": zone_fragments, "dump_zones": dump_zones, "infobox_failures": infobox_failure_log, "term_zone_freq": term_zone_freq,
     "postings_wide": postings_wide, "df_filter": df_filter, "zone_df": zone_df, "index_stats": index_stats, "milestones": term_milestones, "milestones_exact": exact_milestones,
     "batch_volume": batch_volume, "xml_scan": xml_scan, "bz2_roundtrip": bz2_roundtrip, "compare_indexes": compare_indexes,
@@ -153,15 +173,25 @@ _T = f"""{_Z}, t AS (SELECT doc_id, zone, unnest(regexp_extract_all(f, '[a-z0-9]
 kept AS (SELECT * FROM t WHERE {_KEEP}), voc AS (SELECT DISTINCT tok FROM kept), {porter_cte("voc")},
 a AS (SELECT s.stem AS term, kept.doc_id, kept.zone, CAST(count(*) AS INTEGER) AS tf FROM kept JOIN stems s ON s.tok = kept.tok GROUP BY ALL),
 d AS (SELECT term, count(DISTINCT doc_id) AS df FROM a GROUP BY term), m AS (SELECT a.* FROM a JOIN d ON d.term = a.term WHERE d.df > 4)"""
-_STOP_ROWS = ", ".join(f"('{w}')" for w in STOPWORDS)
+
+_SCORED = ranked_sql(
+    postings="l AS (SELECT term, doc_id, zone, tf FROM m)",
+    queries="""(SELECT query_id, k, query_text FROM search_query UNION ALL
+  SELECT 1000000 + row_number() OVER (ORDER BY subject), 10, subject || ' i:' || subject || ' ' || description FROM subject_area)""",
+    titles=f"(SELECT doc_id, translate('article ' || source || ' ' || lang, {_AZ}) AS title FROM k)",
+)
 
 ORACLE = {
+    "engine_search": f"""WITH {_T}, {_SCORED} SELECT * FROM res""",
     "page_skip_filter": f"SELECT page_row, title FROM (SELECT page_row, title, body AS text FROM wiki_page) WHERE {_SKIP}",
     "doc_ids": f"SELECT row_number() OVER (ORDER BY page_row) - 1 AS doc_id, page_row FROM (SELECT page_row, title, body AS text FROM wiki_page) WHERE {_SKIP}",
     "ascii_tokens": f"SELECT doc_id, CAST(len(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[a-z0-9]+')) AS BIGINT) AS n_tokens FROM documents",
     "token_filter": f"""WITH t AS (SELECT unnest(regexp_extract_all(translate(text, {_AZ}), '[a-z0-9]+')) AS tok FROM documents)
 SELECT tok, count(*) AS n FROM t WHERE {_KEEP} GROUP BY tok""",
-    "stopword_extract": f"SELECT * FROM (VALUES {_STOP_ROWS}) AS w(word)",
+    "stopword_extract": r"""WITH l AS (SELECT regexp_extract(unnest(string_split(text, chr(10))), '^\s*([\w'']+)', 1) AS word FROM documents)
+SELECT word, count(*) AS n FROM l WHERE word <> '' GROUP BY word""",
+    "char_classes": """WITH c AS (SELECT unnest(regexp_extract_all(title_raw, '(?s).')) AS c FROM doc_title)
+SELECT c, count(*) AS n, regexp_matches(c, '^[A-Za-z0-9]$') AS valid, regexp_matches(c, '^[0-9]$') AS digit FROM c GROUP BY c""",
     "porter_vocabulary": f"""WITH voc AS (SELECT DISTINCT unnest(regexp_extract_all(translate(text, {_AZ}), '[a-z0-9]+')) AS tok FROM documents), {porter_cte("voc")}
 SELECT tok, stem FROM stems""",
     "zone_fragments": f"WITH {_Z} SELECT doc_id, zone, CAST(len(regexp_extract_all(f, '[a-z0-9]+')) AS BIGINT) AS n_tokens FROM z",
@@ -174,8 +204,13 @@ SELECT tok, stem FROM stems""",
     "zone_df": f"WITH {_T} SELECT term, zone, count(*) AS df FROM m GROUP BY term, zone",
     "index_stats": f"""WITH {_T} SELECT (SELECT count(*) FROM k) AS total_docs, (SELECT CAST(sum(tf) AS BIGINT) FROM a) AS total_tokens,
   (SELECT count(DISTINCT term) FROM m) AS total_terms, (SELECT CAST(ceil(count(DISTINCT term) / 10000.0) AS BIGINT) FROM m) AS splits""",
-    "milestones": f"""WITH {_T}, r AS (SELECT term, (row_number() OVER (ORDER BY term) - 1) // 500 AS split FROM d WHERE df > 4)
+    "milestones": f"""WITH {_T}, r AS (SELECT term, (row_number() OVER (ORDER BY term) - 1) // 10000 AS split FROM d WHERE df > 4)
 SELECT split, min(term) AS first_term, count(*) AS n_terms FROM r GROUP BY split""",
+    "milestones_exact": f"""WITH RECURSIVE {_T}, o AS (SELECT term, df, row_number() OVER (ORDER BY term) AS i, CAST(sum(df) OVER (ORDER BY term) AS BIGINT) AS seen FROM d),
+s(a, seen) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL
+  SELECT e.i, e.seen FROM (SELECT s.a, min(o.i) AS i, min(o.seen) AS seen FROM s, o WHERE o.i > s.a AND (o.i - s.a >= 10000 OR o.seen - s.seen >= 1000000) GROUP BY s.a) e),
+b AS (SELECT o.term, max(s.a) AS a FROM o, s WHERE s.a < o.i AND o.df > 4 GROUP BY o.term)
+SELECT dense_rank() OVER (ORDER BY a) - 1 AS split, min(term) AS first_term, count(*) AS n_terms FROM b GROUP BY a""",
     "batch_volume": f"""WITH {_Z} SELECT count(*) AS n_pages, CAST(sum(length('{{{{Infobox doc | lang={{{{l|' || lang || '}}}} | source=' || source || ' }}}}' || text || ' == References == ' || source
   || ' cited work  == External links == link ' || lang || '[[Category:' || lang || ' texts]]')) AS BIGINT) AS n_chars FROM k""",
     "xml_scan": "SELECT DISTINCT id, title, length(revision.text) AS n_chars FROM dump_page WHERE id IS NOT NULL AND revision.text IS NOT NULL",

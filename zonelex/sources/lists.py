@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.index import with_dense_ids
+
 
 def read_stopwords(spark: SparkSession, path: str) -> tuple[str, ...]:
     """Words of a list whose first line is their number (1 to 1000)."""
@@ -30,9 +32,11 @@ def parse_query_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, k, query_text) of a query file, numbered by line."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("query_id", "value"))
-    return parse_query_lines(text).select("query_id", "k", "query_text")
+    """(query_id, k, query_text) of a query file, numbered by line. The file is read in splits; a line's number comes from
+    its split's place in the file and its place in the split."""
+    place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_seq")]
+    lines = with_dense_ids(spark.read.text(path).select("value", *place), ["_path", "_start", "_seq"], "query_id")
+    return parse_query_lines(lines).select("query_id", "k", "query_text")
 
 
 def write_text(rows: DataFrame, path: str, compressed: bool = False) -> None:

@@ -8,17 +8,28 @@ from pyspark.sql import functions as F
 from ..schema import PAGE
 
 
+#: The columns that tell where a page stands: its file's place in the list, its split, its place in the split.
+PLACE = ["file_no", "block", "seq"]
+
+
 def read_xml(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_no, id, title, text) of dump files or folders; ``file_no`` is the path's place in the list. Site information
-    is skipped by the row tag; attributes of elements are ignored; ``.bz2`` files are read as they are."""
-    reader = spark.read.format("xml").option("rowTag", "page").option("mode", "FAILFAST").option("ignoreSurroundingSpaces", "false").schema(PAGE)
-    rows = None
-    for i, path in enumerate(paths):
-        one = reader.load(path).select(F.lit(i).alias("file_no"), "id", "title", F.col("revision.text").alias("text"))
-        rows = one if rows is None else rows.unionByName(one)
-    if rows is None:
+    """(file_no, block, seq, id, title, text) of dump files or folders, read in one scan; ``file_no`` is the path's place in
+    the list. Site information is skipped by the row tag; attributes of elements are ignored; ``.bz2`` files are read as
+    they are."""
+    if not paths:
         raise ValueError("no dump file")
-    return rows
+    reader = spark.read.format("xml").option("rowTag", "page").option("mode", "FAILFAST").option("ignoreSurroundingSpaces", "false").schema(PAGE)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    full = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        full.append(p.getFileSystem(conf).makeQualified(p).toUri().getPath().rstrip("/"))
+    here = F.expr("parse_url(_metadata.file_path, 'PATH')")
+    number = F.lit(None).cast("int")
+    for i, path in sorted(enumerate(full), key=lambda x: len(x[1])):
+        number = F.when((here == path) | here.startswith(f"{path}/"), F.lit(i)).otherwise(number)
+    place = [number.alias("file_no"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq")]
+    return reader.load(paths).select(*place, "id", "title", F.col("revision.text").alias("text"))
 
 
 def from_dump_table(dump: DataFrame) -> DataFrame:

@@ -35,6 +35,16 @@ def write_failures(failures: DataFrame, path: str) -> None:
     failures.select(F.concat(F.lit("!"), "title")).write.mode("overwrite").text(path)
 
 
-def write_results(lines: DataFrame, path: str) -> None:
-    """Result lines in query and rank order."""
+def write_stats(stats: DataFrame, path: str) -> None:
+    """The figures of the index as one line of text: documents, tokens, terms, splits."""
+    stats.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("total_docs", "total_tokens", "total_terms", "splits")])).write.mode("overwrite").text(path)
+
+
+def write_results(lines: DataFrame, path: str, seconds: float | None = None) -> None:
+    """Result lines in query and rank order; with ``seconds``, each query is followed by the seconds of its batch (its
+    queries are answered together) and a blank line."""
+    if seconds is not None:
+        last = lines.select("query_id").distinct()
+        ends = F.explode(F.array(F.struct(F.lit(2**31 - 2).alias("rank"), F.lit(f"{seconds:.6f}").alias("line")), F.struct(F.lit(2**31 - 1).alias("rank"), F.lit("").alias("line"))))
+        lines = lines.select("query_id", "rank", "line").unionByName(last.select("query_id", ends.alias("e")).select("query_id", "e.*"))
     lines.repartitionByRange("query_id").sortWithinPartitions("query_id", "rank").select("line").write.mode("overwrite").text(path)
