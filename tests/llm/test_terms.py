@@ -47,11 +47,32 @@ def test_bitmaps_equal_brute_force(spark):
             records[t].add(r)
     assert got == {t: (uses[t], len(records[t])) for t in uses}
     assert frequency.cardinality(df, "rec").first()[0] == len({r for _, r in rows if r is not None})
-    back = set()
-    for c in frequency.containers(layout).where("term = 'hot'").collect():
-        assert len(c.words) <= frequency.CONTAINER_WORDS
-        back |= {w.word_no * 64 + b for w in c.words for b in range(64) if w.bits >> b & 1}
-    assert back == records["hot"]
+    back = defaultdict(set)
+    for c in layout.collect():
+        places = frequency.unpack(c.form, bytes(c.data))
+        assert c.n_records == len(places) and list(places) == sorted(set(places.tolist()))
+        back[c.term] |= {(c.container << 16) + int(x) for x in places}
+    assert back == records
+    assert layout.count() == len({(t, r >> 16) for t in records for r in records[t]})
+
+
+@pytest.mark.parametrize("form, places", [(0, [3]), (0, [1, 5, 9, 65535]), (2, list(range(100, 9_000))), (1, list(range(0, 65_536, 3))), (2, list(range(65_536))), (2, list(range(10)) + [40, 41, 42, 43, 44, 45, 46])])
+def test_forms_of_a_container(form, places):
+    import numpy as np
+
+    got, data = frequency.pack(np.array(places, np.uint16))
+    assert got == form and frequency.unpack(got, data).tolist() == places and len(data) <= 8192
+
+
+def test_dense_and_hot_terms_merge_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(frequency, "AT_ONCE", 1000)
+    rows = [("dense", i) for i in range(20_000)] + [("third", i) for i in range(0, 200_000, 3)] + [("dense", i) for i in range(0, 20_000, 2)] + [("rare", 7)]
+    df = spark.createDataFrame(rows, "term string, rec long").repartition(5)
+    layout = frequency.vertical(df, "term", "rec", __import__("pyspark").sql.functions.lit(1))
+    got = {r.term: (r.n_uses, r.n_records) for r in frequency.dictionary(layout).collect()}
+    assert got == {"dense": (30_000, 20_000), "third": (66_667, 66_667), "rare": (1, 1)}
+    forms = {(r.term, r.form) for r in layout.select("term", "form").distinct().collect()}
+    assert ("dense", 2) in forms and ("third", 1) in forms and ("rare", 0) in forms
 
 
 def test_latest_page_counts_and_null_bodies_do_not(spark):
@@ -73,3 +94,4 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], POSTING)
     assert distinctive.characteristic(distinctive.term_scores(empty)).count() == 0
     assert frequency.cardinality(empty, "doc_id").first()[0] == 0
+    assert frequency.vertical(empty, "term", "doc_id", empty["tf"]).count() == 0
