@@ -128,7 +128,7 @@ def test_hashing_loses_few_of_what_an_alignment_of_all_pairs_finds():
         (d, k)
         for d, t in enumerate(reduced)
         for k in range(len(ITEMS))
-        if max(items.matched(k, t, list(range(len(t)))), items.matched_apart(k, t, list(range(len(t))))) >= L.SHARE - L.LEEWAY / len(items.texts[k])
+        if max(items.matched(k, t, items.blocks(k, t, list(range(len(t))))), items.matched_apart(k, t, items.blocks(k, t, list(range(len(t)))))) >= L.SHARE - L.LEEWAY / len(items.texts[k])
     }
     found = {(d, k) for d, k, _ in L.scan(texts, items)}
     assert found <= every and len(found) >= 0.9 * len(every) > 60

@@ -146,6 +146,7 @@ class Items:
             seen[(unique >> np.uint64(64 - self.SLOTS)).astype(np.int64)] = True
             self.tables.append((order, unique, first, count, seen))
         self.seeds: list[dict[bytes, list[int]] | None] = [None] * len(items)
+        self.slots: list[np.ndarray | None] = [None] * len(items)
         self.seeded = np.zeros(1 << self.SLOTS, bool)
         self.seeded[_seed_slots(self.chars, self.SLOTS)] = True
 
@@ -175,10 +176,15 @@ class Items:
             self.seeds[k] = d
         return self.seeds[k]
 
-    def matched(self, k: int, text: bytes, places_in_text: list[int]) -> float:
-        """Share of the item's characters that stand near each other in ``text`` in the item's order.
-        ``places_in_text`` has every place where a seed of some item may begin."""
-        item, blocks = self.texts[k], self.blocks(k, text, places_in_text)
+    def own_slots(self, k: int) -> np.ndarray:
+        """The hashes of the item's seeds, in order."""
+        if self.slots[k] is None:
+            self.slots[k] = np.unique(_seed_slots(np.frombuffer(self.texts[k], np.uint8), self.SLOTS))
+        return self.slots[k]
+
+    def matched(self, k: int, text: bytes, blocks: list[tuple[int, int, int]]) -> float:
+        """Share of the item's characters that stand near each other in ``text`` in the item's order."""
+        item = self.texts[k]
         best, span = 0, SPAN * len(item) + SLACK
         score, begin = [], []
         for i, (p, d, n) in enumerate(blocks):
@@ -206,7 +212,8 @@ class Items:
         return best / max(1, len(item))
 
     def blocks(self, k: int, text: bytes, places_in_text: list[int]) -> list[tuple[int, int, int]]:
-        """(place in the item, place in the text, length) of the common substrings, in the text's order."""
+        """(place in the item, place in the text, length) of the common substrings, in the text's order.
+        ``places_in_text`` has every place where a seed of the item may begin."""
         item, seeds = self.texts[k], self.seed(k)
         blocks, reach = [], {}
         get = seeds.get
@@ -223,10 +230,10 @@ class Items:
                     blocks.append((p, d, n))
         return blocks
 
-    def matched_apart(self, k: int, text: bytes, places_in_text: list[int]) -> float:
+    def matched_apart(self, k: int, text: bytes, blocks: list[tuple[int, int, int]]) -> float:
         """Share of the item's characters that stand in ``text`` in the item's order in pieces of at least ``FAR``
         characters, ``SOLID`` of them without a change, whatever stands between the pieces."""
-        item, blocks = self.texts[k], self.blocks(k, text, places_in_text)
+        item = self.texts[k]
         pieces = []  # of each block, the piece that ends with it: its characters, where it begins, its longest block
         events = []
         for i, (p, d, n) in enumerate(blocks):
@@ -323,14 +330,19 @@ def _scan_some(reduced: list[bytes], items: Items, share: float) -> list[tuple[i
     step[new] = WINDOW
     first = np.flatnonzero(new)
     covered = np.add.reduceat(step, first)
-    seeded = np.flatnonzero(items.seeded[_seed_slots(chars, items.SLOTS)])
+    slots = _seed_slots(chars, items.SLOTS)
+    seeded = np.flatnonzero(items.seeded[slots])
+    slots = slots[seeded]
     for i in np.flatnonzero(covered >= LEAST_HIT * items.lengths[pair[first] % len(items.ids)]):
         d, k = divmod(int(pair[first[i]]), len(items.ids))
-        places = (seeded[slice(*np.searchsorted(seeded, [begin[d], begin[d] + len(reduced[d])]))] - begin[d]).tolist()
-        got = items.matched(k, reduced[d], places)
+        here = slice(*np.searchsorted(seeded, [begin[d], begin[d] + len(reduced[d])]))
+        own = items.own_slots(k)
+        known = own[np.minimum(np.searchsorted(own, slots[here]), len(own) - 1)] == slots[here]
+        blocks = items.blocks(k, reduced[d], (seeded[here][known] - begin[d]).tolist())
+        got = items.matched(k, reduced[d], blocks)
         least = share - LEEWAY / len(items.texts[k])
         if got < least:
-            got = max(got, items.matched_apart(k, reduced[d], places))
+            got = max(got, items.matched_apart(k, reduced[d], blocks))
         if got >= least:
             out.append((d, k, got))
     return out
