@@ -1,10 +1,13 @@
 """Problem 9: reading level of English texts from n-gram surprisal.
 
-1. For each level an interpolated trigram model is trained on a bounded, documented sample of labelled texts
-   (at most ``MAX_LABELLED``, the smallest by a hash of the id). Names and numbers are classes.
-2. One pass over the corpus: every sentence of the whole text gets its surprisal under each level's model; the
-   distribution of words over levels, by the sentences' posteriors, gives the document's difficulty as its median.
-3. Isotonic regression (pool adjacent violators) on held-out labelled texts maps difficulty to the level.
+1. For each level an interpolated trigram model is trained on a bounded, documented sample of labelled texts (at most
+   ``MAX_LABELLED`` texts and ``MAX_CHARS`` characters, in the order of a hash of the id). Names and numbers are classes.
+2. One pass over the corpus: every sentence of the whole text gets its surprisal under each level's model. Its difficulty
+   weighs how much less surprised each model is than the others, by least squares on labelled texts that the models
+   have not seen; the distribution of difficulty over a document's words gives the document's difficulty as its median.
+3. Isotonic regression (pool adjacent violators) on these unseen texts maps difficulty to the level.
+4. A text is English if its surprisal per letter under a model of four letters, trained on the same labelled texts, lies
+   nearer to that of unseen labelled texts than to that of letters at random.
 
 Texts are scored where they are read; nothing is exchanged. Only the models (bounded by the sample) are broadcast.
 
@@ -22,14 +25,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import table
 
 LEVELS = 5
 MIN_WORDS = 25
-#: At most so many labelled texts are used, a quarter of them for the isotonic map.
-MAX_LABELLED = 4_000
+#: At most so many labelled texts with so many characters in all are used; of each four one, unseen by the models,
+#: fits the difficulty and the isotonic map.
+MAX_LABELLED = 1_000
+MAX_CHARS = 16_000_000
 HELD_OUT = 4
 #: Interpolation: weight of the longer history wherever it was seen in training.
 LAMBDA_3 = 0.65
@@ -44,28 +50,12 @@ _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+|[.!?\n]+|\x00")
 EDGE, NAME, NUMBER, UNKNOWN = 0, 1, 2, 3
 _FIRST = 4
 _CAPITAL = 1 << 28
-_ENGLISH = 1 << 29
-_FOREIGN = 1 << 30
 _ID = _CAPITAL - 1
 _DOC = -1
 
-#: Frequent function words by language; words that English shares are left out.
-ENGLISH_WORDS = frozenset(
-    """the of and to is that it for with as at from are were by this which have has had not be been their its they
-    his her she he you we an or but there than then them these those would could should who what when where into
-    about after before other some such no more most only over also can will""".split()
-)
-FOREIGN_WORDS = frozenset(
-    """der die das und ist nicht ein eine einen einem einer den dem des von zu mit auf für als auch sich wird wurde im
-    nach bei aus noch wie oder aber sind seit heute le la les un une des du et est dans pour par sur avec qui que ne
-    pas au aux ce cette sont mais ou été il elle el los las una del y en por con para como se su más pero lo al fue
-    sus desde hasta è di il che non per della dei nel con una gli och att det som på av til og er het een van niet
-    zijn voor um uma não com os dos da na no em""".split()
-) - {"an", "no", "to", "was", "as", "at", "on", "in", "me", "so", "he", "we", "or", "a", "i", "is", "die", "con", "per"}
-
 
 class Spelling(dict):
-    """Token to id (of its lower-cased form), with flags for capitals and function words. -1 begins a document."""
+    """Token to id (of its lower-cased form), with a flag for capitals. -1 begins a document."""
 
     def __init__(self, vocabulary: dict[str, int], grow: bool = False):
         super().__init__()
@@ -83,7 +73,7 @@ class Spelling(dict):
                 code = self.vocabulary.setdefault(low, len(self.vocabulary) + _FIRST)
             else:
                 code = self.vocabulary.get(low, UNKNOWN)
-            code |= _CAPITAL * (first != low[0]) | _ENGLISH * (low in ENGLISH_WORDS) | _FOREIGN * (low in FOREIGN_WORDS)
+            code |= _CAPITAL * (first != low[0])
         self[token] = code
         return code
 
@@ -97,9 +87,6 @@ class Tokens:
     sentence_doc: np.ndarray
     sentence_words: np.ndarray
     words: np.ndarray  # by document
-    english: np.ndarray
-    foreign: np.ndarray
-    known: np.ndarray
 
 
 def tokenize(texts: list[str], spelling: Spelling) -> Tokens:
@@ -112,16 +99,13 @@ def tokenize(texts: list[str], spelling: Spelling) -> Tokens:
     edge = is_doc | (raw == EDGE)
     word = ~edge
     n = len(texts)
-    count = lambda what: np.bincount(doc[what], minlength=n)
-    english, foreign = count(word & (raw & _ENGLISH > 0)), count(word & (raw & _FOREIGN > 0))
     ids = np.where(edge, EDGE, raw & _ID)
-    known = count(word & (ids >= _FIRST))
     after_edge = np.r_[True, edge[:-1]]
     ids[word & (raw & _CAPITAL > 0) & ~after_edge] = NAME
     start = np.flatnonzero(edge & np.r_[word[1:], False])
     total = np.cumsum(word)
     end = np.r_[start[1:], len(ids)] - 1 if len(start) else start
-    return Tokens(ids, start, doc[start], total[end] - total[start] if len(start) else start, count(word), english, foreign, known)
+    return Tokens(ids, start, doc[start], total[end] - total[start] if len(start) else start, np.bincount(doc[word], minlength=n))
 
 
 class LevelModels:
@@ -208,22 +192,60 @@ class LevelModels:
         end = np.minimum(end, len(ids) - 1)
         return total[end] - total[t.sentence_start]
 
-    def difficulty(self, t: Tokens, n: int) -> np.ndarray:
-        """The median, over the words of each document, of the level of their sentence (0.5 to 5.5)."""
-        shares = np.zeros((n, LEVELS))
-        if len(t.sentence_start):
-            ll = self.log_likelihood(t)
-            post = np.exp(ll - ll.max(1, keepdims=True))
-            post /= post.sum(1, keepdims=True)
-            for k in range(LEVELS):
-                shares[:, k] = np.bincount(t.sentence_doc, weights=post[:, k] * t.sentence_words, minlength=n)
-        total = shares.sum(1, keepdims=True)
-        shares = np.divide(shares, total, out=np.full_like(shares, 1 / LEVELS), where=total > 0)
-        upto = np.cumsum(shares, axis=1)
-        at = np.minimum((upto < 0.5).sum(1), LEVELS - 1)
-        rows = np.arange(n)
-        inside = (0.5 - (upto[rows, at] - shares[rows, at])) / np.maximum(shares[rows, at], 1e-9)
-        return at + 0.5 + np.clip(inside, 0, 1)
+    def contrasts(self, t: Tokens) -> np.ndarray:
+        """By sentence and level: how much less surprised the level's model is than the others, as shares of one."""
+        ll = self.log_likelihood(t) if len(t.sentence_start) else np.zeros((0, LEVELS))
+        e = np.exp(ll - ll.max(1, keepdims=True, initial=-np.inf))
+        return e / e.sum(1, keepdims=True)
+
+
+def weighted_medians(group: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """The median of each group's values, each standing for its weight; 0 for an empty group."""
+    out = np.zeros(n)
+    if not len(group):
+        return out
+    order = np.lexsort((value, group))
+    g, v, upto = group[order], value[order], np.cumsum(weight[order])
+    start = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+    end = np.r_[start[1:], len(g)]
+    before = np.r_[0, upto][start]
+    at = np.searchsorted(upto, before + (upto[end - 1] - before) / 2)
+    out[g[start]] = v[np.clip(at, start, end - 1)]
+    return out
+
+
+#: The letters a to z, everything between words, and any other letter.
+LETTERS = 28
+_LETTER = np.zeros(256, np.int32)
+_LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = _LETTER[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")] = np.arange(1, 27)
+_LETTER[ord("?")] = 27  # what takes the place of a letter outside ASCII
+
+
+def letter_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Four-letter grams of a list of texts, and the text of each; blanks and signs in a row are one."""
+    raw = [t.replace("?", " ").replace("\xa0", " ").encode("ascii", "replace") + b" " for t in texts]
+    c = _LETTER[np.frombuffer(b"".join(raw), np.uint8)]
+    text = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    keep = np.r_[True, (c[1:] > 0) | (c[:-1] > 0)][: len(c)]
+    c, text = c[keep], text[keep]
+    p = np.r_[np.zeros(3, np.int32), c]
+    return ((p[:-3] * LETTERS + p[1:-2]) * LETTERS + p[2:-1]) * LETTERS + p[3:], text
+
+
+class LetterModel:
+    """Surprisal of a letter after three others."""
+
+    def __init__(self, texts: list[str]):
+        n = np.bincount(letter_grams(texts)[0], minlength=LETTERS**4).astype(float).reshape(-1, LETTERS)
+        one = (n.sum(0) + 1) / (n.sum() + LETTERS)
+        self.surprisal = -np.log((n + 2 * one) / (n.sum(1, keepdims=True) + 2)).astype(np.float32).ravel()
+
+    def mean(self, texts: list[str]) -> np.ndarray:
+        """Mean surprisal of each text; infinite where there are fewer than two letters to a blank."""
+        grams, text = letter_grams(texts)
+        n = np.bincount(text, minlength=len(texts))
+        blanks = np.bincount(text[grams % LETTERS == 0], minlength=len(texts))
+        return np.where(n >= 3 * blanks, np.bincount(text, weights=self.surprisal[grams], minlength=len(texts)) / np.maximum(1, n), np.inf)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -243,48 +265,56 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 @dataclass
 class Grader:
     models: LevelModels
+    weights: np.ndarray
     knots: np.ndarray
     values: np.ndarray
+    letters: LetterModel
+    most_surprisal: float
+
+    def difficulty(self, t: Tokens, n: int) -> np.ndarray:
+        """The median over a document's words of the difficulty of their sentences."""
+        return weighted_medians(t.sentence_doc, self.models.contrasts(t) @ self.weights, t.sentence_words, n)
 
     def grade(self, texts: list[str], spelling: Spelling, min_words: int = MIN_WORDS) -> np.ndarray:
         """Level of each text; 0 where it is no English text of enough words."""
         t = tokenize(texts, spelling)
-        level = np.rint(np.interp(self.models.difficulty(t, len(texts)), self.knots, self.values)).astype(np.int64)
+        level = np.rint(np.interp(self.difficulty(t, len(texts)), self.knots, self.values)).astype(np.int64)
         words = t.words.copy()
         for i in np.flatnonzero((words > min_words - 10) & (words < min_words + 15)):  # near the limit, words as written
             words[i] = len(texts[i].split())
-        english = (t.english > t.foreign) & ((t.english >= 0.06 * t.words) | (t.known >= 0.5 * t.words))
+        english = self.letters.mean(texts) <= self.most_surprisal
         return np.where(english & (words >= min_words), np.clip(level, 1, LEVELS), 0)
 
 
 def train(labelled: list[tuple[str, int]]) -> Grader | None:
-    """Models on three quarters of the labelled texts, the isotonic map on the rest (and one light prior point a level)."""
-    fit = [x for i, x in enumerate(labelled) if i % HELD_OUT]
-    held = [x for i, x in enumerate(labelled) if i % HELD_OUT == 0]
-    if not fit:
-        fit = held
-    if not fit:
+    """Models on three quarters of the labelled texts; what is held out fits the difficulty and the isotonic map."""
+    if not labelled:
         return None
-    models = LevelModels([t for t, _ in fit], [n for _, n in fit])
-    x = models.difficulty(tokenize([t for t, _ in held], Spelling(models.vocabulary)), len(held)) if held else np.zeros(0)
-    prior = np.arange(1, LEVELS + 1, dtype=float)
-    knots, values = isotonic(
-        np.r_[x, prior - 0.49, prior + 0.49], np.r_[np.array([n for _, n in held], float), prior, prior], np.r_[np.ones(len(held)), np.full(2 * LEVELS, 0.5)]
-    )
-    return Grader(models, knots, values)
-
-
-def sample_labelled(documents: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> list[tuple[str, int]]:
-    """At most ``bound`` labelled texts, in the order of a hash of their id."""
+    held = labelled[::HELD_OUT]
+    fit = [x for i, x in enumerate(labelled) if i % HELD_OUT] or held
+    models, letters = LevelModels([t for t, _ in fit], [n for _, n in fit]), LetterModel([t for t, _ in fit])
+    t, level = tokenize([t for t, _ in held], Spelling(models.vocabulary)), np.array([n for _, n in held], float)
+    root = np.sqrt(t.sentence_words.astype(float))
+    weights = np.linalg.lstsq(models.contrasts(t) * root[:, None], level[t.sentence_doc] * root, rcond=1e-6)[0]
+    grader = Grader(models, weights, np.zeros(1), np.zeros(1), letters, 0.0)
+    grader.knots, grader.values = isotonic(grader.difficulty(t, len(held)), level, np.ones(len(held)))
+    unseen = float(np.median(letters.mean([t for t, _ in held])))
+    grader.most_surprisal = (unseen + float(np.log(LETTERS))) / 2
+    return grader
+
+
+def sample_labelled(documents: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, chars: int = MAX_CHARS) -> list[tuple[str, int]]:
+    """At most ``bound`` labelled texts of ``chars`` characters in all, in the order of a hash of their id."""
     few = (
         labels.where(f"doc_id is not null and reading_level between 1 and {LEVELS}")
         .select("doc_id", F.col("reading_level").cast("int").alias("reading_level"))
         .orderBy(F.xxhash64("doc_id"), "doc_id", "reading_level")
         .limit(bound)
     )
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id")
-    got = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "reading_level").collect()
-    return [(r.text, r.reading_level) for r in sorted(got, key=lambda r: (r.h, r.doc_id, r.reading_level))[:bound]]
+    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(few), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "reading_level")
+    so_far = F.sum(F.length("text")).over(W.orderBy("h", "doc_id", "reading_level"))
+    got = rows.orderBy("h", "doc_id", "reading_level").limit(bound).withColumn("so_far", so_far).where(F.col("so_far") <= chars).collect()
+    return [(r.text, r.reading_level) for r in sorted(got, key=lambda r: (r.h, r.doc_id, r.reading_level))]
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
