@@ -245,7 +245,7 @@ class LetterModel:
         grams, text = letter_grams(texts)
         n = np.bincount(text, minlength=len(texts))
         blanks = np.bincount(text[grams % LETTERS == 0], minlength=len(texts))
-        return np.where(n >= 3 * blanks, np.bincount(text, weights=self.surprisal[grams], minlength=len(texts)) / np.maximum(1, n), np.inf)
+        return np.where((n > 0) & (n >= 3 * blanks), np.bincount(text, weights=self.surprisal[grams], minlength=len(texts)) / np.maximum(1, n), np.inf)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
