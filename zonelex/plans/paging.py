@@ -67,17 +67,22 @@ def zone_fragments(spark: SparkSession, d: str) -> DataFrame:
     return f.select("doc_id", "zone", F.size(words(F.col("fragment"))).cast("bigint").alias("n_tokens"))
 
 
+def _dumped(spark: SparkSession, d: str) -> DataFrame:
+    return ix.kept_pages(page_source.from_dump_table(table(spark, d, "dump_page"))).select(F.col("id").alias("doc_id"), "title", "text")
+
+
 def dump_zones(spark: SparkSession, d: str) -> DataFrame:
     """Zones of the raw page texts of the dump table."""
-    p = ix.kept_pages(page_source.from_dump_table(table(spark, d, "dump_page"))).select(F.col("id").alias("doc_id"), "title", "text")
-    return fragments(p).groupBy("zone").agg(F.count(F.lit(1)).alias("n_fragments"), F.sum(F.length("fragment")).alias("n_chars"))
+    return fragments(_dumped(spark, d)).groupBy("zone").agg(F.count(F.lit(1)).alias("n_fragments"), F.sum(F.length("fragment")).alias("n_chars"))
 
 
 def infobox_failure_log(spark: SparkSession, d: str) -> DataFrame:
-    """Every third page loses its closing braces."""
-    p = _numbered(spark, d)
-    broken = p.select("doc_id", "title", F.when(F.col("id") % 3 == 0, F.regexp_replace("text", r"\}\}", "")).otherwise(F.col("text")).alias("text"))
-    return infobox_failures(broken)
+    """Raw pages, and how many have an infobox that is never closed (as delivered, and cut off in the middle)."""
+    pages = materialized(_dumped(spark, d))
+    cut_off = pages.withColumn("text", F.expr("substring(text, 1, length(text) div 2)"))
+    failed = [infobox_failures(p).agg(F.count(F.lit(1)).alias("n_unclosed")).withColumn("state", F.lit(state)) for state, p in (("whole", pages), ("half", cut_off))]
+    n = pages.agg(F.count(F.lit(1)).alias("n_pages"))
+    return failed[0].unionByName(failed[1]).crossJoin(F.broadcast(n)).select("state", "n_pages", "n_unclosed")
 
 
 def _counted(spark: SparkSession, d: str) -> DataFrame:
@@ -174,6 +179,29 @@ kept AS (SELECT * FROM t WHERE {_KEEP}), voc AS (SELECT DISTINCT tok FROM kept),
 a AS (SELECT s.stem AS term, kept.doc_id, kept.zone, CAST(count(*) AS INTEGER) AS tf FROM kept JOIN stems s ON s.tok = kept.tok GROUP BY ALL),
 d AS (SELECT term, count(DISTINCT doc_id) AS df FROM a GROUP BY term), m AS (SELECT a.* FROM a JOIN d ON d.term = a.term WHERE d.df > 4)"""
 
+#: The zone splitter position by position: every opening, where it ends, and the walk from one to the next.
+_WALK = f"""pg AS (SELECT row_number() OVER () AS p, id, translate(title, {_AZ}) AS title, translate(coalesce(text, ''), {_AZ}) AS x
+  FROM (SELECT DISTINCT id, title, revision.text AS text FROM dump_page) WHERE {_SKIP}),
+ps AS (SELECT p, x, unnest(range(1, length(x) + 1)) AS i FROM pg),
+op AS (SELECT p, i, CASE WHEN regexp_matches(substr(x, i, 10), '^\\{{\\{{ ?infobox') THEN 1 WHEN regexp_matches(substr(x, i, 11), '^\\[\\[ ?category') THEN 2
+  WHEN regexp_matches(substr(x, i, 20), '^== ?external links ?==') THEN 3 WHEN regexp_matches(substr(x, i, 16), '^== ?references ?==') THEN 4 END AS kind
+  FROM ps WHERE substr(x, i, 1) IN ('{{', '[', '=')),
+o AS (SELECT * FROM op WHERE kind IS NOT NULL),
+br AS (SELECT p, i, substr(x, i, 1) AS c, i - row_number() OVER (PARTITION BY p, substr(x, i, 1) ORDER BY i) AS run FROM ps WHERE substr(x, i, 1) IN ('{{', '}}')),
+rn AS (SELECT p, c, min(i) AS i, count(*) // 2 AS n FROM br GROUP BY p, c, run),
+tk AS (SELECT p, c, i + 2 * unnest(range(n)) AS j FROM rn WHERE n > 0),
+dp AS (SELECT o.p, o.i, tk.j, 1 + sum(CASE tk.c WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY o.p, o.i ORDER BY tk.j) AS depth FROM o JOIN tk ON tk.p = o.p AND tk.j > o.i + 1 WHERE o.kind = 1),
+ib AS (SELECT p, i, min(j) + 2 AS e FROM dp WHERE depth = 0 GROUP BY p, i),
+cc AS (SELECT o.p, o.i, min(s.i) + 2 AS e FROM o JOIN ps s ON s.p = o.p AND s.i > o.i AND substr(s.x, s.i, 2) = ']]' WHERE o.kind = 2 GROUP BY o.p, o.i),
+nx AS (SELECT o.p, o.i, min(f.i) AS e FROM o JOIN o f ON f.p = o.p AND f.i > o.i AND (f.kind = 2 OR o.kind = 4 AND f.kind = 3) WHERE o.kind IN (3, 4) GROUP BY o.p, o.i),
+en AS (SELECT o.p, o.i, o.kind, coalesce(ib.e, cc.e, nx.e, length(pg.x) + 1) AS e, o.kind = 1 AND ib.e IS NULL AS failed FROM o JOIN pg ON pg.p = o.p
+  LEFT JOIN ib ON ib.p = o.p AND ib.i = o.i LEFT JOIN cc ON cc.p = o.p AND cc.i = o.i LEFT JOIN nx ON nx.p = o.p AND nx.i = o.i),
+wk(p, i, e) AS (SELECT p, CAST(0 AS BIGINT), CAST(1 AS BIGINT) FROM pg UNION ALL
+  SELECT n.p, n.i, en.e FROM (SELECT wk.p, min(en.i) AS i FROM wk JOIN en ON en.p = wk.p AND en.i >= wk.e GROUP BY wk.p, wk.e) n JOIN en ON en.p = n.p AND en.i = n.i),
+fr AS (SELECT en.p, en.kind, en.i, en.e, en.failed FROM wk JOIN en ON en.p = wk.p AND en.i = wk.i),
+zn AS (SELECT CASE kind WHEN 3 THEN 4 WHEN 4 THEN 5 ELSE kind END AS zone, greatest(0, e - i - CASE WHEN kind < 3 THEN 2 ELSE 4 END) AS n FROM fr
+  UNION ALL SELECT 3, length(title) FROM pg
+  UNION ALL SELECT 0, n FROM (SELECT length(pg.x) - coalesce(sum(fr.e - fr.i), 0) AS n FROM pg LEFT JOIN fr ON fr.p = pg.p GROUP BY pg.p, pg.x) WHERE n > 0)"""
 _SCORED = ranked_sql(
     postings="l AS (SELECT term, doc_id, zone, tf FROM m)",
     queries="""(SELECT query_id, k, query_text FROM search_query UNION ALL
@@ -195,7 +223,11 @@ SELECT c, count(*) AS n, regexp_matches(c, '^[A-Za-z0-9]$') AS valid, regexp_mat
     "porter_vocabulary": f"""WITH voc AS (SELECT DISTINCT unnest(regexp_extract_all(translate(text, {_AZ}), '[a-z0-9]+')) AS tok FROM documents), {porter_cte("voc")}
 SELECT tok, stem FROM stems""",
     "zone_fragments": f"WITH {_Z} SELECT doc_id, zone, CAST(len(regexp_extract_all(f, '[a-z0-9]+')) AS BIGINT) AS n_tokens FROM z",
-    "infobox_failures": f"WITH {_Z} SELECT doc_id, translate('article ' || source || ' ' || lang, {_AZ}) AS title FROM k WHERE src % 3 = 0",
+    "dump_zones": f"WITH RECURSIVE {_WALK} SELECT CAST(zone AS INTEGER) AS zone, count(*) AS n_fragments, CAST(sum(n) AS BIGINT) AS n_chars FROM zn GROUP BY zone",
+    "infobox_failures": " UNION ALL ".join(
+        f"SELECT * FROM (WITH RECURSIVE {_WALK.replace('revision.text AS text FROM', of + ' AS text FROM')} SELECT '{state}' AS state, (SELECT count(*) FROM pg) AS n_pages, (SELECT count(DISTINCT p) FROM fr WHERE failed) AS n_unclosed)"
+        for state, of in (("whole", "revision.text"), ("half", "substr(revision.text, 1, length(revision.text) // 2)"))
+    ),
     "term_zone_freq": f"WITH {_T} SELECT term, zone, doc_id, tf FROM a",
     "postings_wide": f"WITH {_T} SELECT doc_id, term, "
     + ", ".join(f"CAST(coalesce(sum(tf) FILTER (WHERE zone = {i}), 0) AS INTEGER) AS tf_{c}" for i, c in enumerate("bictlr"))
