@@ -68,6 +68,13 @@ def test_forward_scan_compatibility(spark, small):
     assert clean > 39 > compat
 
 
+def test_more_tokens_than_are_broadcast(spark, small, monkeypatch):
+    q = spark.createDataFrame([(i, 4, t) for i, t in enumerate(["cat", "t:cat ball", "ball cat", "zzz"])], "query_id long, k int, query_text string")
+    expected = sorted(tuple(r) for r in sr.search(q, *small).collect())
+    monkeypatch.setattr(sr._side, "__defaults__", (1,))
+    assert sorted(tuple(r) for r in sr.search(q, *small).collect()) == expected
+
+
 PAGES = [(0, "Alpha", "{{Infobox a|cat}} cat cat Dog"), (1, "File:x", "cat"), (2, "Beta", "#REDIRECT [[a]]"), (3, "Gamma", None), (4, "", "cat"), (5, "Cat", "cat [[Category:cat]]")]
 
 

@@ -1,4 +1,4 @@
-"""Finnish, Hungarian, Romanian, Indonesian, Irish, Hindi and Nepali stemmers by their published rules.
+"""Finnish, Hungarian, Romanian, Indonesian, Irish, Hindi, Nepali and Lithuanian stemmers by their published rules.
 
 The suffix tables are fixed values of these rules; words are expected in lower case and composed form.
 """
@@ -321,3 +321,37 @@ def nepali(word: str) -> str:
         if not s:
             return w
         w = _without(w, s)
+
+
+# --- Lithuanian ------------------------------------------------------------------------------------------------------
+
+_LT_V = "aeiyouąęėįųū"
+#: Endings, then further suffixes, and forms that are brought to their noun first.
+_LT_ENDINGS = """a ia eria osna iosna uosna iuosna ysna ėsna e ie enie erie oje ioje uje iuje yje enyje eryje ėje ame iame sime ome ėme tumėme ose iose uose iuose yse enyse eryse
+ėse ate iate ite kite site ote tute ėte tumėte i ai iai eriai ei tumei ki imi erimi umi iumi si asi iasi esi iesi siesi isi aisi eisi tumeisi uisi osi ėjosi uosi iuosi siuosi usi
+ausi čiausi ąsi ėsi ųsi tųsi ti enti inti oti ioti uoti iuoti auti iauti yti ėti telėti inėti terėti ui iui eniui oj ėj k am iam iem im sim om tum ėm tumėm an on ion un iun ėn o
+io enio ėjo uo s as ias es ies is ais iais tumeis imis enimis omis iomis umis ėmis enis asis ysis ams iams iems ims enims erims oms ioms ums ėms ens os ios uos iuos ers us aus
+iaus ius ys enys erys ąs iąs ės amės iamės imės kimės simės omės ėmės tumėmės atės iatės sitės otės ėtės tumėtės ūs įs tųs at iat it sit ot ėt tumėt u au iau čiau iu eniu siu y
+ą ią ė ę į enį erį ų ių erų""".split()
+_LT_SUFFIXES = """ing aj iaj iej oj ioj uoj iuoj auj ąj iąj ėj ųj iųj ok iok iuk uliuk učiuk išk iul yl ėl am dam jam zgan ain esn op iop ias ies ais iais os ios uos iuos aus iaus ąs
+iąs ęs utėait ant iant siant int ot uot iuot yt ėt ykšt iau dav sv šv ykšč ę ėję""".split()
+_LT_FORMS = {
+    "aite": "aitė", "aitės": "aitė", "uote": "uotė", "uotės": "uotė", "okate": "okatė", "okatės": "okatė", "ėjime": "ėjimas", "avime": "avimas", "ojime": "ojimas",
+    "esiu": "esys", "asius": "asys",
+}
+
+
+def lithuanian(word: str) -> str:
+    first = re.compile(f"[^{_LT_V}]*[{_LT_V}]+[^{_LT_V}]").match(word, 1 if word[:1] == "a" and len(word) > 6 else 0)
+    p1 = first.end() if first else len(word)
+
+    def hardened(w: str) -> str:
+        return w[:-1] + "t" if w.endswith("č") else w[:-2] + "d" if w.endswith("dž") else w
+
+    s = _suffix(word, _LT_FORMS)
+    w = _without(word, s) + _LT_FORMS.get(s, "")
+    w = hardened(_without(w, _suffix(w, _LT_ENDINGS, p1)))
+    while s := _suffix(w, _LT_SUFFIXES, p1):
+        w = _without(w, s)
+    w = hardened(w)
+    return w[:-1] if w.endswith("gd") else w

@@ -9,7 +9,7 @@ from ..functions import codec
 from ..operators import gaps
 from ..operators import search as sr
 from ..operators.postings import latest_postings, with_split
-from ..session import materialized, table
+from ..session import shared, table
 from .ranking_sql import query_sql, ranked_sql, score_sql, token_sql
 
 
@@ -18,7 +18,8 @@ def _posting(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _long(spark: SparkSession, d: str) -> DataFrame:
-    return materialized(sr.postings_from_freq(_posting(spark, d)))
+    """The postings by zone, sorted by term as in a stored index, written once for all queries over one folder."""
+    return shared(spark, f"postings of {d}", lambda: sr.postings_from_freq(_posting(spark, d)).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,17 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHARED: dict[tuple[str, str], DataFrame] = {}
+
+
+def shared(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written once for all queries that ask for it by the same name, until ``release``."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _SHARED:
+        _SHARED[key] = materialized(build())
+    return _SHARED[key]
+
+
 def temporary_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder that is deleted by ``release``, or when the driver ends."""
     path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
@@ -65,6 +77,7 @@ def release(spark: SparkSession) -> int:
     """Delete what was written under ``temporary_path`` in this process, once no result reads it any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     gone = 0
+    _SHARED.clear()
     while _WRITTEN:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         gone += bool(path.getFileSystem(conf).delete(path, True))
