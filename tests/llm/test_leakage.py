@@ -67,15 +67,14 @@ def test_common_subsequence_equals_the_table():
         assert L._common(a, b) == table(a, b)
 
 
-def test_table(spark, monkeypatch):
+def test_table(spark):
     whole = ITEMS[3][1]
     docs = [(1, noise(30) + whole), (2, None), (3, ""), (4, "tiny"), (1, whole), (None, whole), (5, noise(60_000) + " " + whole), (6, whole.upper())]
     d = spark.createDataFrame([(i, t, 9) for i, t in docs], "doc_id long, text string, item_id int")
     e = spark.createDataFrame([(i, t) for i, t in ITEMS] + [(None, "x"), (77, None), (78, ""), (79, whole)], "item_id long, item_text string")
     got = sorted((r.doc_id or 0, r.item_id) for r in L.leaks(d, e).collect())
     assert got == sorted((i, k) for i in (0, 1, 1, 5, 6) for k in (3, 79))
-    monkeypatch.setattr(L, "BLOCK", 7)  # several passes find the same
-    assert sorted((r.doc_id or 0, r.item_id) for r in L.leaks(d, e).collect()) == got
+    assert sorted((r.doc_id or 0, r.item_id) for r in L.leaks(d, e, block=7).collect()) == got  # by an exchange of keys
     assert L.leaks(d.limit(0), e).count() == 0 and L.leaks(d, e.limit(0)).count() == 0
 
 
@@ -132,3 +131,11 @@ def test_hashing_loses_few_of_what_an_alignment_of_all_pairs_finds():
     }
     found = {(d, k) for d, k, _ in L.scan(texts, items)}
     assert found <= every and len(found) >= 0.9 * len(every) > 60
+
+
+def test_exchanged_keys_find_what_the_broadcast_finds(spark):
+    texts = [noise(60) + " " + altered(t, kind) + " " + noise(60) for kind in KINDS for _, t in ITEMS[:10]] + [noise(300)] * 20
+    d = spark.createDataFrame(list(enumerate(texts + texts[:5])), "doc_id long, text string").repartition(4)
+    e = spark.createDataFrame([*ITEMS, (900, "Who drained the lake?"), (901, texts[-1][:25]), (902, "Why?")], "item_id long, item_text string")
+    one, other = ({(r.doc_id, r.item_id) for r in L.leaks(d, e, block=b).collect()} for b in (1_000, 10))
+    assert one == other and len(one) >= 120 and {k for _, k in one} >= {901}

@@ -14,7 +14,10 @@ ASCII-lowered), so case, spacing and punctuation don't matter. Then, in one pass
    subsequence, and the matched characters must reach ``SHARE`` of the item's, less ``LEEWAY`` as copies are cut
    at word ends. If they do not, pieces of at least ``FAR`` characters are chained, whatever stands between them.
 
-The items are a fixed, small set (one pass here); more are taken in passes of ``BLOCK`` items each. Cases: null, empty
+Up to ``BLOCK`` items go out by broadcast, and one map over the corpus does all. More items are never held in one place:
+the keys of their windows are a table, the corpus is read once, its windows meet the item windows in an exchange on the
+key (only those that pass a filter of fixed size over all item keys), coverage is gathered per pair, and the pairs
+that are left meet their texts for the same verification. Cases: null, empty
 and tiny texts and items give no rows (an item of fewer letters than a window counts where it stands whole and unaltered,
 one of fewer than ``SEED_CHARS`` letters never); repeated documents each count; repeated items each count; very long texts
 are read whole; extra columns are ignored.
@@ -30,8 +33,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import materialized, table
 
 WINDOW = 32
 STRIDE = 8
@@ -382,25 +386,116 @@ def _pass(documents: DataFrame, id_column: str, text: str, rows: list[tuple[int,
     return documents.select(documents[id_column].cast("bigint"), text).mapInArrow(find, "doc_id bigint, item_id bigint, share double")
 
 
-def leaks(documents: DataFrame, eval_items: DataFrame, id_column: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, share): the corpus documents that hold held-out items. Items come to the driver one after the
-    other and go out in blocks of at most ``BLOCK``, one map over the corpus a block; what a task holds stays bounded
-    however many items there are."""
-    out, block = None, []
-
-    def flush() -> None:
-        nonlocal out, block
-        one = _pass(documents, id_column, text, block, share)
-        out = one if out is None else out.unionByName(one)
-        block = []
-
-    for r in eval_items.select("item_id", "item_text").where("item_id is not null and item_text is not null").toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK:
-            flush()
-    if block or out is None:
-        flush()
-    return out
+def leaks(documents: DataFrame, eval_items: DataFrame, id_column: str = "doc_id", text: str = "text", share: float = SHARE, block: int = BLOCK) -> DataFrame:
+    """(doc_id, item_id, share): the corpus documents that hold held-out items."""
+    items = eval_items.select(F.col("item_id").cast("bigint").alias("item_id"), "item_text").where("item_id is not null and item_text is not null")
+    few = items.limit(block + 1).collect()
+    if len(few) <= block:
+        return _pass(documents, id_column, text, [(r[0], r[1]) for r in few], share)
+    items = materialized(items)
+    out = _exchanged(documents.select(documents[id_column].cast("bigint").alias("doc_id"), documents[text].alias("text")), items, share)
+    some: list[tuple[int, str]] = []
+    for r in _short(items).toLocalIterator():  # they have no window; one pass a block
+        some.append((r[0], r[1]))
+        if len(some) == block:
+            out, some = out.unionByName(_pass(documents, id_column, text, some, share)), []
+    return out.unionByName(_pass(documents, id_column, text, some, share)) if some else out
+
+
+def _short(items: DataFrame) -> DataFrame:
+    """Items with fewer letters than a window."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([SEED_CHARS <= len(reduce_text(t)) < WINDOW for t in batch.column(1).to_pylist()]))
+
+    return items.mapInArrow(keep, items.schema)
+
+
+#: Bits of the filter over the keys of all item windows.
+FILTER_BITS = 1 << 26
+#: Places of an item whose coverage by hit windows is told apart.
+SEGMENTS = 64
+
+
+def _keys_of(texts: list[bytes], stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, place and key of every window of every repeat; the repeat is part of the key."""
+    gap = b"\0" * WINDOW
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(sizes + WINDOW) - sizes - WINDOW
+    n = np.where(sizes >= WINDOW, (sizes - WINDOW) // stride + 1, 0)
+    owner = np.repeat(np.arange(len(texts)), n)
+    place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
+    keys = embed_keys(np.frombuffer(gap.join(texts) + gap + b"\0", np.uint8), begin[owner] + place)
+    turned = [(k ^ np.uint64(r * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64) for r, k in enumerate(keys)]
+    return np.tile(owner, REPEATS), np.tile(place, REPEATS), np.concatenate(turned)
+
+
+def _batches(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with their reduced texts, some million characters each."""
+    a = 0
+    while a < batch.num_rows:
+        texts, size = [], 0
+        while a + len(texts) < batch.num_rows and (not texts or size < GATHER):
+            texts.append(reduce_text(batch.column(1)[a + len(texts)].as_py()))
+            size += len(texts[-1])
+        yield batch.slice(a, len(texts)), texts
+        a += len(texts)
+
+
+def _exchanged(documents: DataFrame, items: DataFrame, share: float) -> DataFrame:
+    """The same search for any number of items. Equal texts are one candidate; hot keys are joined with salt."""
+    spark = documents.sparkSession
+
+    def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in _batches(batch):
+                owner, place, key = _keys_of(texts, 1)
+                ids = part.column(0).take(pa.array(owner))
+                length = np.array([len(t) for t in texts], np.int64)[owner]
+                first, last = place * SEGMENTS // length, np.minimum(SEGMENTS - 1, (place + WINDOW - 1) * SEGMENTS // length)
+                span = np.uint64(0xFFFFFFFFFFFFFFFF)
+                bits = ((span >> (63 - (last - first)).astype(np.uint64)) << first.astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(key), pa.array(bits)], ["item_id", "key", "bits"])
+
+    windows = materialized(items.mapInArrow(item_windows, "item_id bigint, key bigint, bits bigint").groupBy("item_id", "key").agg(F.bit_or("bits").alias("bits")))
+    slot = F.pmod(F.col("key"), F.lit(FILTER_BITS))
+    words = windows.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod(key, {FILTER_BITS}) & 63 AS INT))")).alias("b")).toPandas()
+    known = np.zeros(FILTER_BITS // 64, np.int64)
+    known[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(known)
+
+    def corpus_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_ = sent.value
+        for batch in batches:
+            for part, texts in _batches(batch):
+                owner, _, key = _keys_of(texts, STRIDE)
+                at = key % FILTER_BITS
+                hit = np.flatnonzero((table_[at >> 6] >> (at & 63)) & 1)
+                pairs = np.unique(np.stack([owner[hit], key[hit]], 1), axis=0) if len(hit) else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(pairs[:, 0])), pa.array(pairs[:, 1])], ["h", "key"])
+
+    texts = materialized(documents.where("text is not null").groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.min("text").alias("text")))
+    texts = texts.select(F.xxhash64("h", "n").alias("h"), "text")
+    hits = materialized(texts.mapInArrow(corpus_windows, "h bigint, key bigint"))
+    # a key that many texts share is spread; each part meets a copy of the key's items
+    often = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.lit(10_000)).select("key", F.least(F.lit(256), F.ceil(F.col("n") / 10_000)).cast("int").alias("parts"))
+    spread = hits.join(often, "key", "left").withColumn("part", F.coalesce(F.pmod(F.col("h"), F.col("parts")), F.lit(0)).cast("int"))
+    copies = windows.join(often, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+    pairs = spread.join(copies, ["key", "part"]).groupBy("h", "item_id").agg(F.bit_or("bits").alias("covered")).where(F.bit_count("covered") >= F.lit(LEAST_HIT * SEGMENTS))
+    held = pairs.join(items, "item_id").groupBy("h").agg(F.collect_list(F.struct("item_id", "item_text")).alias("items"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, t, some in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                got = scan([t], Items([(x["item_id"], x["item_text"]) for x in some]), share)
+                out += [(h, some[k]["item_id"], s) for _, k, s in got]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["h", "item_id", "share"])
+
+    found_ = texts.join(held, "h").select("h", "text", "items").mapInArrow(verify, "h bigint, item_id bigint, share double")
+    names = documents.where("text is not null").select("doc_id", F.xxhash64(F.xxhash64("text"), F.length("text")).alias("h"))
+    return names.join(found_, "h").select("doc_id", "item_id", "share")
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
@@ -409,8 +504,6 @@ def found(spark: SparkSession, d: str) -> DataFrame:
 
 def leaked_items(spark: SparkSession, d: str) -> DataFrame:
     """Report per item: leaking documents and the largest share found."""
-    from pyspark.sql import functions as F
-
     got = leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
     return got.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.round(F.max("share"), 4).alias("largest_share"))
 
