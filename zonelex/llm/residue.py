@@ -269,9 +269,10 @@ def cut(pages: DataFrame, whole: bool = False) -> DataFrame:
                 known: dict[str, tuple[bytes, bool, bool, bool]] = {}
                 for field in ("infobox", "body"):
                     for page, title, text in zip(part["page_row"], part["title"], part[field]):
-                        said = [signature(k, m) for k, m in messages(field, text)] if text else []
-                        if not said:
+                        raw = messages(field, text) if text else []
+                        if not raw or whole and _surely_content(raw):
                             continue
+                        said = [signature(k, m) for k, m in raw]
                         n, some, lengths = len(said), *zip(*said)
                         for s in some:
                             if s not in known:
@@ -519,6 +520,23 @@ def _may_be_residue(s: str, plain: bool) -> bool:
     return first in _STARTS or first[:5] == "activ" or not first.strip("x") or not _DEMANDED.isdisjoint(tokens) or not LEXICON.isdisjoint(tokens)
 
 
+_OF_ITS_PAGE = re.compile(r"\d|\s[A-ZÀ-ÖØ-Þ]")
+
+
+def _surely_content(said: list[tuple[str | None, str]]) -> bool:
+    """True where over two fifths of the pieces of a field are in messages that name something of the page and begin like
+    no seed, seen without masking them: such a field is no residue as a whole."""
+    content = all_ = 0
+    for key, m in said:
+        pieces = m.split()
+        all_ += len(pieces)
+        if key is None and "<slot>" not in m and _OF_ITS_PAGE.search(m):
+            words = _TOKEN.findall(m.lower()) if "-" in m or "/" in m else [p.strip(".,;:!?()\"'") for p in m.lower().split()]
+            if pieces[0][:1].isalpha() and words[0] not in _STARTS and words[0][:5] != "activ" and words[0].strip("x") and _DEMANDED.isdisjoint(words) and LEXICON.isdisjoint(words):
+                content += len(pieces)
+    return content > 0.4 * all_
+
+
 def verdicts(units: DataFrame, seeds: bool = True) -> DataFrame:
     """(sign, n, template, verdict) of the signatures that are residue; one classification a template."""
     mined = materialized(mine_templates(units, seeds))

@@ -45,7 +45,7 @@ MAX_SUBJECTS = 1_000
 BACKGROUND = 4
 SWEEPS = 2
 INNER = 4
-INNER_AT_END = 10
+INNER_AT_END = 8
 ALPHA = 0.1
 ETA = 0.02
 TOP_TERMS = 30
