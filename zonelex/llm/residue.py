@@ -269,10 +269,11 @@ def cut(pages: DataFrame, whole: bool = False) -> DataFrame:
                 known: dict[str, tuple[bytes, bool, bool, bool]] = {}
                 for field in ("infobox", "body"):
                     for page, title, text in zip(part["page_row"], part["title"], part[field]):
-                        raw = messages(field, text) if text else []
-                        if not raw or whole and _surely_content(raw):
+                        if not text or whole and field == "body" and _surely_content(text):
+                            continue
+                        said = [signature(k, m) for k, m in messages(field, text)]
+                        if not said:
                             continue
-                        said = [signature(k, m) for k, m in raw]
                         n, some, lengths = len(said), *zip(*said)
                         for s in some:
                             if s not in known:
@@ -521,18 +522,20 @@ def _may_be_residue(s: str, plain: bool) -> bool:
 
 
 _OF_ITS_PAGE = re.compile(r"\d|\s[A-ZÀ-ÖØ-Þ]")
+_SIGNS = re.compile(r"[{}$%#@<>\[\]&\\*/_-]")
+_LINES = re.compile(r"(?<=[.!?…])\s+|\n+")
 
 
-def _surely_content(said: list[tuple[str | None, str]]) -> bool:
-    """True where over two fifths of the pieces of a field are in messages that name something of the page and begin like
-    no seed, seen without masking them: such a field is no residue as a whole."""
+def _surely_content(text: str) -> bool:
+    """True where over two fifths of the pieces of a body are in sentences that name something of the page, begin like no
+    seed and hold no sign of a slot or markup, seen without masking them: such a body is no residue as a whole."""
     content = all_ = 0
-    for key, m in said:
+    for m in _LINES.split(text):
         pieces = m.split()
         all_ += len(pieces)
-        if key is None and "<slot>" not in m and _OF_ITS_PAGE.search(m):
-            words = _TOKEN.findall(m.lower()) if "-" in m or "/" in m else [p.strip(".,;:!?()\"'") for p in m.lower().split()]
-            if pieces[0][:1].isalpha() and words[0] not in _STARTS and words[0][:5] != "activ" and words[0].strip("x") and _DEMANDED.isdisjoint(words) and LEXICON.isdisjoint(words):
+        if len(pieces) > 1 and _OF_ITS_PAGE.search(m) and not _SIGNS.search(m):
+            words = [p.strip(".,;:!?()\"'") for p in m.lower().split()]
+            if words[0].isalpha() and words[0] not in _STARTS and words[0][:5] != "activ" and words[0].strip("x") and _DEMANDED.isdisjoint(words) and LEXICON.isdisjoint(words):
                 content += len(pieces)
     return content > 0.4 * all_
 

@@ -53,38 +53,28 @@ MAX_LABELLED = 2_000
 AT_ONCE = 512
 
 _MARKUP = re.compile(r"<[^<>]*>|\{\{[^{}]*\}\}|\[https?://[^\s\]]+|https?://\S+|\]\([^)]*\)|\\[a-z]+|&\w+;")
-_WORD = re.compile(r"(?<![A-Za-z])[a-z]{3,}(?![A-Z])")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Words written in lower case, ends of sentences, and what parts two bodies.
+_PIECE = re.compile(r"(?<![A-Za-z])[a-z]{3,}(?![A-Z])|[.!?](?=\s)|\n|\x00")
+_END, _NEXT = -1, -2
 COUNTS = "page_row bigint, n_words int, buckets array<int>, counts array<float>, sentences array<bigint>"
 
 
-def body_words(text: str | None) -> list[str]:
-    """Words written in lower case, without markup."""
+def _plain(text: str | None) -> str:
+    """A body without markup; '' for a redirect."""
     if not text or text[:9].lower() == "#redirect":
-        return []
-    return _WORD.findall(_unmarked(text))
-
-
-def _unmarked(text: str) -> str:
-    return _MARKUP.sub(" ", text) if any(c in text for c in "<{[]\\&:") else text
-
-
-def body_sentences(text: str | None) -> list[list[str]]:
-    """The words of each sentence that has some."""
-    if not text or text[:9].lower() == "#redirect":
-        return []
-    return [w for w in map(_WORD.findall, _SENTENCE.split(_unmarked(text))) if w]
+        return ""
+    return (_MARKUP.sub(" ", text) if any(c in text for c in "<{[]\\&:") else text).replace("\x00", " ")
 
 
 class Hashed(dict):
-    """Memory of the bucket of a word."""
+    """Memory of the bucket of a word; the end of a sentence and the next body are no words."""
 
     BOUND = 400_000
 
     def __missing__(self, word: str) -> int:
         if len(self) > self.BOUND:
             self.clear()
-        self[word] = out = xxhash.xxh32_intdigest(word) % BUCKETS
+        self[word] = out = _NEXT if word == "\x00" else _END if word in ".!?\n" else xxhash.xxh32_intdigest(word) % BUCKETS
         return out
 
 
@@ -99,18 +89,21 @@ def _counts(pages: DataFrame) -> DataFrame:
         for b in batches:
             for a in range(0, b.num_rows, AT_ONCE):
                 part = b.slice(a, AT_ONCE)
-                pages_ = [body_sentences(t) for t in part.column(1).to_pylist()]
-                words = [w for p in pages_ for s in p for w in s]
-                lengths = np.array([len(s) for p in pages_ for s in p], np.int64)
-                sizes = np.array([sum(map(len, p)) for p in pages_], np.int64)
-                sentence = np.concatenate([np.arange(len(p)) % 63 for p in pages_]) if pages_ else np.zeros(0, np.int64)
-                key = np.repeat(np.arange(len(pages_), dtype=np.int64), sizes) * BUCKETS
-                key += np.fromiter(map(_HASHED.__getitem__, words), np.int64, len(words))
-                bit = np.int64(1) << np.repeat(sentence, lengths).astype(np.int64)
+                joined = "\x00" + "\x00".join(map(_plain, part.column(1).to_pylist()))
+                code = np.fromiter(map(_HASHED.__getitem__, _PIECE.findall(joined)), np.int64)
+                word = code >= 0
+                page, ends = np.cumsum(code == _NEXT)[word] - 1, np.cumsum(~word)[word]
+                sizes = np.bincount(page, minlength=part.num_rows)
+                new = np.r_[True, (np.diff(ends) > 0)][: len(page)]  # a sentence that has words
+                number = np.cumsum(new) - 1
+                first = np.flatnonzero(np.r_[True, np.diff(page) > 0][: len(page)])
+                number -= np.repeat(number[first], np.diff(np.r_[first, len(page)]))
+                key = page * BUCKETS + code[word]
+                bit = np.int64(1) << (number % 63)
                 order = np.argsort(key, kind="stable")
                 key, first, count = np.unique(key[order], return_index=True, return_counts=True)
                 bits = np.bitwise_or.reduceat(bit[order], first) if len(first) else bit
-                ends = pa.array(np.searchsorted(key, np.arange(len(pages_) + 1, dtype=np.int64) * BUCKETS).astype(np.int32))
+                ends = pa.array(np.searchsorted(key, np.arange(part.num_rows + 1, dtype=np.int64) * BUCKETS).astype(np.int32))
                 columns = (pa.array((key % BUCKETS).astype(np.int32)), pa.array(count.astype(np.float32)), pa.array(bits))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes.astype(np.int32)), *(pa.ListArray.from_arrays(ends, c) for c in columns)], [x.split(" ")[0] for x in COUNTS.split(", ")])
 
