@@ -137,14 +137,16 @@ def infer(beta: np.ndarray, doc: np.ndarray, word: np.ndarray, count: np.ndarray
     b = beta[word]
     start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
     phi = np.zeros((0, k), beta.dtype)
-    for _ in range(inner):
+    for step in range(inner):
         theta = np.exp(_digamma(gamma) - _digamma(gamma.sum(1))[:, None]).astype(beta.dtype)
-        phi = theta[doc]
-        phi *= b
-        phi *= (count / np.maximum(phi.sum(1), np.finfo(beta.dtype).tiny))[:, None]
+        spread = theta[doc]
+        share = count / np.maximum(np.einsum("ij,ij->i", spread, b), np.finfo(beta.dtype).tiny)
+        own = b * share[:, None]
         gamma = np.full((n, k), ALPHA)
         if len(start):
-            gamma[doc[start]] += np.add.reduceat(phi, start, axis=0)
+            gamma[doc[start]] += theta[doc[start]] * np.add.reduceat(own, start, axis=0)
+        if step == inner - 1:
+            phi = spread * own
     return gamma, phi
 
 
