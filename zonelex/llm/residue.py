@@ -529,15 +529,16 @@ _LINES = re.compile(r"(?<=[.!?…])\s+|\n+")
 def _surely_content(text: str) -> bool:
     """True where over two fifths of the pieces of a body are in sentences that name something of the page, begin like no
     seed and hold no sign of a slot or markup, seen without masking them: such a body is no residue as a whole."""
-    content = all_ = 0
+    content, enough = 0, 0.4 * len(text.split())
     for m in _LINES.split(text):
+        if content > enough:
+            return True
         pieces = m.split()
-        all_ += len(pieces)
         if len(pieces) > 1 and _OF_ITS_PAGE.search(m) and not _SIGNS.search(m):
             words = [p.strip(".,;:!?()\"'") for p in m.lower().split()]
             if words[0].isalpha() and words[0] not in _STARTS and words[0][:5] != "activ" and words[0].strip("x") and _DEMANDED.isdisjoint(words) and LEXICON.isdisjoint(words):
                 content += len(pieces)
-    return content > 0.4 * all_
+    return content > enough
 
 
 def verdicts(units: DataFrame, seeds: bool = True) -> DataFrame:
