@@ -70,6 +70,7 @@ _SLOT = re.compile(
     ),
     re.I,
 )
+_OPENS_SLOT = re.compile(r"[{$%#@<\[]")
 _NOTE = re.compile(r"\bX{3,}\b(?:(?!\bXXX)[^\n])*\bX{3,}\b")
 _UPPER_SLOT = re.compile(r"(?<!\[)\[[A-Z][A-Z_]{2,}(?: [A-Z_]{2,})*\](?![\](])")
 _SOFT_SLOT = re.compile(r"(?<!\[)\[([a-z]+(?:[ _][a-z]+)?)\](?![\](])")
@@ -85,7 +86,7 @@ def mark_slots(text: str, put: Callable[[str], str] = _slot) -> str:
     """Replace unresolved slots by ``<slot>`` or what ``put`` makes of them."""
     if "XXX" in text:
         text = _NOTE.sub(lambda m: put(m.group(0)), text)
-    if not any(c in text for c in "{$%#@<["):
+    if not _OPENS_SLOT.search(text):
         return text
 
     def replace(m: re.Match) -> str:

@@ -53,6 +53,7 @@ MAX_LABELLED = 2_000
 AT_ONCE = 512
 
 _MARKUP = re.compile(r"<[^<>]*>|\{\{[^{}]*\}\}|\[https?://[^\s\]]+|https?://\S+|\]\([^)]*\)|\\[a-z]+|&\w+;")
+_MARKED = re.compile(r"[<{\[\]\\&]|://")
 #: Words written in lower case, ends of sentences, and what parts two bodies.
 _PIECE = re.compile(r"(?<![A-Za-z])[a-z]{3,}(?![A-Z])|[.!?](?=\s)|\n|\x00")
 _END, _NEXT = -1, -2
@@ -63,7 +64,7 @@ def _plain(text: str | None) -> str:
     """A body without markup; '' for a redirect."""
     if not text or text[:9].lower() == "#redirect":
         return ""
-    return (_MARKUP.sub(" ", text) if any(c in text for c in "<{[]\\&:") else text).replace("\x00", " ")
+    return (_MARKUP.sub(" ", text) if _MARKED.search(text) else text).replace("\x00", " ")
 
 
 class Hashed(dict):
