@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .porter import STEP_2 as PORTER_2
 from .porter import _finder, stem as porter
-from .stemmers_more import finnish, hindi, hungarian, indonesian, irish, lithuanian, nepali, romanian
+from .stemmers_more import arabic, finnish, hindi, hungarian, indonesian, irish, lithuanian, nepali, romanian
 
 #: The algorithms with their language codes.
 ALGORITHMS = {
@@ -657,7 +657,7 @@ def dutch(word: str) -> str:
 BUILT: dict[str, Callable[[str], str]] = {
     "porter": porter, "english": english, "swedish": swedish, "norwegian": norwegian, "danish": danish, "german": german, "russian": russian,
     "spanish": spanish, "italian": italian, "portuguese": portuguese, "dutch": dutch, "french": french,
-    "finnish": finnish, "hungarian": hungarian, "romanian": romanian, "indonesian": indonesian, "irish": irish, "hindi": hindi, "nepali": nepali, "lithuanian": lithuanian,
+    "finnish": finnish, "hungarian": hungarian, "romanian": romanian, "indonesian": indonesian, "irish": irish, "hindi": hindi, "nepali": nepali, "lithuanian": lithuanian, "arabic": arabic,
 }
 
 

@@ -1,4 +1,4 @@
-"""Finnish, Hungarian, Romanian, Indonesian, Irish, Hindi, Nepali and Lithuanian stemmers by their published rules.
+"""Finnish, Hungarian, Romanian, Indonesian, Irish, Hindi, Nepali, Lithuanian and Arabic stemmers by their published rules.
 
 The suffix tables are fixed values of these rules; words are expected in lower case and composed form.
 """
@@ -6,6 +6,7 @@ The suffix tables are fixed values of these rules; words are expected in lower c
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterable
 
 
@@ -355,3 +356,93 @@ def lithuanian(word: str) -> str:
         w = _without(w, s)
     w = hardened(w)
     return w[:-1] if w.endswith("gd") else w
+
+
+# --- Arabic ----------------------------------------------------------------------------------------------------------
+
+#: Affixes with the least length of a word that loses them, and what takes the place of a prefix.
+_AR_DEFINITE = {"بال": 5, "كال": 5, "ال": 4, "لل": 4}
+_AR_NOUN_1A = {s: n for n, some in ((4, "ي ك ه"), (5, "نا كم ها هن هم"), (6, "كما هما")) for s in some.split()}
+_AR_VERB_1 = {s: n for n, some in ((4, "ه ك"), (5, "ني نا ها هم هن كم كن"), (6, "هما كما كمو")) for s in some.split()}
+_AR_VERB_2A = {s: n for n, some in ((4, "ت ا ن ي"), (5, "نا تا تن"), (6, "ان ون ين تما")) for s in some.split()}
+_AR_NOUN_1B, _AR_NOUN_2A, _AR_NOUN_2B, _AR_NOUN_2C1, _AR_NOUN_2C2, _AR_NOUN_3 = {"ن": 6}, {"ا": 5, "ي": 5, "و": 5}, {"ات": 5}, {"ت": 4}, {"ة": 4}, {"ي": 3}
+_AR_VERB_2B, _AR_VERB_2C = {"وا": 5, "تم": 5}, {"و": 4, "تمو": 6}
+_AR_DOUBLED = {"أأ": "أ", "أؤ": "أ", "أآ": "آ", "أا": "ا", "أإ": "إ"}
+_AR_FUTURE = {"سي": "ي", "ست": "ت", "سن": "ن", "سأ": "أ"}
+_AR_MARKS = re.compile("[ـً-ْ]")
+_AR_FORMS = re.compile("[ﹰ-ﻼ]")
+_AR_DIGITS = {0x0660 + i: str(i) for i in range(10)}
+_AR_SEATS = str.maketrans("آأإؤئ", "اااوي")
+
+
+class _Arabic:
+    """A word that loses affixes; each step tells whether it applied."""
+
+    def __init__(self, word: str):
+        sign = next((p for p in sorted(_AR_DEFINITE, key=len, reverse=True) if word.startswith(p)), None)
+        self.definite = sign is not None and len(word) >= _AR_DEFINITE[sign]
+        self.noun, self.verb = True, not self.definite
+        plain = _AR_FORMS.sub(lambda m: unicodedata.normalize("NFKC", m.group()), _AR_MARKS.sub("", word))
+        self.w = plain.translate(_AR_DIGITS)
+
+    def end(self, rules: dict[str, int]) -> bool:
+        s = _suffix(self.w, rules)
+        if not s or len(self.w) < rules[s]:
+            return False
+        self.w = _without(self.w, s)
+        return True
+
+    def start(self, rules: dict[str, str], least: int) -> bool:
+        s = max((p for p in rules if self.w.startswith(p)), key=len, default="")
+        if not s or len(self.w) < least:
+            return False
+        self.w = rules[s] + self.w[len(s) :]
+        return True
+
+    def verb_ends(self) -> bool:
+        if not self.verb:
+            return False
+        if self.end(_AR_VERB_1):
+            while self.end(_AR_VERB_1):
+                pass
+            if self.end(_AR_VERB_2A) or self.end(_AR_VERB_2C) or self.w:
+                return True
+        return self.end(_AR_VERB_2B) or self.end(_AR_VERB_2A)
+
+    def noun_ends(self) -> bool:
+        if not self.noun:
+            return False
+
+        def plural(also_nothing: bool) -> bool:
+            return self.end(_AR_NOUN_2A) or self.end(_AR_NOUN_2B) or self.end(_AR_NOUN_2C1) or also_nothing
+
+        self.end(_AR_NOUN_2C2) or (
+            not self.definite and self.end(_AR_NOUN_1A) and plural(bool(self.w))
+            or self.end(_AR_NOUN_1B) and plural(False)
+            or not self.definite and self.end(_AR_NOUN_2A)
+            or self.end(_AR_NOUN_2B)
+        )
+        return self.end(_AR_NOUN_3)
+
+    def begins(self) -> None:
+        self.start(_AR_DOUBLED, 4)
+        if not self.w.startswith(("فا", "وا")):
+            self.start({"ف": "", "و": ""}, 4)
+        sign = max((p for p in _AR_DEFINITE if self.w.startswith(p)), key=len, default="")
+        if sign and len(self.w) > _AR_DEFINITE[sign]:
+            self.w = self.w[len(sign) :]
+            return
+        if self.noun and not self.w.startswith("با") and self.start({"ب": "", "بب": "ب", "كك": "ك"}, 4):
+            return
+        if self.verb:
+            self.start(_AR_FUTURE, 5)
+            self.start({"يست": "است", "نست": "است", "تست": "است"}, 5)
+
+
+def arabic(word: str) -> str:
+    a = _Arabic(word)
+    if not a.verb_ends() and not a.noun_ends() and a.w.endswith("ى"):
+        a.w = a.w[:-1] + "ي"
+    a.begins()
+    w = a.w[:-1] + "ء" if a.w.endswith(tuple("آأؤإئ")) else a.w
+    return w.translate(_AR_SEATS)

@@ -33,6 +33,7 @@ PAIRS = {
     "irish": "bhfuil fuil chathair cathair gcapall capall n-athair athair feirmeoireacht feirmeoir t-uisce uisce mbád bád dtír tír",
     "hindi": "लड़का लड़क लड़के लड़क लड़कियां लड़क लड़कियों लड़क किताबें किताब बोलना बोल",
     "lithuanian": "namas nam namai nam namuose nam mergaitė mergait mergaite mergait mokytojas mok knygos knyg žodžiai žod",
+    "arabic": "الكتاب كتاب كتابهم كتاب كتبوا كتب معلمون معلم القاهرة قاهر بالقلم قلم يستخدمون استخدم سيكتب يكتب على علي",
     "nepali": "घरको घर घरमा घर केटाहरु केटा केटीलाई केटी गरेको गर रामले राम",
 }
 
