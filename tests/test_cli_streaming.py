@@ -40,3 +40,45 @@ def test_stream_takes_each_page_once(spark, tmp_path):
     assert got == {("cat", 0, 0, 2), ("dog", 0, 2, 1), ("categori", 2, 2, 1), ("cat", 2, 2, 1)}
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(got)
     assert arrivals_by_hour(spark.read.parquet(source)).count() == 2
+
+
+def test_merged_indexes_equal_one_index(spark, tmp_path):
+    page = "<page><title>{t}</title><id>{i}</id><revision><text>{b}</text></revision></page>"
+    texts = ["cat dog {{Infobox cat}}", "dog dog", "bird cat", "#REDIRECT [[x]]", "cat [[Category:dog]]", "cat", "cat bird"]
+    for name, some in (("a", texts[:3]), ("b", texts[3:]), ("all", texts)):
+        first = 0 if name != "b" else 3
+        body = "".join(page.format(t=f"Title {i + first}", i=i + first, b=b) for i, b in enumerate(some))
+        (tmp_path / f"{name}.xml").write_text(f"<mediawiki><siteinfo/>{body}</mediawiki>")
+        cli.build(spark, str(tmp_path / f"i_{name}"), [str(tmp_path / f"{name}.xml")], min_df=1 if name != "all" else 3)
+    cli.merge(spark, str(tmp_path / "merged"), [str(tmp_path / "i_a"), str(tmp_path / "i_b")], min_df=3)
+
+    def rows(folder, table):
+        return sorted(tuple(map(str, r)) for r in spark.read.parquet(str(tmp_path / folder / table)).collect())
+
+    for table in ("docs", "postings", "terms", "zone_df", "stats", "milestones"):
+        assert rows("merged", table) == rows("i_all", table), table
+
+
+def test_partial_index_files(spark, tmp_path):
+    from zonelex.sources.storage import read_partial
+
+    (tmp_path / "i0").write_text("2\ncat 2 dog 1 ")
+    (tmp_path / "iid0").write_text("0 4 1 ")
+    (tmp_path / "if0").write_text("12i3t1 c2 1 ")
+    (tmp_path / "i1").write_text("1\ncat 1 ")
+    (tmp_path / "iid1").write_text("7 ")
+    (tmp_path / "if1").write_text("t1l2r3 ")
+    got = sorted((r.term, r.doc_id, list(r.tf)) for r in read_partial(spark, str(tmp_path)).collect())
+    assert got == [("cat", 0, [12, 3, 0, 1, 0, 0]), ("cat", 4, [0, 0, 2, 0, 0, 0]), ("cat", 7, [0, 0, 0, 1, 2, 3]), ("dog", 1, [1, 0, 0, 0, 0, 0])]
+
+
+def test_archives(spark, tmp_path):
+    import bz2
+
+    from zonelex.sources.lists import archive_problem, page_of_lines
+
+    data = bz2.compress("".join(f"line {i}\n" for i in range(5_000)).encode())
+    (tmp_path / "good.bz2").write_bytes(data)
+    (tmp_path / "bad.bz2").write_bytes(data[:200] + b"xxxx" + data[204:])
+    assert archive_problem(spark, str(tmp_path / "good.bz2")) is None and archive_problem(spark, str(tmp_path / "bad.bz2"))
+    assert sorted(tuple(r) for r in page_of_lines(spark, str(tmp_path / "good.bz2"), 4_998, 10).collect()) == [(4_998, "line 4998"), (4_999, "line 4999")]

@@ -1,6 +1,7 @@
-"""Commands: build an index from dumps, search it, extract stopwords.
+"""Commands: build an index from dumps, merge indexes, search one, extract stopwords.
 
     python -m zonelex.cli index OUT DUMP...           [--stopwords FILE] [--min-df N] [--skip-marker]
+    python -m zonelex.cli merge OUT INDEX...          [--min-df N]      indexes built with --min-df 1, in page order
     python -m zonelex.cli search INDEX QUERIES OUT    [--compat-scan]
     python -m zonelex.cli stopwords COMMENTED OUT
     python -m zonelex.cli stem [ALGORITHM] < words
@@ -39,6 +40,15 @@ def build(spark: SparkSession, out: str, dumps: list[str], stopwords: tuple[str,
     release(spark)
 
 
+def merge(spark: SparkSession, out: str, parts: list[str], min_df: int = MIN_DF) -> None:
+    """Merge index folders and write the whole with its exports."""
+    index = storage.merge_indexes(spark, parts, min_df)
+    storage.write_index(index, out)
+    storage.write_titles(index.docs, f"{out}/titles.txt")
+    storage.write_stats(index.stats, f"{out}/stat.txt")
+    release(spark)
+
+
 def answer(spark: SparkSession, index_path: str, query_file: str, out: str, compat_scan: bool = False) -> float:
     """Answer all queries of a file in one job; seconds taken."""
     began = time.perf_counter()
@@ -61,6 +71,10 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("--stopwords")
     a.add_argument("--min-df", type=int, default=MIN_DF)
     a.add_argument("--skip-marker", action="store_true")
+    m = sub.add_parser("merge")
+    m.add_argument("out")
+    m.add_argument("parts", nargs="+")
+    m.add_argument("--min-df", type=int, default=MIN_DF)
     b = sub.add_parser("search")
     b.add_argument("index")
     b.add_argument("queries")
@@ -83,6 +97,8 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "index":
         words = lists.read_stopwords(spark, args.stopwords) if args.stopwords else STOPWORDS
         build(spark, args.out, args.dumps, words, args.min_df, args.skip_marker)
+    elif args.command == "merge":
+        merge(spark, args.out, args.parts, args.min_df)
     elif args.command == "search":
         print(f"{answer(spark, args.index, args.queries, args.out, args.compat_scan):.3f} s")
     else:

@@ -92,10 +92,14 @@ def index_stats(docs: DataFrame, all_terms: DataFrame, kept_terms: DataFrame) ->
 
 def build_index(pages: DataFrame, min_df: int = MIN_DF, stopwords: tuple[str, ...] = STOPWORDS, skip_marker: bool = False) -> Index:
     """Index of pages (doc_id, title, text). Counted terms are materialized once; everything else reads them."""
-    counted = materialized(page_terms(pages, stopwords, skip_marker))
+    docs = pages.select("doc_id", ascii_lower(F.col("title")).alias("title"), F.col("title").alias("title_raw"))
+    return of_postings(docs, materialized(page_terms(pages, stopwords, skip_marker)), min_df)
+
+
+def of_postings(docs: DataFrame, counted: DataFrame, min_df: int = MIN_DF) -> Index:
+    """The index of documents and their counted terms (term, doc_id, tf)."""
     terms = term_df(counted).where(F.col("df") >= min_df)
     wide = frequent_postings(counted, min_df)
-    docs = pages.select("doc_id", ascii_lower(F.col("title")).alias("title"), F.col("title").alias("title_raw"))
     return Index(docs, wide.select("term", "doc_id", "tf"), terms, zone_frequencies(wide), index_stats(docs, counted, terms))
 
 

@@ -58,3 +58,19 @@ def text_volume(rows: DataFrame) -> DataFrame:
 
 def matching_lines(rows: DataFrame, pattern: str) -> DataFrame:
     return rows.where(F.col("value").rlike(pattern))
+
+
+def archive_problem(spark: SparkSession, path: str) -> str | None:
+    """None if compressed text can be read to its end with right check sums, else the first line of what is wrong."""
+    try:
+        spark.read.text(path).agg(F.count(F.lit(1))).collect()
+    except Exception as e:  # noqa: BLE001 - any failure to read is the answer
+        return str(e).strip().split("\n")[0] or type(e).__name__
+    return None
+
+
+def page_of_lines(spark: SparkSession, path: str, start: int, n: int) -> DataFrame:
+    """(line_no, value) of ``n`` lines of plain or compressed text from the 0-based line ``start`` on."""
+    place = [F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_seq")]
+    lines = with_dense_ids(spark.read.text(path).select("value", *place), ["_path", "_start", "_seq"], "line_no")
+    return lines.where((F.col("line_no") >= start) & (F.col("line_no") < start + n)).select("line_no", "value")

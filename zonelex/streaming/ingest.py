@@ -16,9 +16,9 @@ from ..operators.zones import page_terms
 ARRIVING = "doc_id BIGINT, title STRING, text STRING, arrived TIMESTAMP"
 
 
-def arriving_pages(spark: SparkSession, path: str, lateness: str = "1 day") -> DataFrame:
-    """Pages of a folder of JSON or Parquet files, each doc_id once within ``lateness``."""
-    stream = spark.readStream.schema(ARRIVING).parquet(path)
+def arriving_pages(spark: SparkSession, path: str, lateness: str = "1 day", file_format: str = "parquet") -> DataFrame:
+    """Pages of a folder of files (``parquet``, ``json`` or any other source of files), each doc_id once within ``lateness``."""
+    stream = spark.readStream.schema(ARRIVING).format(file_format).load(path)
     return stream.withWatermark("arrived", lateness).dropDuplicatesWithinWatermark(["doc_id"])
 
 
