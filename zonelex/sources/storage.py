@@ -43,7 +43,8 @@ def read_partial(spark: SparkSession, folder: str) -> DataFrame:
 
     pairs = files.where("kind = 'i'").select("n", F.posexplode(F.expr("transform(sequence(1, int(p[0])), x -> struct(p[2 * x - 1] AS term, int(p[2 * x]) AS df))")).alias("place", "x"))
     start = F.sum("x.df").over(W.partitionBy("n").orderBy("place")) - F.col("x.df")
-    terms = pairs.where("x.df > 0").select("n", "x.term", F.explode(F.sequence(start, start + F.col("x.df") - 1)).alias("at"))
+    placed = pairs.where("x.df > 0").select("n", "x.term", "x.df", start.alias("start"))
+    terms = placed.select("n", "term", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("df") - 1)).alias("at"))
     both = terms.join(listed("iid", "doc"), ["n", "at"]).join(listed("if", "freq"), ["n", "at"])
     tf = F.array(*[decode_freq(F.col("freq"), letter, clamp_title=False) for letter in FREQ_ORDER])
     return both.select("term", F.col("doc").cast("bigint").alias("doc_id"), tf.alias("tf"))
