@@ -1,4 +1,8 @@
+import os
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -56,8 +60,16 @@ def test_shared_tables_are_read_once_written_and_released(spark):
     from zonelex.session import _WRITTEN, materialized, release
 
     df = materialized(spark.range(10))
-    assert df.count() == 10 and len(_WRITTEN) >= 1
-    assert release(spark) >= 1 and not _WRITTEN
+    folder = Path(_WRITTEN[-1].removeprefix("file:"))
+    assert df.count() == 10 and folder.exists()
+    assert release(spark) >= 1 and not _WRITTEN and not folder.exists()
+
+
+def test_shared_tables_go_with_the_driver(tmp_path):
+    script = "from zonelex.session import local_session, materialized\ns = local_session(2, '1g')\nprint(materialized(s.range(10)).count())\ns.stop()\n"
+    env = {**os.environ, "PYTHONPATH": str(Path(__file__).resolve().parents[1]), "PYSPARK_SUBMIT_ARGS": f"--conf spark.checkpoint.dir={tmp_path} pyspark-shell"}
+    out = subprocess.run([sys.executable, "-c", script], env=env, capture_output=True, text=True, timeout=120, check=True)
+    assert "10" in out.stdout and any(tmp_path.iterdir()) and not list(tmp_path.rglob("table-*"))
 
 
 def test_empty_table(spark):

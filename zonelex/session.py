@@ -63,14 +63,14 @@ def shared(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> Da
 
 
 def temporary_path(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder that is deleted by ``release``, or when the driver ends."""
-    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    """A path inside a new folder of the shared folder, which is deleted by ``release``, or when the driver ends."""
+    folder = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(place.getParent())
-    files.deleteOnExit(place)
-    return path
+    files.mkdirs(place)
+    files.deleteOnExit(place)  # takes only what exists
+    _WRITTEN.append(folder)
+    return f"{folder}/data"
 
 
 def release(spark: SparkSession) -> int:
